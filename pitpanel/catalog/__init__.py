@@ -1,5 +1,5 @@
 """Registered queries over the shared test tables, with their SQL equivalents."""
 
-from pitpanel.catalog import knowledge
+from pitpanel.catalog import features, knowledge
 
-ALL = (knowledge.catalog,)
+ALL = (knowledge.catalog, features.catalog)

@@ -3,56 +3,59 @@
 Ranks, quantiles and cumulative counts over a whole table need a global order.
 An unpartitioned window would put every row into one task, and an exact
 percentile aggregate keeps every distinct value in one buffer. Here values are
-counted per distinct value, cut into slices at approximate quantiles, and
-summed inside each slice on top of the totals of the slices below. The slice is
-a function of the value, so equal values always meet, and the approximate cuts
-only balance the work: the results are exact.
+counted per distinct value, cut into slices that ascend with the value, and
+summed inside each slice on top of the totals of the slices below.
+
+A slice is a fixed function of the value alone: its sign, its power of two and
+the leading bits of its fraction. Equal values always meet, any recomputation
+lands in the same slices, heavy tails spread over their magnitudes, and nothing
+has to be sampled first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_SLICES, MAX_SLICES = 8, 512
+# Slices per power of two, and an offset that keeps every exponent positive.
+SLICES_PER_OCTAVE = 4096
+EXPONENT_OFFSET = 1100
 
 
-def _slice_count(df: DataFrame) -> int:
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_SLICES, min(MAX_SLICES, configured))
+def value_slice(value: Column) -> Column:
+    """Slice number of a double; ascends with the value.
 
+    A logarithm that rounds across a power of two changes exponent and fraction
+    together and leaves the number the same.
+    """
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    fraction = size / F.pow(F.lit(2.0), exponent) - 1.0
+    number = (exponent + EXPONENT_OFFSET) * SLICES_PER_OCTAVE \
+        + F.floor(fraction * SLICES_PER_OCTAVE)
+    return (F.when(value > 0, number).when(value < 0, -number).otherwise(F.lit(0))).cast("long")
 
-def _sliced(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str],
-            slices: int) -> DataFrame:
-    """Tag each distinct value with the number of cuts strictly below it.
 
-    The cuts are one row per group. Summing the count columns beside them keeps
-    both readers of ``counts`` on one and the same shuffle.
-    """
-    marks = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = counts.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx(value, marks, 10000)).alias("_cuts"),
-        *[F.sum(s).alias(f"{s}_total") for s in sums])
-    tagged = counts.join(cuts, list(by)) if by else counts.join(F.broadcast(cuts))
-    return tagged.withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
+def _sliced(counts: DataFrame, value: str) -> DataFrame:
+    return counts.withColumn("_slice", value_slice(F.col(value).cast("double")))
 
 
 def _slice_offsets(tagged: DataFrame, sums: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Per (group, slice): its own sums and the sums of lower slices."""
-    own = tagged.groupBy(*by, "_slice").agg(
-        *[F.sum(s).alias(f"_{s}_slice") for s in sums],
-        *[F.first(f"{s}_total").alias(f"{s}_total") for s in sums])
-    # At most `slices` rows per group.
+    """Per (group, slice): its own sums, the sums of lower slices, group totals.
+
+    Slices are few -- thousands, limited by the magnitudes that occur -- so the
+    running sum over them fits one task however large the table is.
+    """
+    own = tagged.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_{s}_slice") for s in sums])
     groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     lower = groups.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     return own.select(
         *by, "_slice", *[f"_{s}_slice" for s in sums],
         *[F.coalesce(F.sum(f"_{s}_slice").over(lower), F.lit(0)).alias(f"_{s}_offset")
           for s in sums],
-        *[f"{s}_total" for s in sums])
+        *[F.sum(f"_{s}_slice").over(groups).alias(f"{s}_total") for s in sums])
 
 
 def _with_inside_sums(tagged: DataFrame, value: str, sums: Sequence[str],
@@ -64,14 +67,14 @@ def _with_inside_sums(tagged: DataFrame, value: str, sums: Sequence[str],
 
 
 def cumulative_by_value(counts: DataFrame, value: str, sums: Sequence[str],
-                        by: Sequence[str] = (), slices: int | None = None) -> DataFrame:
+                        by: Sequence[str] = ()) -> DataFrame:
     """Add ``<s>_below`` (sum over smaller values) and ``<s>_total`` per group.
 
     ``counts`` holds one row per (by, value).
     """
     by = list(by)
-    tagged = _sliced(counts, value, sums, by, slices or _slice_count(counts))
-    offsets = _slice_offsets(tagged, sums, by).drop(*[f"{s}_total" for s in sums])
+    tagged = _sliced(counts, value)
+    offsets = _slice_offsets(tagged, sums, by)
     joined = _with_inside_sums(tagged, value, sums, by).join(offsets, [*by, "_slice"])
     return joined.select(
         *counts.columns,
@@ -85,29 +88,38 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), count: str =
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
-                    by: Sequence[str] = (), slices: int | None = None) -> DataFrame:
+                    by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles: rows (by, q_index, probability, quantile)."""
     by = list(by)
     counts = value_counts(df.withColumn(value, F.col(value).cast("double")), value, by, "n")
-    tagged = _sliced(counts, value, ["n"], by, slices or _slice_count(counts))
-    # A wanted position falls into one slice, and there into the one distinct
-    # value whose run covers it; each slice receives only its own targets.
-    grid = F.array(*[
-        F.struct(F.lit(i).alias("q_index"), F.lit(float(p)).alias("probability"))
-        for i, p in enumerate(probabilities)
-    ])
+    tagged = _sliced(counts, value)
+    offsets = _slice_offsets(tagged, ["n"], by)
+    # A wanted position falls into the last slice that starts at or before it.
+    # Slice starts and positions share one small timeline per group, and each
+    # slice then receives only its own targets.
+    grid = F.expr("array(" + ", ".join(f"{float(p)!r}D" for p in probabilities) + ")")
     position = (F.col("n_total") - 1) * F.col("probability")
-    targets = (
-        _slice_offsets(tagged, ["n"], by)
-        .withColumn("_grid", F.explode(grid)).select("*", "_grid.*")
+    wanted = (
+        offsets.groupBy(*by).agg(F.first("n_total").alias("n_total"))
+        .select(*by, "n_total", F.posexplode(grid).alias("q_index", "probability"))
         .withColumn("_low", F.floor(position))
         .withColumn("_share", position - F.floor(position))
-        .withColumn("_wanted", F.explode(F.array_distinct(F.array(
+        .withColumn("_at", F.explode(F.array_distinct(F.array(
             F.floor(position), F.ceil(position)))))
-        .withColumn("_at", F.col("_wanted") - F.col("_n_offset"))
-        .where((F.col("_at") >= 0) & (F.col("_at") < F.col("_n_slice")))
-        .select(*by, "_slice", "q_index", "probability", "_share", "_at",
-                (F.col("_wanted") == F.col("_low")).alias("_is_low"))
+        .select(*by, "_at", "q_index", "probability", "_share",
+                (F.col("_at") == F.col("_low")).alias("_is_low"))
+    )
+    starts = offsets.select(*by, F.col("_n_offset").alias("_at"),
+                            F.struct("_slice", "_n_offset").alias("_start"))
+    groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    along = groups.orderBy("_at", F.col("q_index").asc_nulls_first()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    targets = (
+        starts.unionByName(wanted, allowMissingColumns=True)
+        .withColumn("_in", F.last("_start", True).over(along))
+        .where(F.col("q_index").isNotNull())
+        .select(*by, F.col("_in._slice").alias("_slice"), "q_index", "probability", "_share",
+                (F.col("_at") - F.col("_in._n_offset")).alias("_at"), "_is_low")
     )
     hits = _with_inside_sums(tagged, value, ["n"], by).join(targets, [*by, "_slice"]).where(
         (F.col("_n_inside") <= F.col("_at"))

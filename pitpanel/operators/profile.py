@@ -310,17 +310,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranks(axis: str) -> DataFrame:
         counted = pairs.groupBy(axis).agg(F.sum("n").alias("n"))
-        return average_ranks(counted, axis).select(axis, F.col("rank").alias(f"rank_{axis}"))
-
-    ranked = pairs.join(ranks("x"), "x").join(ranks("y"), "y")
-    n, rx, ry = F.col("n"), F.col("rank_x"), F.col("rank_y")
-    # Ranks average (N + 1) / 2 whatever the ties; centring on it keeps the
-    # weighted sums of squares accurate.
-    total = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()) \
-        .agg(F.count(F.lit(1)).alias("_total"))
-    centred = ranked.join(F.broadcast(total)).select(
-        n.alias("n"), (rx - (F.col("_total") + 1) / 2).alias("a"),
-        (ry - (F.col("_total") + 1) / 2).alias("b"))
+        # Ranks average (N + 1) / 2 whatever the ties; centring on it keeps the
+        # weighted sums of squares accurate.
+        return average_ranks(counted, axis).select(
+            axis, (F.col("rank") - (F.col("n_total") + 1) / F.lit(2.0)).alias(f"rank_{axis}"))
+
+    centred = pairs.join(ranks("x"), "x").join(ranks("y"), "y").select(
+        "n", F.col("rank_x").alias("a"), F.col("rank_y").alias("b"))
     cross = F.sum(F.col("n") * F.col("a") * F.col("b"))
     spread_x = F.sum(F.col("n") * F.col("a") * F.col("a"))
     spread_y = F.sum(F.col("n") * F.col("b") * F.col("b"))
@@ -342,12 +338,12 @@ def best_threshold(df: DataFrame, feature: str, label: str = "label_yoy",
     cuts = exact_quantiles(usable, "x", [i / (grid - 1) for i in range(grid)]) \
         .select(F.col("quantile").alias("cut")).distinct()
     # Each cut joins the value table as an empty row and reads its running sums.
-    with_cuts = counted.unionByName(
+    with_cuts = counted.withColumn("is_cut", F.lit(False)).unionByName(
         cuts.select(F.col("cut").alias("x"), F.lit(0).cast("long").alias("n"),
-                    F.lit(0).cast("long").alias("pos"))) \
-        .groupBy("x").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    summed = cumulative_by_value(with_cuts, "x", ["n", "pos"])
-    at_cuts = summed.join(cuts, F.col("x") == F.col("cut"), "left_semi")
+                    F.lit(0).cast("long").alias("pos"), F.lit(True).alias("is_cut"))) \
+        .groupBy("x").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"),
+                          F.bool_or("is_cut").alias("is_cut"))
+    at_cuts = cumulative_by_value(with_cuts, "x", ["n", "pos"]).where("is_cut")
     n_low = F.col("n_below") + F.col("n")
     pos_low = F.col("pos_below") + F.col("pos")
     total, positives = F.col("n_total"), F.col("pos_total")
