@@ -28,7 +28,7 @@ def name_map(current: DataFrame, log: DataFrame, *, entity: str = "ticker",
     # Within the current list a later row replaces an earlier one.
     sign = F.when(F.col("_source") == 0, -F.col(order[0])).otherwise(F.col(order[0]))
     rest = [F.col(column) for column in order[1:]]
-    both = listed.unionByName(logged).where(F.col(entity).isNotNull() & (F.col(entity) != ""))
+    both = listed.unionByName(logged).where(F.col(entity).isNotNull() & (F.col(entity).cast("string") != ""))
     return both.groupBy(entity).agg(
         F.min_by(name, F.struct("_source", sign.alias("_at"), *rest, name)).alias(name))
 

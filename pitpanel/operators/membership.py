@@ -22,7 +22,7 @@ def change_events(changes: DataFrame, entity: str = "ticker", date: str = "date"
         changes.where(F.col(date).isNotNull())
         .select(date, F.explode(sides).alias("side"))
         .select(F.trim("side.who").alias(entity), F.col(date), F.col("side.kind").alias("kind"))
-        .where(F.col(entity).isNotNull() & (F.col(entity) != ""))
+        .where(F.col(entity).isNotNull() & (F.col(entity).cast("string") != ""))
     )
 
 
@@ -61,7 +61,7 @@ def membership_intervals(events: DataFrame, window_start: str, horizon: str, *,
     if current is None:
         return stints
     standing = (
-        current.where(F.col(entity).isNotNull() & (F.col(entity) != ""))
+        current.where(F.col(entity).isNotNull() & (F.col(entity).cast("string") != ""))
         .groupBy(entity).agg(F.max(date_added).alias("_added"))
         .join(log.select(entity).distinct(), entity, "left_anti")
         .withColumn("_opened", F.coalesce("_added", floor_day))

@@ -9,12 +9,14 @@ never are.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +29,7 @@ from pitpanel.functions.scores import decide
 from pitpanel.operators.ordered import exact_quantiles
 
 N_QUANTILES = 1000
+PARALLEL_FITS = 8
 # Distance to a grid end that counts as reaching it, and the
 # normal score given to the ends.
 BOUND_THRESHOLD = 1e-7
@@ -167,8 +170,14 @@ def standardise(df: DataFrame, fitted: FoldScaling, features: Sequence[str],
 # --- estimators ------------------------------------------------------------
 
 
+def _per_fold(df: DataFrame, folds: Sequence[int], fit: Callable[[int], object]) -> list:
+    """Fit the folds side by side: each fit is a chain of small Spark jobs."""
+    with ThreadPoolExecutor(max_workers=max(1, min(len(folds), PARALLEL_FITS))) as pool:
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(fit), folds))
+
+
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label_yoy",
-                 c: float = 1.0, max_iter: int = 2000, tol: float = 1e-8):
+                 c: float = 1.0, max_iter: int = 2000, tol: float = 1e-7):
     """L2 logistic regression with an unpenalised intercept.
 
     Spark averages the loss over rows, so the penalty 1/C on the summed loss
@@ -203,20 +212,23 @@ def logistic_by_fold(assigned: DataFrame, features: Sequence[str], *, ranked: Se
     rows = design(assigned.where(F.col("role").isin("train", scored_role)), features,
                   keep=[fold, "role", label, *keep])
     is_train = (F.col("role") == "train") & F.col(label).isNotNull()
+    rows = rows.persist()
     if ranked:
         grids = fit_quantile_grids(rows.where(is_train), ranked, fold)
-        rows = apply_quantile_grids(rows, grids, ranked, fold)
-    rows = rows.persist()
+        rows = apply_quantile_grids(rows, grids, ranked, fold).persist()
     fitted = fit_scaling(rows.where(is_train), features, fold)
     scaled = standardise(impute(rows, fitted, features, fold), fitted, features, fold)
+    folds = sorted(fitted.means)
+
+    def fit(one: int):
+        return fit_logistic(scaled.where((F.col(fold) == one) & is_train), features, label, c)
+
     scored, coefficients = [], []
-    for one in sorted(fitted.means):
-        here = F.col(fold) == one
-        trained = fit_logistic(scaled.where(here & is_train), features, label, c)
+    for one, trained in zip(folds, _per_fold(assigned, folds, fit)):
         coefficients += [(int(one), model, f, float(w))
                          for f, w in zip(features, trained.coefficients)]
-        scored.append(predict_probability(
-            trained, scaled.where(here & (F.col("role") == scored_role)), features).select(
+        to_score = scaled.where((F.col(fold) == one) & (F.col("role") == scored_role))
+        scored.append(predict_probability(trained, to_score, features).select(
             fold, *keep, F.lit(model).alias("model"), F.col(label).alias("y_true"),
             decide(F.col("probability"), threshold).alias("prediction"), "probability"))
     spark = assigned.sparkSession
@@ -257,9 +269,8 @@ def fit_boosted_trees(train: DataFrame, stop_on: DataFrame, features: Sequence[s
         return GBTClassifier(
             featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step,
             minInstancesPerNode=min_leaf, subsamplingRate=row_share,
-            featureSubsetStrategy=str(column_share), seed=seed,
-            probabilityCol="_probability", rawPredictionCol="_raw",
-            predictionCol="_class").fit(fit_rows)
+            featureSubsetStrategy=str(column_share), seed=seed, predictionCol="_class") \
+            .setProbabilityCol("_probability").setRawPredictionCol("_raw").fit(fit_rows)
 
     trees = min(first_try, max_trees)
     while True:
@@ -300,16 +311,20 @@ def trees_by_fold(assigned: DataFrame, features: Sequence[str], *, inner: bool =
     fitted = fit_scaling(rows.where((F.col("role") == train_role) & labelled), features, fold)
     filled = impute(rows, fitted, features, fold)
     inputs = [*features, *indicators]
+    folds = sorted(fitted.medians)
+
+    def side(one: int, role: str) -> DataFrame:
+        return filled.where((F.col(fold) == one) & (F.col("role") == role))
+
+    def fit(one: int):
+        return fit_boosted_trees(side(one, train_role).where(labelled),
+                                 side(one, stop_role).where(labelled),
+                                 inputs, label=label, **options)
+
     scored, iterations = [], []
-    for one in sorted(fitted.medians):
-        here = F.col(fold) == one
-        trained, best = fit_boosted_trees(
-            filled.where(here & (F.col("role") == train_role) & labelled),
-            filled.where(here & (F.col("role") == stop_role) & labelled),
-            inputs, label=label, **options)
+    for one, (trained, best) in zip(folds, _per_fold(assigned, folds, fit)):
         iterations.append((int(one), model, int(best)))
-        scored.append(predict_probability(
-            trained, filled.where(here & (F.col("role") == scored_role)), inputs).select(
+        scored.append(predict_probability(trained, side(one, scored_role), inputs).select(
             fold, *keep, F.lit(model).alias("model"), F.col(label).alias("y_true"),
             decide(F.col("probability"), threshold).alias("prediction"), "probability"))
     spark = assigned.sparkSession

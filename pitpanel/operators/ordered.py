@@ -91,8 +91,8 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles: rows (by, q_index, probability, quantile)."""
     by = list(by)
-    counts = value_counts(df.withColumn(value, F.col(value).cast("double")), value, by, "n")
-    tagged = _sliced(counts, value)
+    values = df.select(*by, F.col(value).cast("double").alias("_value"))
+    tagged = _sliced(value_counts(values, "_value", by, "n"), "_value")
     offsets = _slice_offsets(tagged, ["n"], by)
     # A wanted position falls into the last slice that starts at or before it.
     # Slice starts and positions share one small timeline per group, and each
@@ -121,12 +121,12 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
         .select(*by, F.col("_in._slice").alias("_slice"), "q_index", "probability", "_share",
                 (F.col("_at") - F.col("_in._n_offset")).alias("_at"), "_is_low")
     )
-    hits = _with_inside_sums(tagged, value, ["n"], by).join(targets, [*by, "_slice"]).where(
+    hits = _with_inside_sums(tagged, "_value", ["n"], by).join(targets, [*by, "_slice"]).where(
         (F.col("_n_inside") <= F.col("_at"))
         & (F.col("_at") < F.col("_n_inside") + F.col("n")))
     ends = hits.groupBy(*by, "q_index", "probability").agg(
-        F.max(F.when(F.col("_is_low"), F.col(value))).alias("_v_low"),
-        F.max(F.when(~F.col("_is_low"), F.col(value))).alias("_v_high"),
+        F.max(F.when(F.col("_is_low"), F.col("_value"))).alias("_v_low"),
+        F.max(F.when(~F.col("_is_low"), F.col("_value"))).alias("_v_high"),
         F.max("_share").alias("_share"))
     return ends.select(
         *by, "q_index", "probability",

@@ -80,7 +80,7 @@ def walk_forward(features: DataFrame, first_train: int, first_validate: int, las
             iterations.append(best)
         else:
             raise ValueError(f"unknown variant {name!r}")
-    scored = _union(parts)
+    scored = _union(parts).persist()
     metrics = evaluate.binary_metrics(scored, ["fold", "model"])
     results = metrics.join(F.broadcast(folds), "fold") \
         .join(F.broadcast(fold_table(assigned, "validate").drop("n_validate")), "fold") \
