@@ -13,6 +13,7 @@ from pitpanel.operators import evaluate, gates, ml, ordered, profile
 from pitpanel.operators.features import MODEL_FEATURES, RANKED_FEATURES
 from pitpanel.operators.knowledge import labelled_rows
 from pitpanel.plans import walkforward
+from pitpanel.session import settle
 
 catalog = Catalog()
 
@@ -383,7 +384,8 @@ def protocol_breaches(spark, sf_dir):
 def quantile_to_normal(spark, sf_dir):
     """Normal scores of the growth lags under each fold's own training grid."""
     assigned = _expanding(spark, sf_dir).where(F.col("role").isin("train", "validate"))
-    rows = ml.design(assigned, RANKED_FEATURES, keep=["fold", "role", "ticker", "period_end"])
+    rows = settle(ml.design(assigned, RANKED_FEATURES,
+                            keep=["fold", "role", "ticker", "period_end"]))
     grids = ml.fit_quantile_grids(rows.where(F.col("role") == "train"), RANKED_FEATURES)
     return rounded(ml.apply_quantile_grids(rows, grids, RANKED_FEATURES), *RANKED_FEATURES)
 
@@ -414,7 +416,7 @@ def boosted_trees_early_stop(spark, sf_dir):
 @catalog.add()
 def holdout_run(spark, sf_dir):
     """The declared holdout protocol, with its counts taken from the features."""
-    features = part_features(spark, sf_dir).persist()
+    features = settle(part_features(spark, sf_dir))
     sizes = evaluate.fold_sizes(evaluate.assign_boundary(
         features, evaluate.boundary_folds(spark, BOUNDARIES)))
     counts = {row["fold"]: row for row in sizes.where(F.col("role") == "predict").collect()}

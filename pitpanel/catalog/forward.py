@@ -13,6 +13,7 @@ from pitpanel.operators import forward, gates, profile
 from pitpanel.operators.features import MODEL_FEATURES
 from pitpanel.plans import forward as plan
 from pitpanel.plans.panel import build_panel
+from pitpanel.session import settle
 from pitpanel.sources.tables import parse_provenance
 
 catalog = Catalog()
@@ -312,7 +313,7 @@ def membership_at_filing(spark, sf_dir):
 @catalog.add()
 def forward_predictions(spark, sf_dir):
     """Refit at the cut and predict every pending row."""
-    history = _history(spark, sf_dir).history.persist()
+    history = settle(_history(spark, sf_dir).history)
     pending, _ = _pending(spark, sf_dir, history)
     built, past = plan.forward_features(history, pending)
     predicted = plan.predict_pending(built.select("ticker", "period_end", "prediction_date",

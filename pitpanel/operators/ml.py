@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pitpanel.contracts import nan_to_null
 from pitpanel.functions.scores import decide
 from pitpanel.operators.ordered import exact_quantiles
+from pitpanel.session import settle
 
 N_QUANTILES = 1000
 PARALLEL_FITS = 8
@@ -212,10 +213,10 @@ def logistic_by_fold(assigned: DataFrame, features: Sequence[str], *, ranked: Se
     rows = design(assigned.where(F.col("role").isin("train", scored_role)), features,
                   keep=[fold, "role", label, *keep])
     is_train = (F.col("role") == "train") & F.col(label).isNotNull()
-    rows = rows.persist()
+    rows = settle(rows)
     if ranked:
         grids = fit_quantile_grids(rows.where(is_train), ranked, fold)
-        rows = apply_quantile_grids(rows, grids, ranked, fold).persist()
+        rows = settle(apply_quantile_grids(rows, grids, ranked, fold))
     fitted = fit_scaling(rows.where(is_train), features, fold)
     scaled = standardise(impute(rows, fitted, features, fold), fitted, features, fold)
     folds = sorted(fitted.means)
@@ -306,7 +307,7 @@ def trees_by_fold(assigned: DataFrame, features: Sequence[str], *, inner: bool =
     rows = design(assigned.where(F.col("role").isin(*wanted)), features,
                   keep=[fold, "role", label, *keep])
     rows, indicators = with_missing_indicators(rows, features)
-    rows = rows.persist()
+    rows = settle(rows)
     labelled = F.col(label).isNotNull()
     fitted = fit_scaling(rows.where((F.col("role") == train_role) & labelled), features, fold)
     filled = impute(rows, fitted, features, fold)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pitpanel.operators.knowledge import first_known, split_by_lag, with_decisio
 from pitpanel.operators.membership import members_at
 from pitpanel.operators.restatements import detect_unit_changes
 from pitpanel.plans.panel import label_quarters
+from pitpanel.session import settle
 
 KEYS = ("ticker", "period_end")
 FACT_COLUMNS = ("ticker", "period_end", "filed_date", "prediction_date", "eps_diluted",
@@ -89,6 +90,7 @@ def run_forward(facts: DataFrame, panel: DataFrame, intervals: DataFrame, cut: s
     """Predictions for every member's next period, refused if any is resolvable."""
     extended = extend_history(facts, panel, cut, study_start,
                               intervals=intervals if gate else None)
+    extended = replace(extended, history=settle(extended.history))
     members = members_at(intervals, cut)
     pending, skipped = forward.pending_rows(extended.history, members, cut)
     gates.enforce(gates.below_floor(forward.pending_coverage(pending, skipped),

@@ -12,6 +12,7 @@ from pitpanel.contracts import ContractError, forbid_columns, require_columns
 from pitpanel.operators import evaluate, gates, ml
 from pitpanel.operators.features import MODEL_FEATURES, RANKED_FEATURES, TARGET_IDENTITIES
 from pitpanel.operators.knowledge import any_missing, labelled_rows, lock_holdout
+from pitpanel.session import settle
 from pitpanel.sources.protocol import declared_folds
 
 CONSTANT = "constant"
@@ -60,7 +61,9 @@ def walk_forward(features: DataFrame, first_train: int, first_validate: int, las
     frame = modelling_frame(features, boundary)
     folds = evaluate.expanding_folds(frame.sparkSession, first_train, first_validate,
                                      last_validate)
-    assigned = evaluate.with_inner_roles(evaluate.assign_expanding(frame, folds)).persist()
+    used = ["period_end", "prediction_date", "label_yoy", entity, *MODEL_FEATURES]
+    assigned = evaluate.with_inner_roles(
+        evaluate.assign_expanding(settle(frame.select(*used)), folds))
     gates.enforce(gates.fold_order(assigned, boundary), "fold discipline")
     parts, coefficients, iterations = [], [], []
     keep = [entity]
@@ -80,7 +83,7 @@ def walk_forward(features: DataFrame, first_train: int, first_validate: int, las
             iterations.append(best)
         else:
             raise ValueError(f"unknown variant {name!r}")
-    scored = _union(parts).persist()
+    scored = settle(_union(parts))
     metrics = evaluate.binary_metrics(scored, ["fold", "model"])
     results = metrics.join(F.broadcast(folds), "fold") \
         .join(F.broadcast(fold_table(assigned, "validate").drop("n_validate")), "fold") \
@@ -106,8 +109,9 @@ def run_holdout(features: DataFrame, protocol: dict,
         raise ContractError("; ".join(problems))
     require_columns(features, [*columns, "label_yoy"], "feature table")
     spark = features.sparkSession
-    assigned = evaluate.assign_boundary(
-        features, evaluate.boundary_folds(spark, boundaries)).persist()
+    features = settle(features.select(entity, "period_end", "prediction_date", "label_yoy",
+                                      *columns))
+    assigned = evaluate.assign_boundary(features, evaluate.boundary_folds(spark, boundaries))
     opening = F.lit(boundaries[0][0]).cast("date")
     keys = [entity, "period_end"]
     gates.enforce(gates.protocol_breaches(
