@@ -20,7 +20,7 @@ def parse_protocol(text: str, revision: int | None = None) -> dict:
 
 def read_protocol(spark: SparkSession, path: str, revision: int | None = None) -> dict:
     """Read through Spark, so any file system the cluster sees will do."""
-    rows = spark.read.option("wholetext", True).text(path).take(1)
+    rows = spark.read.text(path, wholetext=True).take(1)
     return parse_protocol(rows[0][0], revision)
 
 
