@@ -20,7 +20,7 @@ DIRECTIONS = ("nearest", "backward", "forward")
 def asof_match(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_on: str,
                right_on: str, payload: Sequence[str] = (), right_order: Sequence[str] = (),
                tolerance_days: int | None = None, direction: str = "nearest",
-               left_unique: bool = False) -> DataFrame:
+               left_unique: bool = False, right_unique: bool = False) -> DataFrame:
     """Left join each left row to one right row of its key, by date proximity.
 
     Adds ``right_on`` and ``payload`` from the matched row (null when there is
@@ -30,6 +30,8 @@ def asof_match(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_on:
 
     ``left_unique=True`` promises one left row per (key, left_on); the left row
     then travels through the window itself and no join back is needed.
+    ``right_unique=True`` promises the same of the right side and saves its
+    reduction to one row per day.
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}, not {direction!r}")
@@ -42,20 +44,67 @@ def asof_match(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_on:
         order = F.struct(*[F.col(name) for name in right_order])
     else:
         order = found
-    candidates = dated.groupBy(*by, F.col(right_on).alias("_day")).agg(
-        F.max_by(found, order).alias("_found"))
+    if right_unique:
+        candidates = dated.select(*by, F.col(right_on).alias("_day"), found.alias("_found"))
+    else:
+        candidates = dated.groupBy(*by, F.col(right_on).alias("_day")).agg(
+            F.max_by(found, order).alias("_found"))
 
     if left_unique:
         probes = left.select(*by, F.col(left_on).alias("_day"),
                              F.struct(*left.columns).alias("_left"))
     else:
         probes = left.select(*by, F.col(left_on).alias("_day")).distinct()
-    is_probe = F.col("_is_probe")
     timeline = (
         candidates.withColumn("_is_probe", F.lit(0))
         .unionByName(probes.withColumn("_is_probe", F.lit(1)), allowMissingColumns=True)
     )
+    matched = _matched(timeline, by, right_on, tolerance_days, direction)
+    added = [F.col(f"_match.{name}").alias(name) for name in (right_on, *payload)]
+    if left_unique:
+        return matched.select(*_carried(left.columns, by), *added)
+    lookup = matched.select(*by, F.col("_day").alias(left_on), "_match")
+    return (left.join(lookup, [*by, left_on], "left")
+            .select(*left.columns, *added))
+
 
+def asof_self_match(df: DataFrame, *, by: Sequence[str], day: str, target: Column,
+                    payload: dict[str, str], tolerance_days: int | None = None,
+                    direction: str = "nearest") -> DataFrame:
+    """``asof_match`` of a table with itself, reading it once.
+
+    The table has one row per (key, day). Each row enters the timeline twice,
+    as a candidate on its day and as a probe on its target day. ``payload``
+    maps the columns taken from the matched row, ``day`` included, to their
+    new names.
+    """
+    if direction not in DIRECTIONS:
+        raise ValueError(f"direction must be one of {DIRECTIONS}, not {direction!r}")
+    by = list(by)
+    found = F.struct(*[F.col(old).alias(new) for old, new in payload.items()])
+    row = F.struct(*df.columns)
+    roles = F.array(
+        F.struct(F.col(day).alias("_day"), F.lit(0).alias("_is_probe"), found.alias("_found"),
+                 F.when(F.lit(False), row).alias("_left")),
+        F.struct(target.alias("_day"), F.lit(1).alias("_is_probe"),
+                 F.when(F.lit(False), found).alias("_found"), row.alias("_left")))
+    timeline = df.select(*by, F.explode(roles).alias("_role")).select(*by, "_role.*") \
+        .where((F.col("_is_probe") == 1) | F.col("_day").isNotNull())
+    matched = _matched(timeline, by, payload[day], tolerance_days, direction)
+    return matched.select(*_carried(df.columns, by), *[
+        F.col(f"_match.{new}").alias(new) for new in payload.values()])
+
+
+def _carried(columns: Sequence[str], by: Sequence[str]) -> list[Column]:
+    """The left row's columns. Keys are the window's own, so that Spark still
+    knows the result to be partitioned by them."""
+    return [F.col(c) if c in by else F.col(f"_left.{c}").alias(c) for c in columns]
+
+
+def _matched(timeline: DataFrame, by: Sequence[str], right_on: str,
+             tolerance_days: int | None, direction: str) -> DataFrame:
+    """The probes of a timeline with their match in ``_match``."""
+    is_probe = F.col("_is_probe")
     # On an equal day the candidate sorts first in both directions, so each
     # running "last seen" includes it.
     ascending = Window.partitionBy(*by).orderBy(F.col("_day").asc(), is_probe.asc()) \
@@ -67,14 +116,8 @@ def asof_match(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_on:
     if direction in ("nearest", "forward"):
         timeline = timeline.withColumn("_ahead", F.last("_found", True).over(descending))
 
-    matched = timeline.where(is_probe == 1).withColumn(
+    return timeline.where(is_probe == 1).withColumn(
         "_match", _choose(direction, right_on, tolerance_days))
-    added = [F.col(f"_match.{name}").alias(name) for name in (right_on, *payload)]
-    if left_unique:
-        return matched.select("_left.*", *added)
-    lookup = matched.select(*by, F.col("_day").alias(left_on), "_match")
-    return (left.join(lookup, [*by, left_on], "left")
-            .select(*left.columns, *added))
 
 
 def _choose(direction: str, right_on: str, tolerance_days: int | None) -> Column:
@@ -105,21 +148,19 @@ def year_ago_match(panel: DataFrame, *, entity: str = "ticker", period: str = "p
     ``unique`` states that the panel has one row per (entity, period), which
     first-known dedupe guarantees.
     """
+    names = {period: f"{period}_year_ago", filed: f"{filed}_year_ago", value: value_out}
+    target = F.date_sub(period, target_days)
+    if history is None and unique:
+        return asof_self_match(panel, by=[entity], day=period, target=target, payload=names,
+                               tolerance_days=tolerance_days)
     source = panel if history is None else history
-    candidates = source.select(
-        entity,
-        F.col(period).alias(f"{period}_year_ago"),
-        F.col(filed).alias(f"{filed}_year_ago"),
-        F.col(value).alias(value_out),
-    )
-    target = f"{period}_target"
+    candidates = source.select(entity, *[F.col(old).alias(new) for old, new in names.items()])
     return asof_match(
-        panel.withColumn(target, F.date_sub(period, target_days)), candidates,
-        by=[entity], left_on=target, right_on=f"{period}_year_ago",
-        payload=[f"{filed}_year_ago", value_out],
-        right_order=[f"{filed}_year_ago", value_out],
-        tolerance_days=tolerance_days, left_unique=unique,
-    ).drop(target)
+        panel.withColumn("_target", target), candidates,
+        by=[entity], left_on="_target", right_on=names[period],
+        payload=[names[filed], value_out], right_order=[names[filed], value_out],
+        tolerance_days=tolerance_days, left_unique=unique, right_unique=unique,
+    ).drop("_target")
 
 
 def covered_at(rows: DataFrame, intervals: DataFrame, *, entity: str = "ticker",

@@ -22,15 +22,17 @@ def restatement_evidence(facts: DataFrame, *, entity: str = "ticker", period: st
     earliest filing, which keeps every bound the evidence can give.
     """
     keyed = facts.where(F.abs(value) > min_magnitude)
+    # Both readers of `values` need `_order`, so they share one shuffle.
     values = keyed.groupBy(entity, period, value).agg(
-        F.min(filed).alias("later_filed"), F.min(filing_order(filed, ties)).alias("_order"))
+        F.min(filing_order(filed, ties)).alias("_order"))
     originals = values.groupBy(entity, period).agg(
         F.min_by(value, "_order").alias("original"),
         F.min("_order").getField("filed").alias("original_filed"))
     ratio = F.col("original") / F.col(value)
     factor = F.rint(ratio)
     return (
-        values.join(originals, [entity, period])
+        values.withColumn("later_filed", F.col("_order.filed"))
+        .join(originals, [entity, period])
         .where(F.abs(F.col(value) - F.col("original")) > EQUAL_WITHIN)
         .withColumn("factor", factor)
         .where((F.col("factor") >= min_factor)
@@ -67,20 +69,25 @@ def adjust_year_ago(panel: DataFrame, events: DataFrame, *, entity: str = "ticke
     intervenes = (then <= start) & (now >= end)
     same_side = ((then <= start) & (now <= start)) | ((then >= end) & (now >= end))
     sided = F.col("established")
-    effects = (
-        panel.where(F.col(f"{period}_year_ago").isNotNull())
-        .select(entity, period, filed, f"{filed}_year_ago")
-        .join(events, entity)
-        .withColumn("_applies", F.coalesce(sided & intervenes, F.lit(False)))
-        .withColumn("_unclear", ~F.coalesce(sided & (intervenes | same_side), F.lit(False)))
+    matched = F.col(f"{period}_year_ago").isNotNull()
+    applies = matched & sided & intervenes
+    decided = sided & (intervenes | same_side)
+    # The row travels with its events and folds back to itself: the join and
+    # the grouping both follow the entity, and the panel is computed once.
+    joined = (
+        panel.withColumn("_row", F.struct(*panel.columns))
+        .join(events, entity, "left")
         .groupBy(entity, period)
-        .agg(F.product(F.when(F.col("_applies"), F.col("factor"))).alias("_factor"),
-             F.bool_or("_unclear").alias("_ambiguous"))
+        .agg(F.first("_row").alias("_row"),
+             F.product(F.when(applies, F.col("factor"))).alias("_factor"),
+             F.bool_or(matched & F.col("factor").isNotNull()
+                       & ~F.coalesce(decided, F.lit(False))).alias("_ambiguous"))
     )
-    joined = panel.join(effects, [entity, period], "left")
     applied = F.coalesce(F.col("_factor"), F.lit(1.0)).cast("long")
     return (
-        joined.select(*panel.columns, applied.alias("split_factor_applied"),
+        joined.select(*[F.col(c) if c in (entity, period) else F.col(f"_row.{c}").alias(c)
+                        for c in panel.columns],
+                      applied.alias("split_factor_applied"),
                       F.coalesce("_ambiguous", F.lit(False)).alias("split_ambiguous"))
         .withColumn(f"{value}_adjusted", F.col(value) / F.col("split_factor_applied"))
         .withColumn("split_contaminated",

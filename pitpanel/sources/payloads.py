@@ -21,12 +21,17 @@ def unit_key(units: Column, preferred: str = PREFERRED_UNIT) -> Column:
 def explode_units(payload: DataFrame, identifier: str = "cik", units: str = "units",
                   preferred: str = PREFERRED_UNIT) -> DataFrame:
     """One row per record of the chosen unit."""
-    chosen = payload.withColumn("unit", unit_key(F.col(units), preferred))
-    records = F.try_element_at(F.col(units), F.col("unit"))
-    return chosen.select(identifier, "unit", F.explode(records).alias("fact")) \
+    return _chosen(payload, identifier, units, preferred) \
+        .select(identifier, "unit", F.explode("records").alias("fact")) \
         .select(identifier, "unit", "fact.*")
 
 
+def _chosen(payload: DataFrame, identifier: str, units: str, preferred: str) -> DataFrame:
+    keyed = payload.withColumn("unit", unit_key(F.col(units), preferred))
+    return keyed.select(identifier, "unit",
+                        F.try_element_at(F.col(units), F.col("unit")).alias("records"))
+
+
 def ingest_facts(primary: DataFrame, fallback: DataFrame | None = None, *,
                  concept: str = "EarningsPerShareDiluted", taxonomy: str = "us-gaap",
                  identifier: str = "cik") -> DataFrame:
@@ -37,15 +42,16 @@ def ingest_facts(primary: DataFrame, fallback: DataFrame | None = None, *,
     bulk = fallback.select(identifier, F.try_element_at(
         F.try_element_at("facts", F.lit(taxonomy)), F.lit(concept)).getField("units")
         .alias("units"))
-    extra = explode_units(
-        bulk.join(facts.select(identifier).distinct(), identifier, "left_anti"), identifier)
+    answered = _chosen(primary, identifier, "units", PREFERRED_UNIT) \
+        .where(F.size("records") > 0).select(identifier)
+    extra = explode_units(bulk.join(answered, identifier, "left_anti"), identifier)
     return facts.unionByName(extra.withColumn("source", F.lit("companyfacts")))
 
 
 def shape_facts(facts: DataFrame, value: str = "eps_diluted") -> DataFrame:
     """Typed quarterly facts: dates parsed, other durations dropped, lag added."""
     dated = facts.select(
-        *[F.try_to_date(F.col(c), "yyyy-MM-dd").alias(c) if c in ("start", "end", "filed")
+        *[F.col(c).try_cast("date").alias(c) if c in ("start", "end", "filed")
           else F.col(c) for c in facts.columns])
     quarterly = quarterly_facts(dated)
     return with_lag_days(
