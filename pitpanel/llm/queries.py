@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pitpanel.catalog.registry import Catalog
-from pitpanel.llm import quality_rules
+from pitpanel.llm import bpe, mixing, pii, quality_rules, simhash
 
 catalog = Catalog()
 
@@ -14,8 +15,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    """The tokenizer file of the byte-level BPE queries."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def encoded_digests(tokens: DataFrame) -> DataFrame:
+    return tokens.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@catalog.add()
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    shared = bpe.share(spark, vocabulary_path())
+    return encoded_digests(bpe.encode(docs, shared, decoded="decoded"))
+
+
 @catalog.add()
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "base_failed", "kept")
+
+
+@catalog.add()
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"))
+
+
+@catalog.add()
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
+@catalog.add()
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    base, terms = pii.listed(F.col("spans")), pii.listed(F.col("terms"), pii.ALL_KINDS)
+    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long")
+              .alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    both = F.array_compact(F.array(F.when(base != "", base), F.when(terms != "", terms)))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"),
+                        F.array_join(both, ",").alias("spans"))
