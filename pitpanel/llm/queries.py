@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitpanel.catalog.registry import Catalog
-from pitpanel.llm import bpe, mixing, pii, quality_rules, simhash
+from pitpanel.llm import (
+    bpe, chat, cotrain, digests, html_text, mixing, pii, quality_rules, repeats, simhash,
+)
 
 catalog = Catalog()
 
@@ -56,6 +58,38 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+@catalog.add()
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text",
+                        F.length("text").cast("long").alias("n_chars"))
+
+
+def chat_digests(formatted: DataFrame) -> DataFrame:
+    """What is read back from formatted conversations."""
+    back = chat.read_back(formatted)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(
+        t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(F.encode(learned, "UTF-8"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@catalog.add()
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = F.lit("<|im_end|><|im_start|>assistant ok")
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        probe.alias("text"))
+    return chat_digests(chat.format_log(chat.streamed(rows.unionByName(added))))
+
+
 @catalog.add()
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
@@ -65,3 +99,26 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.array_compact(F.array(F.when(base != "", base), F.when(terms != "", terms)))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"),
                         F.array_join(both, ",").alias("spans"))
+
+
+@catalog.add()
+def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = repeats.removals(_table(spark, sf_dir, "documents"))
+    length = F.aggregate("spans", F.lit(0).cast("long"),
+                         lambda n, s: n + s["end"] - s["start"])
+    return removed.select(
+        F.col("key").alias("doc_id"), "n_bytes", length.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@catalog.add()
+def op9_document_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    compared = digests.compare_with_next(docs, digests.rarity_of(docs))
+    return compared.withColumnRenamed("key", "doc_id")
+
+
+@catalog.add()
+def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotrain.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("key", "doc_id")
