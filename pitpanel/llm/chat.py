@@ -70,8 +70,10 @@ def fold(log: DataFrame, conversation: str = "conv_id") -> DataFrame:
     current = F.last(F.when(F.col("opens"), F.col("opened")).when(redone, F.col("target")),
                      ignorenulls=True).over(so_far)
     resets = F.col("kind").isin("edit", "regenerate")
+    aim = F.coalesce("target", "current")
     aimed = opened.withColumn("current", current).withColumn(
-        "message", F.when(resets, F.coalesce("target", "current")).otherwise(F.col("current")))
+        "message", F.when(~resets, F.col("current"))
+        .when(aim.between(1, F.col("opened")), aim)).filter("message IS NOT NULL")
     folded = aimed.groupBy("conv", "message").agg(
         F.min(F.when(F.col("opens"), F.struct("at", "role"))).alias("opening"),
         F.max(F.when(resets, F.col("at"))).alias("reset_at"),

@@ -90,9 +90,11 @@ def _fit(rows: DataFrame, view: str, label: str) -> Linear | None:
     """A fit on (view, label); None without both classes."""
     training = rows.select(array_to_vector(F.col(view)).alias("features"),
                            F.col(label).cast("double").alias("label"))
-    if training.select("label").distinct().count() < 2:
+    counts = [r["count"] for r in training.groupBy("label").count().collect()]
+    if len(counts) < 2:
         return None
-    model = LogisticRegression(maxIter=25, regParam=1e-3).fit(training)
+    # The fewer the rows, the less their weights may say.
+    model = LogisticRegression(maxIter=25, regParam=1e-3 + 5 / sum(counts)).fit(training)
     return Linear(tuple(float(w) for w in model.coefficients), float(model.intercept))
 
 
