@@ -34,8 +34,8 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+"
          rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Characters of texts worked on together, and words remembered, in each worker.
-CHUNK_CHARS = 1 << 21
-REMEMBERED = 400_000
+CHUNK_CHARS = 1 << 19
+REMEMBERED = 120_000
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -70,19 +70,22 @@ class Codec:
         plain = {b: i for i, b in enumerate(self.bytes_of) if b and i not in special.values()}
         self.id_of = plain
         self.longest = max(map(len, plain))
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank by a * size + b; the token that a rank makes.
+        self.merges: dict[int, int] = {}
+        self.made: list[int] = []
         self.left = np.full(size, -1, np.int64)
         self.right = np.full(size, -1, np.int64)
         self.rank = np.full(size, -1, np.int64)
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             made = vocab[a + b]
-            self.merges[vocab[a], vocab[b]] = rank, made
+            self.merges[vocab[a] * size + vocab[b]] = rank
+            self.made.append(made)
             self.left[made], self.right[made], self.rank[made] = vocab[a], vocab[b], rank
-        keys = np.array([a * size + b for a, b in self.merges], np.int64)
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
         order = np.argsort(keys)
         self.size, self.pair_keys = size, keys[order]
-        self.pair_ranks = np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.pair_ranks = np.fromiter(self.merges.values(), np.int64, len(self.merges))[order]
         # Tokens that the merges never produce from their own bytes can't be proposed.
         self.reachable = self._reachable(plain)
         self.known: dict[str, bytes] = {}
@@ -115,9 +118,9 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def _offer(self, heap: list, at: int, a: int, b: int) -> None:
-        found = self.merges.get((a, b))
-        if found:
-            heapq.heappush(heap, (found[0], at, found[1], a, b))
+        rank = self.merges.get(a * self.size + b)
+        if rank is not None:
+            heapq.heappush(heap, (rank, at, self.made[rank], a, b))
 
     def propose(self, data: bytes) -> list[int]:
         """Greedy longest matches."""
