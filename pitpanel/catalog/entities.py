@@ -231,9 +231,7 @@ PROBED_SQL = """probed AS (
          arg_min(n_records, row(-n_records, position)) AS n_records,
          arg_min(first_period, row(-n_records, position)) AS first_period,
          arg_min(last_period, row(-n_records, position)) AS last_period
-  FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY position, cik) AS nth
-        FROM registry) r JOIN id_ranges i ON r.cik = i.cik
-  WHERE nth <= 4 GROUP BY norm)"""
+  FROM registry r JOIN id_ranges i ON r.cik = i.cik GROUP BY norm)"""
 
 
 @catalog.add(with_ctes(PART_FACTS_SQL, ID_RANGES_SQL, REGISTRY_SQL, PROBED_SQL,
@@ -388,7 +386,7 @@ best AS (
   SELECT ticker, arg_min(t.cik, row(-n_records, nth)) AS new_cik,
          arg_min(n_records, row(-n_records, nth)) AS new_n_records,
          arg_min(first_period, row(-n_records, nth)) AS new_earliest
-  FROM tries t JOIN id_ranges i ON i.cik = t.cik WHERE nth <= 4 GROUP BY ticker)""", select="""
+  FROM tries t JOIN id_ranges i ON i.cik = t.cik GROUP BY ticker)""", select="""
   SELECT s.ticker, s.cik AS old_cik,
          (SELECT count(*) FROM tries t WHERE t.ticker = s.ticker) AS n_candidates,
          b.new_cik, b.new_n_records, b.new_earliest,

@@ -303,7 +303,7 @@ def exact_quantile_grid(spark, sf_dir):
 
 @catalog.add(with_ctes(*FEATURE_CHAIN, """roles AS (
   SELECT f.fold, CASE WHEN year(prediction_date) = f.fold THEN 'validate' ELSE 'train' END AS role,
-         year(prediction_date) AS y, label_yoy FROM features, (VALUES (1998), (1999), (2000)) f(fold)
+         year(prediction_date) AS y, label_yoy FROM features, (VALUES (1998), (1999), (2000), (2001)) f(fold)
   WHERE label_yoy IS NOT NULL AND year(prediction_date) BETWEEN 1996 AND f.fold),
 all_roles AS (
   SELECT fold, role, label_yoy FROM roles UNION ALL
@@ -318,7 +318,7 @@ def expanding_fold_sizes(spark, sf_dir):
 
 def _expanding(spark, sf_dir):
     frame = labelled_rows(part_features(spark, sf_dir))
-    folds = evaluate.expanding_folds(spark, 1996, 1998, 2000)
+    folds = evaluate.expanding_folds(spark, 1996, 1998, 2001)
     return evaluate.with_inner_roles(evaluate.assign_expanding(frame, folds))
 
 
@@ -344,7 +344,7 @@ def boundary_fold_sizes(spark, sf_dir):
 # The expanding folds are sound; validating on the panel's own years is not
 # when the holdout begins inside them.
 @catalog.add(with_ctes(*FEATURE_CHAIN, select="""
-  SELECT fold, 'reaches the holdout' AS violation FROM (VALUES (1998), (1999), (2000)) f(fold)
+  SELECT fold, 'reaches the holdout' AS violation FROM (VALUES (1998), (1999), (2000), (2001)) f(fold)
   WHERE (SELECT max(prediction_date) FROM features WHERE label_yoy IS NOT NULL
          AND year(prediction_date) <= fold) >= DATE '2000-01-01'"""))
 def fold_discipline(spark, sf_dir):
@@ -398,7 +398,7 @@ def walk_forward_results(spark, sf_dir):
 
 @catalog.add()
 def coefficient_stability(spark, sf_dir):
-    run = walkforward.walk_forward(part_features(spark, sf_dir), 1996, 1999, 2000, "2001-01-01")
+    run = walkforward.walk_forward(part_features(spark, sf_dir), 1996, 1998, 2000, "2001-01-01")
     return rounded(evaluate.coefficient_stability(run.coefficients, "logistic_raw",
                                                   "logistic_rank"), "before", "after", "ratio")
 

@@ -177,11 +177,16 @@ PREDICTIONS_SQL = """predictions AS (
          1.0 / (1.0 + exp(-(p_retailprice - 1000.0) / 200.0)) AS predicted_probability
   FROM part)"""
 
-RESOLVED_SQL = f"""outcomes AS (
+# By then every deadline has passed, so nothing is outstanding.
+SETTLED_AT = "2001-12-31"
+
+
+def resolved_sql(scored_at: str) -> str:
+    return f"""outcomes AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker
                    ORDER BY filed_date, period_end) AS rn
                  FROM quarters WHERE prediction_date > DATE '{CUT}'
-                   AND filed_date < DATE '2001-02-01') WHERE rn = 1),
+                   AND filed_date <= DATE '{scored_at}') WHERE rn = 1),
 resolved AS (
   SELECT p.ticker, p.expected_period_end, p.predicted_probability,
          CAST(predicted_probability >= 0.5 AS INTEGER) AS predicted_label,
@@ -192,13 +197,15 @@ resolved AS (
               THEN 'scored'
               WHEN o.prediction_date <= p.expected_period_end + 120 THEN 'excluded_no_label'
               WHEN o.ticker IS NOT NULL THEN 'excluded_late_filing'
-              WHEN DATE '{SCORED_AT}' > p.expected_period_end + 120 THEN 'excluded_no_filing'
+              WHEN DATE '{scored_at}' > p.expected_period_end + 120 THEN 'excluded_no_filing'
               ELSE 'outstanding' END AS status
   FROM predictions p LEFT JOIN outcomes o ON o.ticker = p.ticker)"""
-RESOLVED_CHAIN = (*HISTORY_CHAIN, PREDICTIONS_SQL, RESOLVED_SQL)
 
 
-def _resolved(spark, sf_dir):
+RESOLVED_CHAIN = (*HISTORY_CHAIN, PREDICTIONS_SQL, resolved_sql(SCORED_AT))
+
+
+def _resolved(spark, sf_dir, scored_at=SCORED_AT):
     probability = 1.0 / (1.0 + F.exp(-(F.col("p_retailprice") - 1000.0) / 200.0))
     expected = F.when(F.col("p_size") <= 3, "2000-04-30") \
         .when(F.col("p_size") <= 45, "2000-09-30").otherwise("2001-03-31")
@@ -208,8 +215,9 @@ def _resolved(spark, sf_dir):
         (probability >= 0.5).cast("int").alias("predicted_label"))
     quarters = plan.rebuild_quarters(part_facts(spark, sf_dir), _panel(spark, sf_dir),
                                      STUDY_START, ties=TIES)
-    known = quarters.where(F.col("filed_date") < F.lit("2001-02-01").cast("date"))
-    return forward.resolve_outcomes(predictions, known, CUT, SCORED_AT)
+    # What had been filed when the predictions are scored is known.
+    known = quarters.where(F.col("filed_date") <= F.lit(scored_at).cast("date"))
+    return forward.resolve_outcomes(predictions, known, CUT, scored_at)
 
 
 @catalog.add(with_ctes(*RESOLVED_CHAIN, select="""
@@ -240,7 +248,7 @@ _SCORE_COLUMNS = ("actual_positive_rate", "log_loss", "constant_log_loss", "accu
                   "accuracy_delta")
 
 
-@catalog.add(with_ctes(*RESOLVED_CHAIN, f"""scores AS (
+@catalog.add(with_ctes(*HISTORY_CHAIN, PREDICTIONS_SQL, resolved_sql(SETTLED_AT), f"""scores AS (
   SELECT count(*) AS n_predicted, count(*) FILTER (status = 'scored') AS n_scored,
     count(*) FILTER (status = 'excluded_no_label') AS n_excluded_no_label,
     count(*) FILTER (status = 'excluded_late_filing') AS n_excluded_late_filing,
@@ -264,10 +272,12 @@ _SCORE_COLUMNS = ("actual_positive_rate", "log_loss", "constant_log_loss", "accu
          log_loss < constant_log_loss AS passes_log_loss,
          accuracy > constant_accuracy AS passes_accuracy,
          log_loss < constant_log_loss AND accuracy > constant_accuracy AS passes_both
-  FROM scores"""))
+  FROM scores WHERE n_outstanding = 0"""))
 def forward_score(spark, sf_dir):
-    return rounded(forward.score_resolved(_resolved(spark, sf_dir), TRAINING_RATE),
-                   *_SCORE_COLUMNS)
+    """All or nothing: a run with outstanding rows has no score."""
+    resolved = _resolved(spark, sf_dir, SETTLED_AT)
+    scored = rounded(forward.score_resolved(resolved, TRAINING_RATE), *_SCORE_COLUMNS)
+    return scored.where(F.col("n_outstanding") == 0)
 
 
 @catalog.add(with_ctes(*RESOLVED_CHAIN, select="""

@@ -34,7 +34,7 @@ def forbid_columns(df: DataFrame, columns: Iterable[str], table: str = "table")
 def nan_to_null(column: str | Column) -> Column:
     """Spark orders NaN above every number, so missing doubles must be null."""
     value = F.col(column) if isinstance(column, str) else column
-    return F.when(~F.isnan(value), value)
+    return F.when(~F.isnan(value.cast("double")), value)
 
 
 def known_true(condition: Column) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pitpanel.functions.names import separator_variants, symbol
 
 FUZZY_CUTOFF = 0.90
-PROBED_CANDIDATES = 4
 GRAM = 3
 
 
@@ -33,6 +32,14 @@ def name_map(current: DataFrame, log: DataFrame, *, entity: str = "ticker",
         F.min_by(name, F.struct("_source", sign.alias("_at"), *rest, name)).alias(name))
 
 
+def _one_per_symbol(df: DataFrame, key: Column, *columns: str) -> DataFrame:
+    """One row per symbol (``_key``) however it is spelled: the smallest cik's."""
+    answered = df.where(F.col("cik").isNotNull()).select(key.alias("_key"), *columns)
+    return answered.groupBy("_key").agg(
+        F.min_by(F.struct(*columns), F.struct(*columns)).alias("_row")) \
+        .select("_key", *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
 def resolve_ids(entities: DataFrame, *, spans: DataFrame, overrides: DataFrame,
                 recovered: DataFrame, current_map: DataFrame,
                 entity: str = "ticker") -> DataFrame:
@@ -40,19 +47,21 @@ def resolve_ids(entities: DataFrame, *, spans: DataFrame, overrides: DataFrame,
 
     Span table, then override, then recovered id, then the current map under
     the symbol and its separator spellings. One row per span; entities nothing
-    answers get a null id and route ``unresolved``.
+    answers get a null id and route ``unresolved``. A source that spells one
+    symbol twice answers once, with its smallest id.
     """
     wanted = entities.select(entity).distinct().withColumn("_symbol", symbol(entity))
 
     def source(df: DataFrame, route: str) -> DataFrame:
-        return df.select(symbol(entity).alias("_symbol"), F.col("cik").alias(f"_{route}"))
+        return _one_per_symbol(df, symbol(entity), "cik").select(
+            F.col("_key").alias("_symbol"), F.col("cik").alias(f"_{route}"))
 
     spelled = wanted.select(entity, F.posexplode(separator_variants(entity)).alias("_at", "_key"))
     mapped = (
-        spelled.join(current_map.select(symbol(entity).alias("_key"), F.col("cik")), "_key")
+        spelled.join(_one_per_symbol(current_map, symbol(entity), "cik"), "_key")
         .groupBy(entity).agg(F.min_by("cik", "_at").alias("_ticker_map")))
     spanned = spans.select(symbol(entity).alias("_symbol"), F.col("cik").alias("_span"),
-                           "valid_from", "valid_to")
+                           "valid_from", "valid_to").distinct()
     answers = (
         wanted.join(spanned, "_symbol", "left")
         .join(source(overrides, "override"), "_symbol", "left")
@@ -76,9 +85,10 @@ def resolve_for_census(entities: DataFrame, *, overrides: DataFrame, current_map
     """
     wanted = entities.select(entity).distinct()
     spelled = wanted.select(entity, F.posexplode(separator_variants(entity)).alias("_at", "_key"))
-    fixed = overrides.select(symbol(entity).alias("_key"), F.col("cik").alias("_override"))
-    listed = current_map.select(symbol(entity).alias("_key"), F.col("cik").alias("_mapped"),
-                                F.col(title).alias("_title"))
+    fixed = _one_per_symbol(overrides, symbol(entity), "cik") \
+        .withColumnRenamed("cik", "_override")
+    listed = _one_per_symbol(current_map, symbol(entity), "cik", title) \
+        .select("_key", F.col("cik").alias("_mapped"), F.col(title).alias("_title"))
     hits = spelled.join(fixed, "_key", "left").join(listed, "_key", "left") \
         .where(F.col("_override").isNotNull() | F.col("_mapped").isNotNull())
     answer = F.struct(
@@ -117,23 +127,23 @@ def match_exact(targets: DataFrame, candidates: DataFrame, *, name: str = "norm"
         *targets.columns, n.alias("n_candidates"), kind.alias("match_kind"))
 
 
+def _most_facts_first(identifier: str = "cik") -> Column:
+    """Orders candidates by facts, then by position, then by identifier."""
+    return F.struct((-F.col("n_records")).alias("few"), F.col("position"), F.col(identifier))
+
+
 def probe_candidates(candidates: DataFrame, ranges: DataFrame, *, name: str = "norm",
-                     identifier: str = "cik", first: int = PROBED_CANDIDATES) -> DataFrame:
-    """Of each name's first few candidates, the one with the most facts.
+                     identifier: str = "cik") -> DataFrame:
+    """Of all of a name's candidates, the one with the most facts.
 
-    The earliest candidate wins a tie; a name whose probed candidates have no
-    facts gives no row. Taking the first few per name is part of the rule, not
-    a limit on the work.
+    The earliest candidate wins a tie; a name whose candidates have no facts
+    gives no row.
     """
-    order = Window.partitionBy(name).orderBy("position", identifier)
-    probed = candidates.withColumn("_nth", F.row_number().over(order)) \
-        .where(F.col("_nth") <= first)
     answer = F.struct(F.col(identifier), "n_records", "first_period", "last_period")
     return (
-        probed.join(ranges, identifier).where(F.col("n_records") > 0)
+        candidates.join(ranges, identifier).where(F.col("n_records") > 0)
         .groupBy(name)
-        .agg(F.max_by(answer, F.struct(F.col("n_records"), (-F.col("_nth")).alias("early")))
-             .alias("_best"))
+        .agg(F.min_by(answer, _most_facts_first(identifier)).alias("_best"))
         .select(name, F.col(f"_best.{identifier}").alias("recovered_cik"),
                 F.col("_best.n_records").alias("n_records"), "_best.first_period",
                 "_best.last_period"))
@@ -142,37 +152,54 @@ def probe_candidates(candidates: DataFrame, ranges: DataFrame, *, name: str = "n
 # --- fuzzy names -----------------------------------------------------------
 
 
-def _max_lost_grams(length: int, cutoff: float) -> int:
-    """Most q-grams a name of this length can lose to a partner at the cutoff.
+def _lost(length, other, matched):
+    """Grams a name loses to a partner with which ``matched`` characters match in order.
+
+    Each of the dropped characters breaks at most three 3-grams, each inserted
+    one at most two.
+    """
+    return GRAM * (length - matched) + (GRAM - 1) * (other - matched)
+
+
+def _require_lossless(cutoff: float, checked: int = 512) -> None:
+    """The gram filter is exact only while every name keeps a shared gram.
 
     A similarity of c forces M >= c/2 * (la + lb) characters to match in order.
-    Each of the la - M characters dropped from the name breaks at most three
-    3-grams, each of the lb - M characters inserted at most two.
+    Short lengths are checked one by one, with their rounding; beyond them the
+    loss grows in proportion, and rounding adds less than ten grams.
     """
-    worst = 0
     half = cutoff / 2.0
-    longest = int(math.floor(length * (1 - half) / half + 1e-9))
-    shortest = int(math.ceil(length * half / (1 - half) - 1e-9))
-    for other in range(max(shortest, 1), longest + 1):
-        matched = math.ceil(half * (length + other) - 1e-9)
-        if matched > min(length, other):
-            continue
-        worst = max(worst, GRAM * (length - matched) + (GRAM - 1) * (other - matched))
-    return worst
 
+    def lost(length: int) -> int:
+        partners = range(max(1, math.ceil(length * half / (1 - half) - 1e-9)),
+                         math.floor(length * (1 - half) / half + 1e-9) + 1)
+        matched = {other: math.ceil(half * (length + other) - 1e-9) for other in partners}
+        return max((_lost(length, other, m) for other, m in matched.items()
+                    if m <= min(length, other)), default=0)
 
-def _require_lossless(cutoff: float, longest: int) -> None:
-    """The gram filter is exact only while every name keeps a shared gram."""
-    for length in range(GRAM, longest + 1):
-        if _max_lost_grams(length, cutoff) >= length - (GRAM - 1):
-            raise ValueError(
-                f"cutoff {cutoff} is too low for an exact {GRAM}-gram filter at length {length}")
+    slope = max(_lost(1, other, half * (1 + other)) for other in (half / (1 - half),
+                                                                 (1 - half) / half))
+    bad = next((n for n in range(GRAM, checked + 1) if lost(n) >= n - (GRAM - 1)), None)
+    if bad is None and slope * checked + 10 >= checked:
+        bad = checked + 1
+    if bad is not None:
+        raise ValueError(
+            f"cutoff {cutoff} is too low for an exact {GRAM}-gram filter at length {bad}")
 
 
-def _prefix_length(length: Column, cutoff: float, longest: int) -> Column:
+def _prefix_length(length: Column, cutoff: float) -> Column:
     """Grams of a name that suffice to meet every partner at the cutoff."""
-    table = F.array(*[F.lit(_max_lost_grams(n, cutoff) + 1) for n in range(longest + 1)])
-    return F.get(table, length)
+    half = cutoff / 2.0
+    partners = F.sequence(
+        F.greatest(F.ceil(length * (half / (1 - half)) - 1e-9), F.lit(1)).cast("int"),
+        F.floor(length * ((1 - half) / half) + 1e-9).cast("int"))
+
+    def lost(other: Column) -> Column:
+        matched = F.ceil((length + other) * half - 1e-9)
+        return F.when(matched <= F.least(length, other), _lost(length, other, matched)) \
+            .otherwise(0)
+
+    return F.array_max(F.transform(partners, lost)) + 1
 
 
 def _similarity_udf():
@@ -190,8 +217,8 @@ def _similarity_udf():
     return similarity
 
 
-def fuzzy_pairs(targets: DataFrame, names: DataFrame, *, cutoff: float = FUZZY_CUTOFF,
-                longest: int = 512) -> DataFrame:
+def fuzzy_pairs(targets: DataFrame, names: DataFrame, *,
+                cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """Candidate (target, name) pairs that can reach the cutoff; none is missed.
 
     Both inputs hold distinct non-empty strings in a column ``norm``. Names are
@@ -199,10 +226,9 @@ def fuzzy_pairs(targets: DataFrame, names: DataFrame, *, cutoff: float = FUZZY_C
     so many grams that they must share one among a computable number of each
     one's rarest, so frequent grams need not be joined on at all. Grams are
     counted per (gram, occurrence), the join key includes the partner's length,
-    and an edit-distance bound drops most pairs before any Python runs. Longer
-    strings than ``longest`` take their whole gram set as prefix.
+    and an edit-distance bound drops most pairs before any Python runs.
     """
-    _require_lossless(cutoff, longest)
+    _require_lossless(cutoff)
     half = cutoff / 2.0
 
     def grams(df: DataFrame) -> DataFrame:
@@ -226,7 +252,7 @@ def fuzzy_pairs(targets: DataFrame, names: DataFrame, *, cutoff: float = FUZZY_C
         ranked = df.join(frequency, "gram", "left") \
             .withColumn("_freq", F.coalesce("_freq", F.lit(0))) \
             .withColumn("_rank", F.row_number().over(rarest))
-        keep = F.coalesce(_prefix_length(F.col("size"), cutoff, longest), F.col("size"))
+        keep = _prefix_length(F.col("size"), cutoff)
         return ranked.where(F.col("_rank") <= keep).select("norm", "size", "gram", "nth")
 
     reach = F.sequence(
@@ -310,28 +336,21 @@ def propose_remaps(census: DataFrame, names: DataFrame, registry: DataFrame,
                    position: str | None = None) -> DataFrame:
     """For SUSPECTED_REMAP entities, an older identifier of the same name.
 
-    The entity's current id is excluded before the first few candidates are
-    probed; the proposal is adopted when its facts begin earlier.
+    All other candidates of the name are probed; the proposal is adopted when
+    its facts begin earlier. A name's two best candidates are enough for all of
+    its entities, because at most one of them is an entity's current id.
     """
     suspects = census.where(F.col("flag") == "SUSPECTED_REMAP").select(
         entity, F.col("cik").alias("old_cik"), F.col("n_eps_records").alias("old_n_records"),
         F.col("earliest_period_end").alias("old_earliest")).join(names, entity, "left")
     candidates = name_candidates(registry, position=position)
-    # Only the first few alternatives count, and at most one candidate is the
-    # current id, so one more than that per name is enough.
-    order = Window.partitionBy("norm").orderBy("position", "cik")
-    leading = candidates.withColumn("_nth", F.row_number().over(order)) \
-        .where(F.col("_nth") <= PROBED_CANDIDATES + 1)
-    pairs = suspects.select(entity, "norm", "old_cik").join(leading, "norm") \
-        .where(~F.col("cik").eqNullSafe(F.col("old_cik")))
-    nth = Window.partitionBy(entity).orderBy("_nth")
-    tried = pairs.withColumn("_try", F.row_number().over(nth)) \
-        .where(F.col("_try") <= PROBED_CANDIDATES)
     answer = F.struct("cik", "n_records", "first_period", "last_period")
-    best = (
-        tried.join(ranges, "cik").where(F.col("n_records") > 0).groupBy(entity)
-        .agg(F.max_by(answer, F.struct(F.col("n_records"), (-F.col("_try")).alias("early")))
-             .alias("_best")))
+    order = Window.partitionBy("norm").orderBy(_most_facts_first())
+    leading = candidates.join(ranges, "cik").where(F.col("n_records") > 0) \
+        .withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= 2)
+    others = suspects.select(entity, "norm", "old_cik").join(leading, "norm") \
+        .where(~F.col("cik").eqNullSafe(F.col("old_cik")))
+    best = others.groupBy(entity).agg(F.min_by(answer, "_nth").alias("_best"))
     totals = candidates.groupBy("norm").agg(F.count(F.lit(1)).alias("_all"))
     own = candidates.select("norm", F.col("cik").alias("old_cik"), F.lit(1).alias("_own"))
     joined = suspects.join(best, entity, "left").join(totals, "norm", "left") \

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.contracts import known_true
+from pitpanel.contracts import known_true, nan_to_null
 
 QUARTER_DAYS = (60, 110)
 MAX_LAG_DAYS = 120
@@ -115,18 +115,21 @@ def with_label(df: DataFrame, value: str = "eps_diluted", base: str = "eps_year_
                ambiguous: str | None = "split_ambiguous", out: str = "label_yoy") -> DataFrame:
     """1 when the value is strictly above its base, 0 otherwise, null if undecidable.
 
-    A missing value gives null as well: nothing was compared.
+    A missing value gives null as well: nothing was compared. NaN is missing.
     """
-    usable = F.col(base).isNotNull() & F.col(value).isNotNull()
+    current, before = nan_to_null(value), nan_to_null(base)
+    usable = before.isNotNull() & current.isNotNull()
     if ambiguous is not None:
         usable = usable & ~F.coalesce(F.col(ambiguous), F.lit(False))
-    return df.withColumn(out, F.when(usable, (F.col(value) > F.col(base)).cast("int")))
+    return df.withColumn(out, F.when(usable, (current > before).cast("int")))
 
 
 def growth(value: str | Column, base: str | Column) -> Column:
-    """(value - base) / |base|; null, never infinite, on a zero or missing base."""
-    v = F.col(value) if isinstance(value, str) else value
-    b = F.col(base) if isinstance(base, str) else base
+    """(value - base) / |base|; null, never infinite, on a zero or missing base.
+
+    NaN is missing, on either side.
+    """
+    v, b = nan_to_null(value), nan_to_null(base)
     return F.when(b != 0, (v - b) / F.abs(b))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitpanel.contracts import known_true
+from pitpanel.contracts import known_true, nan_to_null
 from pitpanel.functions.dates import weekdays_between
 from pitpanel.operators.knowledge import any_missing, filing_order
 from pitpanel.operators.ordered import (
@@ -137,13 +137,14 @@ def restatement_anomalies(facts: DataFrame, *, entity: str = "ticker",
     """Per (entity, period): single filing, three or more, late first, changed value.
 
     The first value against the extremes of the period decides "changed", so
-    one aggregation answers all four.
+    one aggregation answers all four. NaN is missing and changes nothing.
     """
-    first = F.min_by(F.struct(F.col(value).alias("v"), F.col(lag).alias("lag")),
+    known = nan_to_null(value)
+    first = F.min_by(F.struct(known.alias("v"), F.col(lag).alias("lag")),
                      filing_order(filed, ties))
     stats = facts.groupBy(entity, period).agg(
         F.count(F.lit(1)).alias("n_filings"), first.alias("_first"),
-        F.min(value).alias("_low"), F.max(value).alias("_high"))
+        F.min(known).alias("_low"), F.max(known).alias("_high"))
     original = F.col("_first.v")
     return stats.select(
         entity, period, "n_filings", original.alias("original_value"),

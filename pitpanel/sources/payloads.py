@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.contracts import BULK_PAYLOAD, NESTED_PAYLOAD
+from pitpanel.contracts import BULK_PAYLOAD, NESTED_PAYLOAD, nan_to_null
 from pitpanel.functions.names import normalise_name
 from pitpanel.operators.knowledge import quarterly_facts, with_lag_days
 
@@ -49,14 +49,17 @@ def ingest_facts(primary: DataFrame, fallback: DataFrame | None = None, *,
 
 
 def shape_facts(facts: DataFrame, value: str = "eps_diluted") -> DataFrame:
-    """Typed quarterly facts: dates parsed, other durations dropped, lag added."""
+    """Typed quarterly facts: dates parsed, other durations dropped, lag added.
+
+    NaN becomes null here, so no later comparison meets one.
+    """
     dated = facts.select(
         *[F.col(c).try_cast("date").alias(c) if c in ("start", "end", "filed")
           else F.col(c) for c in facts.columns])
     quarterly = quarterly_facts(dated)
     return with_lag_days(
         quarterly.withColumn("period_end", F.col("end")).withColumn("filed_date", F.col("filed"))
-        .withColumn(value, F.col("val")))
+        .withColumn(value, nan_to_null("val")))
 
 
 def read_payload(spark: SparkSession, path: str) -> DataFrame:

@@ -54,13 +54,21 @@ def write_csv(df: DataFrame, path: str, replace: bool = False) -> None:
     df.write.mode("overwrite" if replace else "errorifexists").option("header", True).csv(path)
 
 
-def parse_provenance(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(key, value) rows of ``# key : value`` lines.
+def parse_provenance(lines: DataFrame, value: str = "value",
+                     position: str | None = None) -> DataFrame:
+    """(key, value) rows of the ``# key : value`` lines of the header block.
 
     Only lower-case keys without blanks count, so prose in the block is passed
-    over. ``lines`` are the file's lines; a header block precedes the data, and
-    data rows do not start with ``#``.
+    over. ``position`` is the column that orders the file's lines: the block
+    ends at the first line that does not start with ``#``, and comments after
+    it are not provenance. Without it all lines are the block.
     """
+    if position is not None:
+        data = lines.where(~F.coalesce(F.col(value).startswith("#"), F.lit(False)))
+        # One row: no data line, no end.
+        end = data.agg(F.min(position).alias("_end"))
+        lines = lines.join(F.broadcast(end)).where(
+            F.col("_end").isNull() | (F.col(position) < F.col("_end"))).drop("_end")
     pattern = r"^#\s*([^\s:]+)\s*:(.*)$"
     keyed = lines.where(F.col(value).startswith("#")).select(
         F.regexp_extract(value, pattern, 1).alias("key"),
@@ -69,7 +77,17 @@ def parse_provenance(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_provenance(spark: SparkSession, path: str) -> DataFrame:
-    return parse_provenance(spark.read.text(path))
+    """The header block of one text file; a repeated key is refused.
+
+    A file's lines keep their order in its splits, and ids that increase along
+    splits and rows order them.
+    """
+    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
+    found = parse_provenance(lines, position="_at")
+    twice = [r["key"] for r in found.groupBy("key").count().where("count > 1").take(5)]
+    if twice:
+        raise ValueError(f"provenance keys given more than once: {sorted(twice)}")
+    return found
 
 
 def missing_provenance(provenance: DataFrame,

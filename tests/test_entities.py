@@ -62,15 +62,45 @@ def test_overlap_choice(spark):
     assert got["Y"].rule == got["Z"].rule == "d_unresolved_ambiguous"
 
 
-def test_probe_takes_first_four_and_first_on_ties(spark):
-    candidates = spark.createDataFrame([("N", c, i) for i, c in enumerate("abcde")],
-                                       "norm string, cik string, position int")
+RANGES = "cik string, n_records long, first_period date, last_period date"
+
+
+def test_probe_looks_at_all_candidates_and_takes_the_first_on_ties(spark):
+    candidates = spark.createDataFrame(
+        [("N", c, i) for i, c in enumerate("abcdefg")] + [("M", c, i) for i, c in enumerate("xbc")],
+        "norm string, cik string, position int")
     ranges = spark.createDataFrame([(c, n, day(0), day(1)) for c, n in
-                                    (("b", 7), ("c", 7), ("e", 99))],
-                                   "cik string, n_records long, first_period date, "
-                                   "last_period date")
-    got = entities.probe_candidates(candidates, ranges).collect()
-    assert [(r.recovered_cik, r.n_records) for r in got] == [("b", 7)]
+                                    (("b", 7), ("c", 7), ("f", 99), ("g", 99))], RANGES)
+    got = {r.norm: (r.recovered_cik, r.n_records)
+           for r in entities.probe_candidates(candidates, ranges).collect()}
+    assert got == {"N": ("f", 99), "M": ("b", 7)}
+
+
+def test_remaps_look_at_all_candidates_but_the_own(spark):
+    registry = spark.createDataFrame([("N", c, i) for i, c in enumerate("abcdefg")],
+                                     "norm string, cik string, position int")
+    census = spark.createDataFrame(
+        [("P", "SUSPECTED_REMAP", "a", 3, day(9)), ("Q", "SUSPECTED_REMAP", "f", 99, day(9))],
+        "ticker string, flag string, cik string, n_eps_records long, earliest_period_end date")
+    names = spark.createDataFrame([("P", "n", "N"), ("Q", "n", "N")],
+                                  "ticker string, company_name string, norm string")
+    ranges = spark.createDataFrame([(c, n, day(0), day(1)) for c, n in
+                                    (("a", 3), ("b", 7), ("f", 99))], RANGES)
+    got = {r.ticker: (r.new_cik, r.n_candidates, r.adopt) for r in entities.propose_remaps(
+        census, names, registry, ranges, position="position").collect()}
+    assert got == {"P": ("f", 6, True), "Q": ("b", 6, True)}
+
+
+def test_one_id_per_symbol_however_spelled(spark):
+    two = "ticker string, cik string"
+    got = entities.resolve_ids(
+        spark.createDataFrame([("A",), ("B-B",)], "ticker string"),
+        spans=spark.createDataFrame([], two + ", valid_from date, valid_to date"),
+        overrides=spark.createDataFrame([("a", "2"), ("A", "1")], two),
+        recovered=spark.createDataFrame([("A", "9")], two),
+        current_map=spark.createDataFrame([("B-B", "5"), ("b-b", "4"), ("B-B", "6")], two))
+    assert {(r.ticker, r.cik, r.route) for r in got.collect()} == {
+        ("A", "1", "CIK_OVERRIDES"), ("B-B", "4", "ticker_map")} and got.count() == 2
 
 
 def brute_force(targets, names, cutoff=0.90):

@@ -128,3 +128,14 @@ def test_unit_change_adjustment(spark, day, then, now, factors, expected):
     assert row.eps_year_ago_adjusted == 12.0 / expected[0]
     unestablished = events.withColumn("established", F.lit(False))
     assert restatements.adjust_year_ago(panel, unestablished).collect()[0].split_ambiguous
+
+
+def test_nan_is_missing_on_either_side(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame(
+        [(0, nan, 2.0), (1, 3.0, nan), (2, 3.0, 2.0), (3, None, 2.0)],
+        "id int, eps_diluted double, eps_year_ago_adjusted double")
+    got = knowledge.with_label(rows, ambiguous=None).withColumn(
+        "growth", knowledge.growth("eps_diluted", "eps_year_ago_adjusted")).orderBy("id").collect()
+    assert [r.label_yoy for r in got] == [None, None, 1, None]
+    assert [r.growth for r in got] == [None, None, 0.5, None]

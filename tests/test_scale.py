@@ -41,23 +41,19 @@ def test_first_known_combines_before_the_shuffle(skewed):
 
 
 def test_unit_changes_reduce_values_before_joining(skewed):
-    pdf = skewed.toPandas().sort_values(["filed_date", "accn"])
-    want = {}
-    for (ticker, _), group in pdf.groupby(["ticker", "period_end"]):
-        first = group.iloc[0]
-        for later in group.iloc[1:].itertuples():
-            if abs(later.eps_diluted - first.eps_diluted) <= 1e-9:
-                continue
-            ratio = first.eps_diluted / later.eps_diluted
-            factor = round(ratio)
-            if factor < 2 or abs(ratio - factor) / factor > 0.02:
-                continue
-            pre, post = want.setdefault((ticker, factor), ([], []))
-            pre.append(first.filed_date)
-            post.append(later.filed_date)
+    pdf = skewed.toPandas().sort_values(["filed_date", "accn"], ignore_index=True)
+    key = ["ticker", "period_end"]
+    opening = pdf.drop_duplicates(key)
+    pairs = opening.merge(pdf.drop(index=opening.index), on=key, suffixes=("_was", "_is"))
+    quotient = pairs.eps_diluted_was / pairs.eps_diluted_is
+    pairs["factor"] = quotient.round()
+    changed = (pairs.eps_diluted_was - pairs.eps_diluted_is).abs() > 1e-9
+    near = (quotient / pairs.factor - 1).abs() <= 0.02
+    found = pairs[changed & near & (pairs.factor >= 2)].groupby(["ticker", "factor"]).agg(
+        opens=("filed_date_was", "max"), closes=("filed_date_is", "min"))
     events = restatements.detect_unit_changes(skewed)
     got = {(r.ticker, r.factor): (r.window_start, r.window_end) for r in events.collect()}
-    assert got == {k: (max(pre), min(post)) for k, (pre, post) in want.items()}
+    assert got == {(t, int(f)): (r.opens, r.closes) for (t, f), r in found.iterrows()}
     plan = plan_of(events)
     assert "CartesianProduct" not in plan and "Window" not in plan
 

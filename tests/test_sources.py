@@ -113,3 +113,13 @@ def test_protocol_revision(spark, tmp_path):
     assert protocol.declared_folds(spark, read).collect()[0].n_predict_rows == 5
     with pytest.raises(ContractError):
         protocol.read_protocol(spark, str(path), revision=2)
+
+
+def test_provenance_ends_with_the_header(spark, tmp_path):
+    path = tmp_path / "run.csv"
+    path.write_text("# commit : abc\n# prose only\na,b\n1,2\n# late : no\n")
+    assert [(r.key, r.value) for r in tables.read_provenance(spark, str(path)).collect()] \
+        == [("commit", "abc")]
+    path.write_text("# commit : abc\n# commit : def\na,b\n")
+    with pytest.raises(ValueError, match="more than once"):
+        tables.read_provenance(spark, str(path))
