@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.text import free_name
+from pitpanel.llm.text import free_name, whole
 from pitpanel.session import settle
 
 SHINGLE = 4
@@ -222,23 +222,18 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 distance: int = DISTANCE) -> DataFrame:
-    """One document of each component: its smallest key, one row of repeated rows."""
-    mark, = free_name(docs, "_simhash_key")
-    found = components(docs, key, text, distance)
-    lone = found.filter(F.col("component").isNull()).select("root", "fp") \
-        .groupBy("root").agg(F.min("fp").alias("fp")).select("fp").distinct()
-    keys = found.filter(F.col("key") == F.col("component")).select(F.col("key").alias(mark)) \
-        .distinct()
-    kept = docs.join(keys, F.col(key) == F.col(mark), "left_semi").dropDuplicates([key])
-    # Components in which every key is null keep one row, found by fingerprint.
-    nulls = docs.filter(F.col(key).isNull())
-    return kept.unionByName(_one_per_print(nulls, lone, text))
-
-
-def _one_per_print(docs: DataFrame, prints: DataFrame, text: str) -> DataFrame:
-    mark, = free_name(docs, "_simhash_print")
-    bodies = docs.select(F.col(text).alias("key")).distinct()
-    chosen = fingerprints(bodies, "key", "key").join(prints, "fp", "left_semi") \
-        .groupBy("fp").agg(F.min(F.coalesce("key", F.lit(""))).alias(mark))
-    return docs.join(chosen.select(mark), F.coalesce(F.col(text), F.lit("")) == F.col(mark),
-                     "left_semi").dropDuplicates([text])
+    """One document of each component: the smallest key's, one row of repeated rows.
+
+    Rows are told apart by key and text, so rows that share a key and not their text
+    can be in different components; null keys come last.
+    """
+    mark, kept = free_name(docs, "_simhash_row", "_simhash_kept")
+    keyed = docs.withColumn(mark, F.struct(
+        F.col(key).isNull().alias("none"), F.col(key).alias("id"),
+        F.xxhash64(whole(F.col(text))).alias("text")))
+    found = components(keyed, mark, text, distance)
+    first = found.filter(F.col("key") == F.col("component")).select(
+        F.xxhash64("key.none", "key.id", "key.text").alias(kept)).distinct()
+    rows = keyed.withColumn(mark, F.xxhash64(f"{mark}.none", f"{mark}.id", f"{mark}.text"))
+    return rows.join(first, F.col(mark) == F.col(kept), "left_semi") \
+        .dropDuplicates([mark]).select(*docs.columns)
