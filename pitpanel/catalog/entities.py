@@ -11,7 +11,6 @@ from pitpanel.catalog.proxies import (
 from pitpanel.catalog.registry import Catalog
 from pitpanel.functions.names import normalise_name, pad_id
 from pitpanel.operators import entities, profile, spans
-from pitpanel.session import settle
 from pitpanel.sources.payloads import ingest_facts, parse_registry, shape_facts
 
 catalog = Catalog()
@@ -444,9 +443,8 @@ def nested_fact_ingest(spark, sf_dir):
         F.lit("EarningsPerShareDiluted"), F.struct(F.create_map(F.lit("USD"), price)
                                                    .alias("units"))))
     bulk = F.to_json(F.struct(cik.alias("cik"), concept.alias("facts")))
-    # Payloads arrive as landed files; parse once and land them.
-    primary = settle(line.select(F.from_json(nested, NESTED_PAYLOAD).alias("p")).select("p.*"))
-    fallback = settle(line.where(flag == "N").select(
-        F.from_json(bulk, BULK_PAYLOAD).alias("p")).select("p.*"))
+    primary = line.select(F.from_json(nested, NESTED_PAYLOAD).alias("p")).select("p.*")
+    fallback = line.where(flag == "N").select(
+        F.from_json(bulk, BULK_PAYLOAD).alias("p")).select("p.*")
     return shape_facts(ingest_facts(primary, fallback)).select(
         "cik", "unit", "source", "period_end", "filed_date", "eps_diluted", "filing_lag_days")

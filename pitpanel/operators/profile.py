@@ -287,10 +287,10 @@ def streak_distribution(df: DataFrame, *, streak: str = "growth_streak",
     per_streak = df.groupBy(streak).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("label_rate"),
         F.count_if(F.col(available) == 0).alias("n_without_history"))
-    total = df.agg(F.count(F.lit(1)).alias("_rows"))
-    return per_streak.join(F.broadcast(total)).select(
-        streak, "n", (F.col("n") / F.col("_rows")).alias("share"), "label_rate",
-        "n_without_history")
+    # The total is the sum of the few streak rows, not a second pass over the table.
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return per_streak.select(
+        streak, "n", (F.col("n") / total).alias("share"), "label_rate", "n_without_history")
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:

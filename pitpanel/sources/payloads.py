@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitpanel.contracts import BULK_PAYLOAD, NESTED_PAYLOAD, nan_to_null
@@ -36,16 +36,23 @@ def ingest_facts(primary: DataFrame, fallback: DataFrame | None = None, *,
                  concept: str = "EarningsPerShareDiluted", taxonomy: str = "us-gaap",
                  identifier: str = "cik") -> DataFrame:
     """Facts of the primary payload; of the bulk one where the primary is empty."""
-    facts = explode_units(primary, identifier).withColumn("source", F.lit("companyconcept"))
     if fallback is None:
-        return facts
+        return explode_units(primary, identifier).withColumn("source", F.lit("companyconcept"))
     bulk = fallback.select(identifier, F.try_element_at(
         F.try_element_at("facts", F.lit(taxonomy)), F.lit(concept)).getField("units")
         .alias("units"))
-    answered = _chosen(primary, identifier, "units", PREFERRED_UNIT) \
-        .where(F.size("records") > 0).select(identifier)
-    extra = explode_units(bulk.join(answered, identifier, "left_anti"), identifier)
-    return facts.unionByName(extra.withColumn("source", F.lit("companyfacts")))
+    both = _chosen(primary, identifier, "units", PREFERRED_UNIT) \
+        .withColumn("source", F.lit("companyconcept")).unionByName(
+            _chosen(bulk, identifier, "units", PREFERRED_UNIT)
+            .withColumn("source", F.lit("companyfacts")))
+    # Each payload is read once and dealt by its identifier once.
+    from_primary = F.col("source") == "companyconcept"
+    answered = F.max(from_primary & (F.coalesce(F.size("records"), F.lit(0)) > 0)).over(
+        Window.partitionBy(identifier))
+    kept = both.withColumn("_answered", answered).where(
+        from_primary | ~F.coalesce("_answered", F.lit(False)))
+    return kept.select(identifier, "unit", "source", F.explode("records").alias("fact")) \
+        .select(identifier, "unit", "fact.*", "source")
 
 
 def shape_facts(facts: DataFrame, value: str = "eps_diluted") -> DataFrame:
