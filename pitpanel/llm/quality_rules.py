@@ -4,13 +4,18 @@ Lines are normalised and hashed; per host, the number of distinct documents that
 hold a line is counted; lines above the limits are removed, and documents of
 which too little is left are rejected.
 
-*Distinct documents* are counted by a class that copies share: the smallest hash
-of a document's five-word windows. Exact copies fall into one class and near
-copies into few, so an article that was copied a thousand times does not look
-like a boilerplate line; removing copies is the task of deduplication. A line is
-above the limits when it occurs in more than ``least_documents`` classes of its
-host, in more than ``least_share`` of the host's classes, and when the documents
-that hold it are mostly unlike one another (``least_variety`` classes a document).
+*Distinct documents* are exact texts. A line that more than ``least_documents`` of
+them hold is a candidate; whether these are unlike documents or copies of one is told
+by what each holds outside the candidate. Lines that so many texts hold word for word
+are common, and a line that shares a third of its shingles with common ones is an
+edited copy; the other lines of five words and more are a document's own. Own lines
+are compared by ``SKETCHES`` smallest hashes, and a document's class is the one of its
+hashes that most documents share, or that of a document it shares one with: near copies agree in one of them, unlike documents
+in none, and how much boilerplate a document holds does not matter. Documents with no
+own line are told apart by the smallest other candidate they hold. A line is above the
+limits when it occurs in more than ``least_documents`` classes of its host and in more
+than ``least_share`` of the host's classes. Copies of one article are few classes
+however many they are, and never count against unlike documents with the same line.
 
 Defined cases: null text counts as empty; a null host is a host of its own;
 empty and blank texts have no words and fail the base rules; repeated rows get
@@ -29,6 +34,11 @@ from pitpanel.llm.text import null_safe_key, whole, words
 from pitpanel.session import settle
 
 WINDOW = 5
+#: Smallest shingle hashes kept of a line, and hashes by which own lines are compared.
+LINE_HASHES = 6
+SKETCHES = 8
+#: Words of a line that can tell a document from a copy.
+OWN_WORDS = 5
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
 
@@ -71,11 +81,34 @@ def _covered_words(placed: Column, window: int) -> Column:
         lambda acc: acc["n"])
 
 
+def _telling_words(line: Column) -> Column:
+    """Lower-case words of a line but for those of digits and signs alone."""
+    return words(F.regexp_replace(F.lower(line), r"(?<!\S)[0-9\p{Punct}]+(?!\S)", ""))
+
+
+def _line_hashes(line_words: Column, host: Column) -> Column:
+    """The smallest shingle hashes (32 bits, the host in them) of every line.
+
+    Shingles are three words, in short lines two: one edited word leaves most of
+    them. ``line_words`` has to be a column of its own.
+    """
+    def smallest(t: Column) -> Column:
+        def shingles(size: int) -> Column:
+            starts = F.sequence(F.lit(0), F.greatest(F.size(t) - size, F.lit(0)))
+            return F.transform(starts, lambda i: F.hash(
+                host, *[F.get(t, i + F.lit(k)) for k in range(size)]))
+
+        both = F.when(F.size(t) < 12, shingles(2)).otherwise(shingles(3))
+        return F.slice(F.array_sort(F.array_distinct(both)), 1, LINE_HASHES)
+
+    return F.transform(line_words, smallest)
+
+
 def measure(docs: DataFrame, text: str = "text", host: str = "source",
             keep: tuple[str, ...] = (), window: int = WINDOW) -> DataFrame:
-    """One row per document: base counts, host and text keys, class, line hashes.
+    """One row per document: base counts, host and text keys, line hashes.
 
-    ``lines`` holds (hash, n_chars) of every line that has a word.
+    ``lines`` holds (hash, n_chars, word hash, words, shingle hashes) of every line that has a word.
     """
     body = whole(F.col(text))
     split = docs.select(
@@ -86,8 +119,13 @@ def measure(docs: DataFrame, text: str = "text", host: str = "source",
         *keep, "host_key", "text_key", "body", "tokens", F.size("tokens").alias("n"),
         F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("worded"))
     hashed = counted.withColumn("hashes", _window_hashes(F.col("tokens"), F.col("n"), window))
-    lines = F.transform("worded", lambda x: F.struct(
-        F.xxhash64(normal_line(x)).alias("h"), F.length(x).alias("n")))
+    hashed = hashed.withColumn("line_words", F.transform("worded", _telling_words))
+    hashed = hashed.withColumn("line_hashes", _line_hashes(
+        F.col("line_words"), F.col("host_key")))
+    lines = F.transform("worded", lambda x, i: F.struct(
+        F.xxhash64(normal_line(x)).alias("h"), F.length(x).alias("n"),
+        F.xxhash64("host_key", normal_line(x), F.get("line_words", i)).alias("c"),
+        F.size(F.get("line_words", i)).alias("w"), F.get("line_hashes", i).alias("g")))
     placed = hashed.withColumn("placed", _placed(F.col("hashes")))
     return placed.select(
         *keep, "host_key", "text_key", F.col("n").cast("long").alias("n_words"),
@@ -96,7 +134,6 @@ def measure(docs: DataFrame, text: str = "text", host: str = "source",
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("placed").isNull(), F.lit(0).cast("long"))
         .otherwise(_covered_words(F.col("placed"), window)).alias("n_repeat_words"),
-        F.coalesce(F.array_min("hashes"), F.col("text_key")).alias("class_key"),
         lines.alias("lines"))
 
 
@@ -105,23 +142,99 @@ def base_failed(least_words: int = 10, most_repeat_percent: int = 20) -> Column:
         F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeat_percent)
 
 
-def frequent_lines(measured: DataFrame, least_documents: int = 10, least_share: float = 0.001,
-                   least_variety: float = 0.5) -> DataFrame:
+def _own_lines(marked: DataFrame, least_documents: int) -> DataFrame:
+    """The lines of ``OWN_WORDS`` and more that are neither common nor edits of such."""
+    asked = F.explode("g").alias("s")
+    frequent = marked.filter("frequent")
+    common = settle(frequent.groupBy("c", "text_key").agg(F.lit(1).alias("one"))
+                    .groupBy("c").agg(F.count(F.lit(1)).alias("texts"))
+                    .filter(F.col("texts") > least_documents).select("c"))
+    shingles = frequent.join(common, "c", "left_semi").select(asked).distinct()
+    others = marked.filter(F.col("w") >= OWN_WORDS)
+    others = others.filter(F.col("frequent").isNull()).unionByName(
+        others.filter("frequent").join(common, "c", "left_anti").select(*others.columns))
+    shared = others.select("c", asked).join(shingles, "s") \
+        .groupBy("c", "s").agg(F.lit(1).alias("one")) \
+        .groupBy("c").agg(F.count(F.lit(1)).alias("shared"))
+    return others.join(shared, "c", "left") \
+        .filter(F.coalesce("shared", F.lit(0)) * 3 < F.size("g"))
+
+
+def _classes(own: DataFrame) -> DataFrame:
+    """(host_key, text_key, without, own): the class of a text's own lines.
+
+    ``without`` is null for all of them; for each own line that is a candidate there
+    is a row beside that without it, whose class is null where no other is left.
+    """
+    def smallest(k: int) -> Column:
+        return F.min(F.array_min(F.transform("g", lambda x: F.xxhash64(F.lit(k), x))))
+
+    each = [smallest(k).alias(f"s{k}") for k in range(SKETCHES)]
+    text = ["host_key", "text_key"]
+    left_out = own.filter("frequent").select(*text, F.col("h").alias("without")).distinct()
+    g = F.when(F.col("h") != F.col("without"), F.col("g"))
+    sketches = own.groupBy(*text).agg(*each) \
+        .withColumn("without", F.lit(None).cast("long")).unionByName(
+            own.join(left_out, text).select(*text, "without", g.alias("g"))
+            .groupBy(*text, "without").agg(*each))
+    who = [*text, "without"]
+    rows = sketches.select(*who, F.explode(F.array(
+        *[f"s{k}" for k in range(SKETCHES)])).alias("s")) \
+        .withColumn("who", F.xxhash64("text_key", F.coalesce("without", F.lit(0).cast("long"))))
+    rows = settle(rows)
+    shared = rows.groupBy("host_key", "s").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.select("host_key", "who", "s").join(shared, ["host_key", "s"]) \
+        .groupBy("host_key", "who").agg(F.max(F.struct("n", "s")).alias("best"))
+    # A copy that lacks the hash most copies share joins them by another one.
+    passed = rows.select("host_key", "who", "s").join(first, ["host_key", "who"]) \
+        .groupBy("host_key", "s").agg(F.max("best").alias("best"))
+    return rows.join(passed, ["host_key", "s"], "left").groupBy(*who) \
+        .agg(F.max("best")["s"].alias("own"))
+
+
+def frequent_lines(measured: DataFrame, least_documents: int = 10,
+                   least_share: float = 0.001) -> DataFrame:
     """(host_key, h): the lines above the limits.
 
     Copies of one line within a document and repeated documents are collapsed
     before anything is shuffled by line.
     """
-    held = measured.select("host_key", "text_key", "class_key",
-                           F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
-    by_class = held.groupBy("host_key", "h", "class_key").agg(
-        F.approx_count_distinct("text_key").alias("texts"))
-    counts = by_class.groupBy("host_key", "h").agg(
-        F.count(F.lit(1)).alias("classes"), F.sum("texts").alias("texts"))
-    hosts = measured.groupBy("host_key", "class_key").agg(F.lit(1).alias("one")) \
+    text = ["host_key", "text_key"]
+    lines = measured.select(*text, F.explode("lines").alias("line")) \
+        .select(*text, "line.h", "line.c", "line.w", "line.g")
+    candidates = lines.groupBy("host_key", "h", "text_key").agg(F.lit(1).alias("one")) \
+        .groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("texts")) \
+        .filter(F.col("texts") > least_documents)
+    marked = settle(lines.join(candidates.select("host_key", "h", F.lit(True).alias("frequent")),
+                               ["host_key", "h"], "left"))
+    own = settle(_classes(_own_lines(marked, least_documents)))
+    held = marked.filter("frequent").select(*text, "h").distinct()
+    first = held.groupBy(*text).agg(
+        F.slice(F.array_sort(F.collect_set("h")), 1, 2).alias("first"))
+    texts = settle(measured.select(*text).distinct()
+                   .join(own.filter("without IS NULL").drop("without"), text, "left")
+                   .join(first, text, "left"))
+    exceptions = own.filter("without IS NOT NULL").select(
+        *text, F.col("without").alias("h"), F.struct(F.col("own").alias("own")).alias("but"))
+
+    def class_of(own: Column, other: Column, last: Column) -> Column:
+        return F.when(own.isNotNull(), F.struct(F.lit(0).alias("kind"), own.alias("key"))) \
+            .when(other.isNotNull(), F.struct(F.lit(1).alias("kind"), other.alias("key"))) \
+            .otherwise(F.struct(F.lit(2).alias("kind"), last.alias("key")))
+
+    smallest, second = F.get("first", F.lit(0)), F.get("first", F.lit(1))
+    outside = class_of(
+        F.when(F.col("but").isNull(), F.col("own")).otherwise(F.col("but.own")),
+        F.when(smallest == F.col("h"), second).otherwise(smallest), F.lit(0).cast("long"))
+    counts = held.join(texts, text).join(exceptions, [*text, "h"], "left") \
+        .select("host_key", "h", outside.alias("class")) \
+        .groupBy("host_key", "h", "class").agg(F.lit(1).alias("one")) \
+        .groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("classes"))
+    hosts = texts.select("host_key", class_of(F.col("own"), smallest, F.col("text_key"))
+                         .alias("class")) \
+        .groupBy("host_key", "class").agg(F.lit(1).alias("one")) \
         .groupBy("host_key").agg(F.count(F.lit(1)).alias("host_classes"))
     return counts.filter(F.col("classes") > least_documents) \
-        .filter(F.col("classes") >= F.col("texts") * least_variety) \
         .join(hosts, "host_key") \
         .filter(F.col("classes") > F.col("host_classes") * least_share) \
         .select("host_key", "h")
@@ -152,7 +265,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source",
     measured = settle(measure(docs, text, host, keep))
     verdicts = depleted(measured, frequent_lines(measured, **limits))
     failed = base_failed()
-    return measured.drop("lines", "class_key") \
+    return measured.drop("lines") \
         .join(verdicts, ["host_key", "text_key"], "left") \
         .withColumn("base_failed", failed) \
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce("is_depleted", F.lit(False)))

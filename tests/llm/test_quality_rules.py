@@ -1,5 +1,6 @@
 """Base counts against brute force; line frequency on planted lines and copies."""
 
+import random
 import re
 from collections import Counter
 
@@ -57,6 +58,34 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert 100 not in cleaned
 
 
+def letters(k, n):
+    """Prose without digits, which lines are normalised by."""
+    return prose(k, n).translate(str.maketrans("0123456789", "abcdefghij"))
+
+
+def test_depleted_documents_go_however_much_boilerplate_they_hold(spark):
+    rng = random.Random(3)
+    notices = ["\n".join(letters(f"menu{h}l{k}", 20) for k in range(9)) for h in range(2)]
+    rows = [(k, f"{notices[0]}\n{letters(k, 20)}", "a") for k in range(200)]
+    # Beside few unlike documents, many near copies that carry the same lines.
+    rows += [(1000 + k, f"{notices[1]}\n{letters(1000 + k, 20)}", "b") for k in range(40)]
+    copied = [letters(f"copy{i}", 20).split(" ") for i in range(30)]
+    for k in range(600):
+        lines = [list(x) for x in copied]
+        for _ in range(3):
+            lines[rng.randrange(30)][rng.randrange(20)] = f"edit{k}"
+        text = "\n".join(" ".join(x) for x in lines)
+        rows.append((2000 + k, f"{notices[1]}\n{text}", "b"))
+    # Copies alone, each line of which is in hundreds of unequal texts.
+    rows += [(5000 + r[0], r[1].split("\n", 9)[-1], "c") for r in rows if r[0] >= 2000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id for r in rules.judge(docs).filter("kept").collect()}
+    assert kept == {r[0] for r in rows if r[0] >= 2000}
+    cleaned = {r.doc_id: r.text for r in rules.clean(docs).collect()}
+    assert cleaned == {r[0]: r[1].removeprefix(notices[1] + "\n")
+                       for r in rows if r[0] >= 2000}
+
+
 def test_clean_keeps_repeated_rows_and_columns(messy):
     kept = rules.clean(messy)
     assert kept.columns == messy.columns
