@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pitpanel.catalog.registry import Catalog
 from pitpanel.llm import (
-    bpe, chat, cotrain, digests, html_text, mixing, pii, quality_rules, repeats, simhash,
+    bpe, chat, cotrain, digests, html_text, mixing, packed_ids, pii, quality_rules, repeats,
+    simhash,
 )
 
 catalog = Catalog()
@@ -139,3 +140,15 @@ def op9_document_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = cotrain.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.withColumnRenamed("key", "doc_id")
+
+
+#: The id that ends a document in token files.
+END_ID = 2
+
+
+@catalog.add()
+def op11_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = packed_ids.write(_table(spark, sf_dir, "documents"),
+                                bpe.share(spark, vocabulary_path()), END_ID)
+    return packed_ids.read(manifest).select(
+        F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
