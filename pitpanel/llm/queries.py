@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitpanel.catalog.registry import Catalog
 from pitpanel.llm import (
     bpe, chat, cotrain, digests, html_text, mixing, packed_ids, pii, quality_rules, repeats,
-    simhash,
+    simhash, variants,
 )
 
 catalog = Catalog()
@@ -152,3 +152,8 @@ def op11_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 bpe.share(spark, vocabulary_path()), END_ID)
     return packed_ids.read(manifest).select(
         F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@catalog.add()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(_table(spark, sf_dir, "documents"))
