@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pitpanel.catalog.registry import Catalog
 from pitpanel.llm import (
-    bpe, chat, cotrain, digests, html_text, mixing, packed_ids, pii, quality_rules, repeats,
-    simhash, variants,
+    bpe, chat, cotrain, digests, html_text, mixing, packed_ids, pii, prefix_trie,
+    quality_rules, repeats, simhash, variants,
 )
 
 catalog = Catalog()
@@ -157,3 +157,65 @@ def op11_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add()
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(_table(spark, sf_dir, "documents"))
+
+
+def rebuilt_trie(conversations: DataFrame) -> DataFrame:
+    """The trie of conversations rebuilt on the openings of their hundreds."""
+    numbered = prefix_trie.number_turns(conversations)
+    return prefix_trie.trie(*prefix_trie.with_shared_openings(numbered))
+
+
+#: The checksum is folded over bytes and eight shifts for each; a node's ancestors are the
+#: prefixes of its smallest member.
+TRIE_SQL = r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+    SELECT c, xor(list_reduce(
+        list_concat([4294967295::BIGINT], flatten(list_transform(
+            string_split(c::VARCHAR, ''),
+            lambda x: list_concat([ascii(x)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+        lambda s, e: CASE WHEN e >= 0 THEN xor(s, e)
+                       ELSE xor(s >> 1, 3988292384::BIGINT * (s & 1)) END),
+        4294967295::BIGINT) % 6 AS h FROM ids),
+own AS (
+    SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+            coalesce(role, ''), coalesce(text, '')) AS i
+    FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS (
+    SELECT convs.c, 0 AS part, i, r, t FROM convs JOIN own
+        ON own.c = convs.c - convs.c % 100 AND i <= h
+    UNION ALL SELECT c, 1, i, r, t FROM own JOIN convs USING (c) WHERE i > h),
+placed AS (
+    SELECT c, row_number() OVER w AS d, length(t) AS chars,
+        sha256(string_agg(sha256(r) || sha256(t), '') OVER w) AS k
+    FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, i)),
+paths AS (SELECT c, d, chars, k FROM placed UNION ALL SELECT c, 0, 0, 'root' FROM ids),
+nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, min(chars) AS chars
+          FROM paths GROUP BY d, k),
+above AS (SELECT n.d, n.k, p.d AS up_d, p.k AS up_k FROM nodes n
+          JOIN paths p ON p.c = n.conv_id AND p.d <= n.d),
+kids AS (SELECT up_d AS d, up_k AS k, count(*) AS n_children FROM above
+         WHERE up_d = d - 1 GROUP BY ALL),
+sums AS (
+    SELECT a.up_d AS d, a.up_k AS k, count(*) FILTER (kids.k IS NULL) AS n_leaves,
+        sum((n.n_convs - 1) * n.chars) AS saved_tokens
+    FROM above a JOIN nodes n ON n.d = a.d AND n.k = a.k
+    LEFT JOIN kids ON kids.d = a.d AND kids.k = a.k GROUP BY ALL),
+ends AS (
+    SELECT d, k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends_sha256
+    FROM (SELECT c, max(d) AS d, max_by(k, d) AS k FROM paths GROUP BY c) GROUP BY d, k)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id,
+    n.n_convs::BIGINT AS n_convs, coalesce(kids.n_children, 0)::BIGINT AS n_children,
+    sums.n_leaves::BIGINT AS n_leaves, sums.saved_tokens::BIGINT AS saved_tokens,
+    coalesce(ends.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums ON sums.d = n.d AND sums.k = n.k
+LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k
+LEFT JOIN ends ON ends.d = n.d AND ends.k = n.k
+LEFT JOIN above a ON a.d = n.d AND a.k = n.k AND a.up_d = n.d - 1
+LEFT JOIN nodes up ON up.d = a.up_d AND up.k = a.up_k"""
+
+
+@catalog.add(TRIE_SQL)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(_table(spark, sf_dir, "conversations")).drop(*prefix_trie.KEY)
