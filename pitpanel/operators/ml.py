@@ -1,4 +1,4 @@
-"""Fold-wise preprocessing and models on Spark ML.
+"""Fold-wise preprocessing and models.
 
 Everything is learned from a fold's own training rows. What a fold learns --
 quantile grids, medians, means, deviations -- has a size fixed by the number of
@@ -9,28 +9,24 @@ never are.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import StructField
 
 from pitpanel.contracts import nan_to_null
 from pitpanel.functions.scores import decide
+from pitpanel.operators import boosting
 from pitpanel.operators.ordered import exact_quantiles
 from pitpanel.session import settle
 
 N_QUANTILES = 1000
-PARALLEL_FITS = 8
 # Distance to a grid end that counts as reaching it, and the
 # normal score given to the ends.
 BOUND_THRESHOLD = 1e-7
@@ -83,10 +79,11 @@ def rank_to_normal(values: np.ndarray, grid: np.ndarray) -> np.ndarray:
     share = 0.5 * (rising - falling)
     share[x - BOUND_THRESHOLD < grid[0]] = 0.0
     share[x + BOUND_THRESHOLD > grid[-1]] = 1.0
-    normal = NormalDist()
     inside = (share > 0.0) & (share < 1.0)
     score = np.where(share <= 0.0, -NORMAL_LIMIT, NORMAL_LIMIT)
-    score[inside] = [normal.inv_cdf(p) for p in share[inside]]
+    # Shares repeat, on grids of few distinct values above all.
+    distinct, back = np.unique(share[inside], return_inverse=True)
+    score[inside] = np.array([*map(NormalDist().inv_cdf, distinct), 0.0])[back]
     out[known] = np.clip(score, -NORMAL_LIMIT, NORMAL_LIMIT)
     return out
 
@@ -171,126 +168,140 @@ def standardise(df: DataFrame, fitted: FoldScaling, features: Sequence[str],
 # --- estimators ------------------------------------------------------------
 
 
-def _per_fold(df: DataFrame, folds: Sequence[int], fit: Callable[[int], object]) -> list:
-    """Fit the folds side by side: each fit is a chain of small Spark jobs."""
-    with ThreadPoolExecutor(max_workers=max(1, min(len(folds), PARALLEL_FITS))) as pool:
-        return list(pool.map(inheritable_thread_target(df.sparkSession)(fit), folds))
+def _dot(features: Sequence[str]) -> Column:
+    """Intercept plus weighted features, from joined columns _w_0, _w_1, .."""
+    total = F.col("_w_0")
+    for k, f in enumerate(features, start=1):
+        total = total + F.col(f"_w_{k}") * F.col(f)
+    return total
 
 
-def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label_yoy",
-                 c: float = 1.0, max_iter: int = 2000, tol: float = 1e-7):
-    """L2 logistic regression with an unpenalised intercept.
-
-    Spark averages the loss over rows, so the penalty 1/C on the summed loss
-    becomes 1/(C n) here.
-    """
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        train.withColumn(label, F.col(label).cast("double")))
-    n = assembled.count()
-    estimator = LogisticRegression(
-        featuresCol="_x", labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=tol, family="binomial",
-        probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_class")
-    return estimator.fit(assembled)
+def _weight_table(spark: SparkSession, weights: dict[tuple, np.ndarray],
+                  groups: Sequence[StructField]) -> DataFrame:
+    """One row per group: its key and _w_0, _w_1, .."""
+    width = len(next(iter(weights.values())))
+    schema = T.StructType([*groups, *[T.StructField(f"_w_{k}", T.DoubleType())
+                                      for k in range(width)]])
+    return spark.createDataFrame([(*key, *map(float, w)) for key, w in weights.items()], schema)
 
 
-def predict_probability(model, rows: DataFrame, features: Sequence[str],
-                        out: str = "probability") -> DataFrame:
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
-    return model.transform(assembled).withColumn(
-        out, vector_to_array("_probability")[1]).drop("_x", "_raw", "_probability", "_class")
+def newton_sums(train: DataFrame, weights: DataFrame, features: Sequence[str],
+                groups: Sequence[str], label: str) -> DataFrame:
+    """Per group, under its weights: rows, loss, gradient and curvature of the loss.
 
-
-def logistic_by_fold(assigned: DataFrame, features: Sequence[str], *, ranked: Sequence[str] = (),
-                     fold: str = "fold", label: str = "label_yoy", keep: Sequence[str] = (),
-                     scored_role: str = "validate", model: str = "logistic_rank",
-                     c: float = 1.0, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Refit per fold: (scored rows, coefficients per fold and feature).
-
-    Preprocessing is fitted for all folds in one pass each; only the regression
-    itself loops, and each of its fits is distributed.
+    One aggregation with map-side partials over one scan, for all groups; its
+    result has a row per group.
+    """
+    z, y = F.col("_z"), F.col(label).cast("double")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    rows = train.join(F.broadcast(weights), list(groups)).withColumn("_z", _dot(features)) \
+        .withColumns({"_r": p - y, "_v": p * (F.lit(1.0) - p)})
+    x = [F.lit(1.0), *[F.col(f) for f in features]]
+    loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z
+    return rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss"),
+        *[F.sum(F.col("_r") * v).alias(f"g_{i}") for i, v in enumerate(x)],
+        *[F.sum(F.col("_v") * x[i] * x[j]).alias(f"h_{i}_{j}")
+          for i in range(len(x)) for j in range(i, len(x))])
+
+
+def fit_logistic_groups(train: DataFrame, features: Sequence[str], groups: Sequence[str],
+                        label: str = "label_yoy", c: float = 1.0, max_steps: int = 60,
+                        tol: float = 1e-9) -> dict[tuple, np.ndarray]:
+    """Group -> intercept and weights of an L2 logistic regression.
+
+    The penalty is 1/(2 C) on the summed loss, the intercept is free. Newton steps
+    for all groups together: every step is one pass over one table. A step that
+    doesn't lower a group's loss is halved; a group is done when its step is below
+    ``tol``. Features must be free of nulls.
+    """
+    spark, width = train.sparkSession, len(features) + 1
+    fields = [train.schema[g] for g in groups]
+    ridge = np.r_[0.0, np.full(width - 1, 1.0 / c)]
+    usable = train.where(F.col(label).isNotNull())
+    keys = [tuple(r) for r in usable.select(*groups).distinct().collect()]
+    at = {key: np.zeros(width) for key in keys}
+    tried = dict(at)
+    lowest = {key: np.inf for key in keys}
+    steps: dict[tuple, np.ndarray] = {}
+    open_keys = set(keys)
+    for _ in range(max_steps):
+        if not open_keys:
+            break
+        table = _weight_table(spark, {k: tried[k] for k in open_keys}, fields)
+        for row in newton_sums(usable, table, features, groups, label).collect():
+            key = tuple(row[g] for g in groups)
+            w = tried[key]
+            loss = row["loss"] + 0.5 * float(ridge @ (w * w))
+            if loss > lowest[key] + 1e-12 * abs(lowest[key]):
+                steps[key] = steps[key] / 2
+                if np.abs(steps[key]).max() < tol:
+                    open_keys.discard(key)
+                else:
+                    tried[key] = at[key] - steps[key]
+                continue
+            at[key], lowest[key] = w, loss
+            gradient = np.array([row[f"g_{i}"] for i in range(width)]) + ridge * w
+            curve = np.diag(ridge)
+            for i in range(width):
+                for j in range(i, width):
+                    curve[i, j] += row[f"h_{i}_{j}"]
+                    curve[j, i] = curve[i, j]
+            # With one class the curvature vanishes: any step that lowers the loss will do.
+            steps[key] = np.linalg.lstsq(curve, gradient, rcond=None)[0]
+            if np.abs(steps[key]).max() < tol:
+                open_keys.discard(key)
+            else:
+                tried[key] = w - steps[key]
+    return at
+
+
+def logistic_variants(assigned: DataFrame, features: Sequence[str],
+                      variants: dict[str, Sequence[str]], *, fold: str = "fold",
+                      label: str = "label_yoy", keep: Sequence[str] = (),
+                      scored_role: str = "validate", c: float = 1.0,
+                      threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Refit every variant on every fold: (scored rows, coefficients per fold and feature).
+
+    ``variants`` maps a model's name to the features it takes as normal scores.
+    Preprocessing is fitted for all folds in one pass each, and all folds of all
+    variants share the passes of the regression.
     """
     rows = design(assigned.where(F.col("role").isin("train", scored_role)), features,
                   keep=[fold, "role", label, *keep])
     is_train = (F.col("role") == "train") & F.col(label).isNotNull()
     rows = settle(rows)
-    if ranked:
-        grids = fit_quantile_grids(rows.where(is_train), ranked, fold)
-        rows = settle(apply_quantile_grids(rows, grids, ranked, fold))
-    fitted = fit_scaling(rows.where(is_train), features, fold)
-    scaled = standardise(impute(rows, fitted, features, fold), fitted, features, fold)
-    folds = sorted(fitted.means)
-
-    def fit(one: int):
-        return fit_logistic(scaled.where((F.col(fold) == one) & is_train), features, label, c)
-
-    scored, coefficients = [], []
-    for one, trained in zip(folds, _per_fold(assigned, folds, fit)):
-        coefficients += [(int(one), model, f, float(w))
-                         for f, w in zip(features, trained.coefficients)]
-        to_score = scaled.where((F.col(fold) == one) & (F.col("role") == scored_role))
-        scored.append(predict_probability(trained, to_score, features).select(
-            fold, *keep, F.lit(model).alias("model"), F.col(label).alias("y_true"),
-            decide(F.col("probability"), threshold).alias("prediction"), "probability"))
+    parts = []
+    for model, ranked in variants.items():
+        mine = rows
+        if ranked:
+            grids = fit_quantile_grids(rows.where(is_train), ranked, fold)
+            mine = settle(apply_quantile_grids(rows, grids, ranked, fold))
+        fitted = fit_scaling(mine.where(is_train), features, fold)
+        parts.append(standardise(impute(mine, fitted, features, fold), fitted, features, fold)
+                     .where(F.col(fold).isin(*fitted.means)).withColumn("model", F.lit(model)))
+    scaled = settle(reduce(lambda a, b: a.unionByName(b), parts))
+    groups = [fold, "model"]
+    weights = fit_logistic_groups(scaled.where(is_train), features, groups, label, c)
     spark = assigned.sparkSession
-    return (reduce(lambda a, b: a.unionByName(b), scored),
-            spark.createDataFrame(coefficients,
-                                  f"{fold} int, model string, feature string, coefficient double"))
-
-
-def stopping_point(losses: Sequence[float], patience: int) -> tuple[int, bool]:
-    """(best iteration, 1-based; whether patience ran out)."""
-    best, best_at = float("inf"), 0
-    for i, loss in enumerate(losses, start=1):
-        if loss < best:
-            best, best_at = loss, i
-        elif i - best_at >= patience:
-            return best_at, True
-    return best_at, False
-
-
-def fit_boosted_trees(train: DataFrame, stop_on: DataFrame, features: Sequence[str], *,
-                      label: str = "label_yoy", max_trees: int = 2000, patience: int = 50,
-                      first_try: int = 64, depth: int = 3, step: float = 0.05,
-                      min_leaf: int = 50, row_share: float = 0.8, column_share: float = 0.8,
-                      seed: int = 42):
-    """(model, best iteration): boosted trees stopped early on a separate slice.
-
-    Spark's own validation option has no patience, so trees are fitted in
-    doubling batches, scored per iteration on the slice, and refitted with the
-    best number. The seed makes the first trees of each batch the same.
-    """
-    def assembled(df: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-            df.withColumn(label, F.col(label).cast("double")))
-
-    fit_rows, stop_rows = assembled(train).persist(), assembled(stop_on).persist()
-
-    def fit(trees: int):
-        return GBTClassifier(
-            featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step,
-            minInstancesPerNode=min_leaf, subsamplingRate=row_share,
-            featureSubsetStrategy=str(column_share), seed=seed, predictionCol="_class") \
-            .setProbabilityCol("_probability").setRawPredictionCol("_raw").fit(fit_rows)
-
-    trees = min(first_try, max_trees)
-    while True:
-        model = fit(trees)
-        best, exhausted = stopping_point(model.evaluateEachIteration(stop_rows), patience)
-        if exhausted or trees >= max_trees:
-            break
-        trees = min(trees * 2, max_trees)
-    final = fit(best) if best < trees else model
-    fit_rows.unpersist()
-    stop_rows.unpersist()
-    return final, best
+    if not weights:
+        weights = {(0, ""): np.zeros(len(features) + 1)}
+    table = _weight_table(spark, weights, [scaled.schema[g] for g in groups])
+    scored = scaled.where(F.col("role") == scored_role).join(F.broadcast(table), groups) \
+        .withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-_dot(features)))) \
+        .select(fold, *keep, "model", F.col(label).alias("y_true"),
+                decide(F.col("probability"), threshold).alias("prediction"), "probability")
+    coefficients = [(int(key[0]), key[1], f, float(w))
+                    for key, ws in sorted(weights.items()) for f, w in zip(features, ws[1:])
+                    if key[1]]
+    return scored, spark.createDataFrame(
+        coefficients, f"{fold} int, model string, feature string, coefficient double")
 
 
-def with_missing_indicators(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Add a 0/1 column per feature telling that it was missing."""
-    names = [f"{f}__missing" for f in features]
-    return df.select("*", *[F.col(f).isNull().cast("double").alias(n)
-                            for f, n in zip(features, names)]), names
+def logistic_by_fold(assigned: DataFrame, features: Sequence[str], *, ranked: Sequence[str] = (),
+                     model: str = "logistic_rank", **options) -> tuple[DataFrame, DataFrame]:
+    """:func:`logistic_variants` of a single variant."""
+    return logistic_variants(assigned, features, {model: ranked}, **options)
 
 
 def trees_by_fold(assigned: DataFrame, features: Sequence[str], *, inner: bool = True,
@@ -300,37 +311,24 @@ def trees_by_fold(assigned: DataFrame, features: Sequence[str], *, inner: bool =
     """Refit boosted trees per fold: (scored rows, best iteration per fold).
 
     ``inner=True`` stops on the last training year. ``inner=False`` trains on
-    the whole window and stops on the scored rows: a biased diagnostic.
+    the whole window and stops on the scored rows: a biased diagnostic. Missing
+    features stay missing; ``options`` are those of :class:`boosting.TreeOptions`.
     """
     train_role, stop_role = ("inner_train", "inner_validate") if inner else ("train", scored_role)
-    wanted = {train_role, stop_role, scored_role}
-    rows = design(assigned.where(F.col("role").isin(*wanted)), features,
-                  keep=[fold, "role", label, *keep])
-    rows, indicators = with_missing_indicators(rows, features)
-    rows = settle(rows)
-    labelled = F.col(label).isNotNull()
-    fitted = fit_scaling(rows.where((F.col("role") == train_role) & labelled), features, fold)
-    filled = impute(rows, fitted, features, fold)
-    inputs = [*features, *indicators]
-    folds = sorted(fitted.medians)
-
-    def side(one: int, role: str) -> DataFrame:
-        return filled.where((F.col(fold) == one) & (F.col("role") == role))
-
-    def fit(one: int):
-        return fit_boosted_trees(side(one, train_role).where(labelled),
-                                 side(one, stop_role).where(labelled),
-                                 inputs, label=label, **options)
-
-    scored, iterations = [], []
-    for one, (trained, best) in zip(folds, _per_fold(assigned, folds, fit)):
-        iterations.append((int(one), model, int(best)))
-        scored.append(predict_probability(trained, side(one, scored_role), inputs).select(
-            fold, *keep, F.lit(model).alias("model"), F.col(label).alias("y_true"),
-            decide(F.col("probability"), threshold).alias("prediction"), "probability"))
+    rows = settle(design(assigned.where(F.col("role").isin(train_role, stop_role, scored_role)),
+                         features, keep=[fold, "role", label, *keep]))
+    role = F.col("role")
+    sides = rows.where(F.col(label).isNotNull()).withColumn(
+        "side", F.when(role == train_role, "train").when(role == stop_role, "stop"))
+    fitted = boosting.fit(sides, features, fold=fold, label=label,
+                          options=boosting.TreeOptions(**options))
+    scored = boosting.with_probability(rows.where(role == scored_role), fitted, features, fold)
     spark = assigned.sparkSession
-    return (reduce(lambda a, b: a.unionByName(b), scored),
-            spark.createDataFrame(iterations, f"{fold} int, model string, best_iteration int"))
+    return (scored.select(
+        fold, *keep, F.lit(model).alias("model"), F.col(label).alias("y_true"),
+        decide(F.col("probability"), threshold).alias("prediction"), "probability"),
+        spark.createDataFrame([(int(one), model, e.best) for one, e in fitted.items()],
+                              f"{fold} int, model string, best_iteration int"))
 
 
 Fitter = Callable[[DataFrame], DataFrame]

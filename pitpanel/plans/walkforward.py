@@ -67,15 +67,17 @@ def walk_forward(features: DataFrame, first_train: int, first_validate: int, las
     gates.enforce(gates.fold_order(assigned, boundary), "fold discipline")
     parts, coefficients, iterations = [], [], []
     keep = [entity]
+    regressions = {name: RANKED_FEATURES if name == LOGISTIC else ()
+                   for name in variants if name in (LOGISTIC, LOGISTIC_BIASED)}
+    if regressions:
+        scored, weights = ml.logistic_variants(assigned, MODEL_FEATURES, regressions, keep=keep)
+        parts.append(scored)
+        coefficients.append(weights)
     for name in variants:
+        if name in regressions:
+            continue
         if name == CONSTANT:
             parts.append(evaluate.constant_scores(assigned, keep=keep))
-        elif name in (LOGISTIC, LOGISTIC_BIASED):
-            ranked = RANKED_FEATURES if name == LOGISTIC else ()
-            scored, weights = ml.logistic_by_fold(assigned, MODEL_FEATURES, ranked=ranked,
-                                                  keep=keep, model=name)
-            parts.append(scored)
-            coefficients.append(weights)
         elif name in (TREES, TREES_BIASED):
             scored, best = ml.trees_by_fold(assigned, MODEL_FEATURES, inner=name == TREES,
                                             keep=keep, model=name, **(tree_options or {}))

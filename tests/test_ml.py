@@ -67,21 +67,40 @@ def test_fold_pipeline_equals_numpy(spark, ranked):
         ["a", "b", "c"], ranked=ranked, keep=["id"])
     want, probability = reference_fit(data, ranked)
     got = [r.coefficient for r in weights.collect()]
-    np.testing.assert_allclose(got, want[1:], atol=2e-5)
+    np.testing.assert_allclose(got, want[1:], atol=1e-7)
     p = scored.orderBy("id").toPandas()["probability"]
-    np.testing.assert_allclose(p, probability, atol=2e-5)
-
-
-def test_stopping_point():
-    losses = [0.9, 0.8, 0.7, 0.71, 0.72, 0.73, 0.6]
-    assert ml.stopping_point(losses, 3) == (3, True)
-    assert ml.stopping_point(losses, 10) == (7, False)
-
-
-def test_boosted_trees_stop_on_the_inner_slice(spark):
-    data = frame(300, 1)
-    df = spark.createDataFrame(data.fillna(0.0))
-    model, best = ml.fit_boosted_trees(
-        df.where("role = 'train'"), df.where("role = 'validate'"), ["a", "b", "c"],
-        max_trees=6, first_try=3, patience=2, min_leaf=10)
-    assert 1 <= best <= 6 and len(model.trees) >= best
+    np.testing.assert_allclose(p, probability, atol=1e-7)
+
+
+def test_grouped_newton_equals_one_fit_per_group(spark):
+    parts = []
+    for seed, (name, n) in enumerate([("a", 300), ("b", 40), ("c", 900)]):
+        part = frame(n, seed).fillna(0.0)
+        part[["a", "b", "c"]] = (part[["a", "b", "c"]] - part[["a", "b", "c"]].mean()) \
+            / part[["a", "b", "c"]].std()
+        parts.append(part.assign(model=name, fold=seed))
+    data = pd.concat(parts)
+    train = spark.createDataFrame(data)
+    got = ml.fit_logistic_groups(train, ["a", "b", "c"], ["fold", "model"], c=0.7)
+    assert len(got) == 3
+    for (fold, model), part in data.groupby(["fold", "model"]):
+        want = newton(part[["a", "b", "c"]].to_numpy(), part["label_yoy"].to_numpy(), 0.7)
+        np.testing.assert_allclose(got[fold, model], want, atol=1e-8)
+    table = ml._weight_table(spark, got, [train.schema[g] for g in ("fold", "model")])
+    plan = ml.newton_sums(train, table, ["a", "b", "c"], ["fold", "model"], "label_yoy") \
+        ._jdf.queryExecution().optimizedPlan().toString()
+    # All groups come from one scan of the rows, beside that of the weights.
+    assert plan.count("LogicalRDD") == 2 or plan.count("LocalRelation") <= 2
+
+
+def test_one_class_and_halved_steps(spark):
+    flat = spark.createDataFrame([(1, float(k % 3), 1) for k in range(30)],
+                                 "fold int, a double, label_yoy int")
+    w = ml.fit_logistic_groups(flat, ["a"], ["fold"])[(1,)]
+    assert w[0] > 5 and np.isfinite(w).all()
+    far = spark.createDataFrame([(1, 1e3 * (k % 7), int(k % 7 > 2)) for k in range(70)],
+                                "fold int, a double, label_yoy int")
+    w = ml.fit_logistic_groups(far, ["a"], ["fold"])[(1,)]
+    want = newton(np.array([[k % 7] for k in range(70)], float),
+                  np.array([int(k % 7 > 2) for k in range(70)]), 1e6)
+    assert abs(w[1] * 1e3 - want[1]) < 0.05 * want[1]
