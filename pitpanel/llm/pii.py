@@ -1,19 +1,20 @@
 """Personal data: fixed patterns, and terms that reveal what the patterns found.
 
 Every match of a pattern is a protected entity (its kind and value). The terms
-around it are judged by information: over the distinct texts of the corpus, a term
+around it are judged by information: over the documents of the corpus, a term
 ``t`` near entity ``e`` reveals ``log2(P(e | t) / P(e))`` bits. A term is withheld
 near ``e`` when that is at least ``least_bits`` and at least ``least_share`` of the
 ``log2(1 / P(e))`` bits it takes to single the entity out, and when the two meet in
 ``least_contexts`` unlike contexts at least. Contexts are told apart by the smallest
-hashes of their terms, so the same passage in many near copies is few contexts. There
+hashes of their terms, so the same passage in many near copies is few contexts (where
+they are fewer than half of a pair's distinct texts, it is taken to be one). There
 are ``SKETCHES`` hash functions, of which the one that sees most contexts counts: under
 another one, the smallest hash may be that of the very term.
 
 Entities become their kind in brackets (generalised), revealing terms ``[TERM]``.
 
 Defined cases: null text counts as empty and gives no spans; equal texts get equal
-spans and count once in the statistics; matches that fail a kind's rule are dropped
+spans; matches that fail a kind's rule are dropped
 without a retry; spans of different kinds may overlap and are merged when replaced;
 an empty table gives an empty table; other columns are kept or ignored. Patterns
 match in linear time: runs are possessive and start where they can first start.
@@ -130,6 +131,12 @@ def listed(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def count_kind(spans: Column, kind: str) -> Column:
+    """How many of the spans are of one kind, as a long."""
+    number = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+
 def text_key(body: Column) -> Column:
     return F.xxhash64(body, F.length(body))
 
@@ -179,13 +186,13 @@ def _terms(text: Column, at: Column, reach: int, is_left: bool) -> Column:
 
 
 def revealing(docs: DataFrame, detected: DataFrame, text: str = "text",
-              least_contexts: int = 3, least_bits: float = 6.0, least_share: float = 0.9,
+              least_contexts: int = 3, least_bits: float = 1.0, least_share: float = 0.9,
               least_variety: float = 0.5, reach: int = REACH) -> DataFrame:
     """(text_key, terms): sorted (kind, start, end) of the revealing terms of a text."""
-    texts = detected.filter(F.size("spans") > 0).select("text_key", "spans", "around") \
-        .dropDuplicates(["text_key"])
-    near = texts.select("text_key", "spans", F.explode("around").alias("e")) \
-        .select("text_key", "spans",
+    texts = detected.filter(F.size("spans") > 0).select(
+        F.monotonically_increasing_id().alias("row"), "text_key", "spans", "around")
+    near = texts.select("row", "text_key", "spans", F.explode("around").alias("e")) \
+        .select("row", "text_key", "spans",
                 F.xxhash64(F.col("e.kind"), F.col("e.value")).alias("entity"),
                 F.concat(_terms(F.col("e.left"), F.col("e.left_at"), reach, True),
                          _terms(F.col("e.right"), F.col("e.end"), reach, False)).alias("terms"))
@@ -195,39 +202,38 @@ def revealing(docs: DataFrame, detected: DataFrame, text: str = "text",
 
     sketch = F.array(*[smallest(k) for k in range(SKETCHES)])
     rows = near.withColumn("contexts", sketch) \
-        .select("text_key", "spans", "entity", "contexts", F.explode("terms").alias("t")) \
-        .select("text_key", "spans", "entity", "contexts", F.xxhash64("t.term").alias("term"),
+        .select("row", "text_key", "spans", "entity", "contexts", F.explode("terms").alias("t")) \
+        .select("row", "text_key", "spans", "entity", "contexts",
+                F.xxhash64("t.term").alias("term"),
                 F.col("t.start").alias("start"),
                 (F.col("t.start") + F.length("t.term")).alias("end")) \
         .filter(~F.exists("spans", lambda s: (s["start"] < F.col("end"))
                           & (s["end"] > F.col("start")))).drop("spans")
     rows = settle(rows)
-    pair_texts = rows.groupBy("entity", "term", "text_key").agg(F.lit(1).alias("one")) \
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    pair_rows = rows.groupBy("entity", "term", "row").agg(F.min("text_key").alias("text_key")) \
+        .groupBy("entity", "term", "text_key").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("entity", "term").agg(F.sum("n").alias("both"),
+                                       F.count(F.lit(1)).alias("texts"))
     pair_contexts = rows.select("entity", "term", F.posexplode("contexts").alias("k", "context")) \
         .groupBy("entity", "term", "k", "context").agg(F.lit(1).alias("one")) \
         .groupBy("entity", "term", "k").agg(F.count(F.lit(1)).alias("n")) \
         .groupBy("entity", "term").agg(F.max("n").alias("contexts"))
-    pairs = settle(pair_texts.join(pair_contexts, ["entity", "term"])
+    pairs = settle(pair_rows.join(pair_contexts, ["entity", "term"])
                    .filter((F.col("contexts") >= least_contexts)
-                           & (F.col("contexts") >= F.col("both") * least_variety)))
-    asked = settle(pairs.select("term").distinct())
-    bodies = docs.select(whole(F.col(text)).alias("body"))
-    spread = bodies.select(text_key(F.col("body")).alias("text_key"), F.explode(F.array_distinct(
-        F.split(_blank_all(F.col("body")), " "))).alias("t")) \
-        .select("text_key", F.xxhash64("t").alias("term")).join(asked, "term") \
-        .groupBy("term", "text_key").agg(F.lit(1).alias("one")) \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("term_texts"))
-    entity_texts = texts.select("text_key", F.explode("around").alias("e")) \
-        .groupBy(F.xxhash64("e.kind", "e.value").alias("entity"), "text_key") \
+                           & (F.col("contexts") >= F.col("texts") * least_variety)))
+    # One row per term leaves each task, whatever the number of texts that hold it.
+    spread = docs.select(F.explode(F.array_distinct(
+        F.split(_blank_all(whole(F.col(text))), " "))).alias("t")) \
+        .groupBy(F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).alias("term_rows"))
+    entities = texts.select("row", F.explode("around").alias("e")) \
+        .groupBy(F.xxhash64("e.kind", "e.value").alias("entity"), "row") \
         .agg(F.lit(1).alias("one")).groupBy("entity") \
-        .agg(F.count(F.lit(1)).alias("entity_texts"))
-    total = detected.groupBy("text_key").agg(F.lit(1).alias("one")) \
-        .agg(F.count(F.lit(1)).alias("total"))
-    judged = pairs.join(spread, "term").join(entity_texts, "entity").join(F.broadcast(total)) \
+        .agg(F.count(F.lit(1)).alias("entity_rows"))
+    total = detected.agg(F.count(F.lit(1)).alias("total"))
+    judged = pairs.join(spread, "term").join(entities, "entity").join(F.broadcast(total)) \
         .withColumn("bits", F.log2(F.col("both") * F.col("total")
-                                   / (F.col("term_texts") * F.col("entity_texts")))) \
-        .withColumn("needed", F.log2(F.col("total") / F.col("entity_texts"))) \
+                                   / (F.col("term_rows") * F.col("entity_rows")))) \
+        .withColumn("needed", F.log2(F.col("total") / F.col("entity_rows"))) \
         .filter((F.col("bits") >= least_bits) & (F.col("bits") >= F.col("needed") * least_share))
     return rows.join(judged.select("entity", "term"), ["entity", "term"]) \
         .select("text_key", "start", "end").distinct().groupBy("text_key") \
@@ -248,7 +254,11 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """(keep, text_key, spans, terms): base spans and revealing terms per document."""
     detected = settle(detect(docs, text, keep))
     terms = revealing(docs, detected, text, **limits)
-    return detected.drop("around").join(terms, "text_key", "left")
+    # Most copies hold nothing; they take no part in the join by text.
+    plain, held = (detected.filter(c).drop("around")
+                   for c in (F.size("spans") == 0, F.size("spans") > 0))
+    return held.join(terms, "text_key", "left").unionByName(
+        plain.withColumn("terms", F.lit(None).cast(terms.schema["terms"].dataType)))
 
 
 def _replaced(body: Column, marks: Column) -> Column:
@@ -292,7 +302,11 @@ def sanitise(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     marks = found.select(F.col("text_key").alias(mark), _merged(every).alias(spans)) \
         .filter(F.size(spans) > 0)
     body = whole(F.col(text))
-    joined = docs.join(marks, text_key(body) == F.col(mark), "left")
+    suspect = F.lit(False)
+    for kind in KINDS:
+        suspect = suspect | _may_hold(body, kind)
+    joined = docs.filter(suspect).join(marks, text_key(body) == F.col(mark), "left") \
+        .unionByName(docs.filter(~suspect), allowMissingColumns=True)
     out = joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text))
                             .otherwise(_replaced(body, F.col(spans))))
     if "n_chars" in docs.columns:

@@ -112,8 +112,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
     base, terms = pii.listed(F.col("spans")), pii.listed(F.col("terms"), pii.ALL_KINDS)
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long")
-              .alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    counts = [pii.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
     both = F.array_compact(F.array(F.when(base != "", base), F.when(terms != "", terms)))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"),
                         F.array_join(both, ",").alias("spans"))

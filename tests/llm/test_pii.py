@@ -1,11 +1,12 @@
 """Base spans against plain regular expressions; revealing terms on planted contexts."""
 
+import hashlib
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from pitpanel.llm import pii
+from pitpanel.llm import pii, queries
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -110,3 +111,31 @@ def test_sanitise_keeps_rows_and_columns(messy):
     out = pii.sanitise(messy)
     assert out.columns == messy.columns and out.count() == messy.count()
     assert out.filter(F.col("text").isNull()).count() == messy.filter("text IS NULL").count()
+
+
+def test_the_registered_query(spark, messy, tmp_path):
+    more = spark.createDataFrame(
+        [(900, "call +1 (262) 555-3752, pay 4703443633947811 from 9.9.9.9 or a@b.c, d@e.f")],
+        "doc_id long, text string")
+    docs = messy.select("doc_id", "text").unionByName(more)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    names = list(PLAIN)
+    want = []
+    for r in docs.collect():
+        spans = base(r.text)
+        text = ",".join(f"{names[k]}:{a}:{b}" for k, a, b in spans)
+        counts = [sum(k == i for k, _, _ in spans) for i in range(len(names))]
+        want.append((str(r.doc_id), *counts, hashlib.sha256(text.encode()).hexdigest(), text))
+    got = queries.op7_pii_spans(spark, str(tmp_path)).collect()
+    columns = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert sorted((str(r.doc_id), *(r[c] for c in columns)) for r in got) == sorted(want)
+    assert ("900", 2, 1, 1, 1) in {w[:5] for w in want}
+
+
+def test_a_common_word_beside_entities_is_one_row(spark):
+    """Statistics of a term are one row, however many texts hold it; it reveals nothing."""
+    rows = [(k, f"the a{k} common x{k} mail of user{k % 5}@mail.example here z{k} w{k} v{k}"
+             if k % 3 == 0 else f"the common word {k} and more")
+            for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.find(docs).filter("terms IS NOT NULL").count() == 0
