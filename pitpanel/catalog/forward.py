@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pitpanel.catalog.proxies import (
@@ -10,10 +12,10 @@ from pitpanel.catalog.proxies import (
 )
 from pitpanel.catalog.registry import Catalog
 from pitpanel.operators import forward, gates, profile
-from pitpanel.operators.features import MODEL_FEATURES
 from pitpanel.plans import forward as plan
 from pitpanel.plans.panel import build_panel
-from pitpanel.session import settle
+from pitpanel.session import settle, shared_folder
+from pitpanel.sources import runs
 from pitpanel.sources.tables import parse_provenance
 
 catalog = Catalog()
@@ -326,9 +328,65 @@ def forward_predictions(spark, sf_dir):
     history = settle(_history(spark, sf_dir).history)
     pending, _ = _pending(spark, sf_dir, history)
     built, past = plan.forward_features(history, pending)
-    predicted = plan.predict_pending(built.select("ticker", "period_end", "prediction_date",
-                                                  "label_yoy", *MODEL_FEATURES), past, CUT)
-    return rounded(predicted, "predicted_probability")
+    return rounded(plan.predict_pending(built, past, CUT), "predicted_probability")
+
+
+def _committed(spark, sf_dir):
+    """A run of the cut, committed to the shared folder and read back."""
+    history = settle(_history(spark, sf_dir).history)
+    pending, _ = _pending(spark, sf_dir, history)
+    built, past = plan.forward_features(history, pending)
+    predictions = settle(plan.predict_pending(built, past, CUT))
+    provenance = {
+        "cut_date": CUT, "code_sha": "none", "working_tree_clean": "yes",
+        "config": "revision 1", "model": "logistic_rank", "decision_threshold": "0.5",
+        "panel_sha256": runs.digest_text(history),
+        **plan.training_summary(plan.training_rows(past, CUT))}
+    root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    runs.commit_run(predictions, provenance, root, CUT,
+                    inputs={"history": (history, provenance["panel_sha256"])})
+    return runs.load_run(spark, root, CUT)
+
+
+_LAGS = [f"label_lag_{k}" for k in (1, 2, 3, 4)]
+
+
+# All that a committed prediction says, but for the probability and its label.
+@catalog.add(with_ctes(*HISTORY_CHAIN, PENDING_SQL, """framed AS (
+  SELECT ticker, prediction_date, label_yoy, FALSE AS is_pending FROM history
+  UNION ALL SELECT ticker, CAST(DATE '2000-08-16' AS DATE), NULL, TRUE FROM judged
+  WHERE reason IS NULL),
+lagged AS (
+  SELECT ticker, is_pending, """ + ", ".join(
+    f"lag(label_yoy, {k}) OVER w AS label_lag_{k}" for k in (1, 2, 3, 4)) + """,
+         CAST(row_number() OVER w - 1 AS INTEGER) AS quarters_available
+  FROM framed WINDOW w AS (PARTITION BY ticker ORDER BY prediction_date))""", select=f"""
+  SELECT DATE '{CUT}' AS cut_date, ticker, last_period + gap AS expected_period_end,
+         last_period AS last_known_period_end, last_decision AS last_known_prediction_date,
+         gap AS quarter_gap_days_used, TRUE AS has_probability,
+         label_lag_1, label_lag_2, label_lag_3, label_lag_4, quarters_available
+  FROM judged JOIN lagged USING (ticker) WHERE reason IS NULL AND is_pending"""))
+def forward_output(spark, sf_dir):
+    data, _ = _committed(spark, sf_dir)
+    inside = F.col("predicted_probability").between(0, 1) & (
+        (F.col("predicted_probability") >= 0.5).cast("int") == F.col("predicted_label"))
+    return data.select(
+        "cut_date", "ticker", "expected_period_end", "last_known_period_end",
+        "last_known_prediction_date", "quarter_gap_days_used",
+        inside.alias("has_probability"), *_LAGS, "quarters_available")
+
+
+@catalog.add(with_ctes(*HISTORY_CHAIN, """learned AS (
+  SELECT count(*) AS n, avg(CAST(label_yoy AS DOUBLE)) AS rate FROM history
+  WHERE label_yoy IS NOT NULL)""", select=f"""
+  SELECT 'cut_date' AS key, '{CUT}' AS value
+  UNION ALL SELECT 'decision_threshold', '0.5'
+  UNION ALL SELECT 'training_rows_labelled', CAST(n AS VARCHAR) FROM learned
+  UNION ALL SELECT 'training_positive_rate', printf('%.6f', rate) FROM learned"""))
+def forward_provenance(spark, sf_dir):
+    _, provenance = _committed(spark, sf_dir)
+    return runs.as_rows(spark, provenance).where(F.col("key").isin(
+        "cut_date", "decision_threshold", "training_rows_labelled", "training_positive_rate"))
 
 
 @catalog.add(with_ctes(PART_FACTS_SQL, FIRST_SQL, select="""

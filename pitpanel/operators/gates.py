@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.contracts import GateError, known_true
 from pitpanel.operators.features import EXPOSED_LAGS, STREAK_CAP
+from pitpanel.session import settle
 
 
 def enforce(violations: DataFrame, gate: str, show: int = 10) -> None:
@@ -120,34 +121,40 @@ def fire_test(df: DataFrame, gate: Gate = lag_leaks, *, keys: Sequence[str] = ("
     """Corrupt one row in each way the leakage gate must catch, and run it.
 
     Returns (injection, injected, caught): ``caught`` counts the violations the
-    gate reported for that copy. The clean copy must report none.
+    gate reported for that copy of the row. The clean table must report none.
+    The corrupted rows go through the gate beside the clean ones, told apart by
+    a tag, so it runs once; it must judge each row by itself and keep columns.
     """
     source = F.col(f"{decision}_lag_1")
-    key = F.struct(*keys)
-    victims = df.agg(
-        F.min(F.when(source.isNotNull(), key)).alias("with_lag"),
-        F.min(F.when(source.isNull(), key)).alias("without_lag"))
-    marked = df.join(F.broadcast(victims))
-    hit = known_true(key == F.col("with_lag"))
-    orphan = known_true(key == F.col("without_lag"))
-    variants = {
-        "clean": (F.lit(False), {}),
-        "lag decided on the same day": (hit, {f"{decision}_lag_1": F.col(decision)}),
-        "lag decided later": (hit, {f"{decision}_lag_1": F.date_add(decision, 90)}),
-        "lag value without source row": (
-            orphan, {"label_lag_1": F.lit(1).cast(df.schema["label_lag_1"].dataType)}),
-    }
-    reports = []
-    for name, (where, changes) in variants.items():
-        corrupted = marked.withColumn("_injected", where)
-        for column, value in changes.items():
-            corrupted = corrupted.withColumn(
-                column, F.when(F.col("_injected"), value).otherwise(F.col(column)))
-        caught = gate(corrupted).agg(F.count(F.lit(1)).alias("caught"))
-        injected = corrupted.agg(F.count_if("_injected").alias("injected"))
-        reports.append(caught.join(injected).select(
-            F.lit(name).alias("injection"), "injected", "caught"))
-    return _union(reports)
+    table, key = settle(df), F.struct(*keys)
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    # One row: the first rows with and without a source, null where there is none.
+    victims = table.agg(
+        F.min_by(whole, F.when(source.isNotNull(), key)).alias("with_lag"),
+        F.min_by(whole, F.when(source.isNull(), key)).alias("without_lag"))
+
+    def corrupted(name: str, victim: str, column: str, value: Column) -> Column:
+        changed = F.col(victim).withField(column, value)
+        return F.struct(F.lit(name).alias("injection"), changed.alias("row"))
+
+    day, lag = F.col(f"with_lag.{decision}"), f"{decision}_lag_1"
+    copies = F.array(
+        corrupted("lag decided on the same day", "with_lag", lag, day),
+        corrupted("lag decided later", "with_lag", lag, F.date_add(day, 90)),
+        corrupted("lag value without source row", "without_lag", "label_lag_1",
+                  F.lit(1).cast(df.schema["label_lag_1"].dataType)))
+    injected = settle(victims.select(F.explode(copies).alias("c")).select(
+        F.col("c.injection").alias("_injection"), F.col("c.row").alias("_row")))
+    tagged = table.withColumn("_injection", F.lit("clean")).unionByName(
+        injected.where(F.col("_row").isNotNull()).select("_row.*", "_injection"))
+    caught = gate(tagged).groupBy("_injection").agg(F.count(F.lit(1)).alias("caught"))
+    names = injected.select("_injection", F.col("_row").isNotNull().cast("long")
+                            .alias("injected")).unionByName(
+        injected.sparkSession.range(1).select(F.lit("clean").alias("_injection"),
+                                              F.lit(0).cast("long").alias("injected")))
+    return names.join(F.broadcast(caught), "_injection", "left").select(
+        F.col("_injection").alias("injection"), "injected",
+        F.coalesce("caught", F.lit(0).cast("long")).alias("caught"))
 
 
 def fire_test_failures(report: DataFrame) -> DataFrame:

@@ -170,6 +170,33 @@ def cumulative_by_value(counts: DataFrame, value: str, sums: Sequence[str],
         *[f"{s}_total" for s in sums])
 
 
+def with_previous(counts: DataFrame, value: str, by: Sequence[str] = (),
+                  out: str = "previous") -> DataFrame:
+    """Add the next smaller value of the group, null for its smallest.
+
+    ``counts`` holds one row per (by, value). Inside a slice it is the row
+    before; a slice's first value follows the largest one of lower slices.
+    """
+    by = list(by)
+    placed = slices(counts, value, by)
+    tops = placed.tagged.groupBy(*by, *placed.levels).agg(F.max(value).alias("_top"))
+    start: DataFrame | None = None
+    for depth, level in enumerate(placed.levels):
+        above = [*by, *placed.levels[:depth]]
+        own = tops.groupBy(*above, level).agg(F.max("_top").alias("_top"))
+        siblings = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
+        lower = siblings.orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        below = own.select(*above, level, F.max("_top").over(lower).alias("_below"))
+        if start is not None:
+            below = below.join(start.withColumnRenamed("_below", "_start"), above) \
+                .select(*above, level, F.coalesce("_below", "_start").alias("_below"))
+        start = below
+    inside = Window.partitionBy(*by, *placed.levels).orderBy(value)
+    joined = placed.tagged.withColumn("_before", F.lag(value).over(inside)) \
+        .join(start, [*by, *placed.levels])
+    return joined.select(*counts.columns, F.coalesce("_before", "_below").alias(out))
+
+
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), count: str = "n") -> DataFrame:
     usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     return df.where(usable).groupBy(*by, value).agg(F.count(F.lit(1)).alias(count))

@@ -11,7 +11,7 @@ from pitpanel.contracts import known_true, nan_to_null
 from pitpanel.functions.dates import weekdays_between
 from pitpanel.operators.knowledge import any_missing, filing_order
 from pitpanel.operators.ordered import (
-    average_ranks, cumulative_by_value, exact_quantiles,
+    average_ranks, cumulative_by_value, exact_quantiles, with_previous,
 )
 
 ORIGINAL_LAG_MAX_DAYS = 90
@@ -161,20 +161,29 @@ def cluster_values(df: DataFrame, value: str, gap: int, by: Sequence[str] = (),
     """Runs of values separated by steps larger than ``gap``.
 
     Works on distinct values with their counts, so a group is as large as its
-    distinct day lags and no larger.
+    distinct day lags and no larger. Without a group, values are clustered per
+    slice of the value range: a slice's first value is compared to the last one
+    below the slice, and clusters are numbered on top of those below.
     """
-    by = list(by) or ["_all"]
-    counted = df.withColumn("_all", F.lit(0)).where(F.col(value).isNotNull()) \
-        .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*by).orderBy(value)
-    step = F.col(value) - F.lag(value).over(order)
-    numbered = counted.withColumn("_new", F.when(step > gap, 1).otherwise(0)) \
-        .withColumn("cluster", F.sum("_new").over(
-            order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    by = list(by)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value) \
+        .agg(F.count(F.lit(1)).alias("_n"))
+    if by:
+        order = Window.partitionBy(*by).orderBy(value)
+        step = F.col(value) - F.lag(value).over(order)
+        numbered = counted.withColumn("_new", F.when(step > gap, 1).otherwise(0)) \
+            .withColumn("cluster", F.sum("_new").over(
+                order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    else:
+        stepped = with_previous(counted, value, out="_previous")
+        step = F.col(value) - F.col("_previous")
+        numbered = cumulative_by_value(
+            stepped.withColumn("_new", F.when(step > gap, 1).otherwise(0)), value, ["_new"]) \
+            .withColumn("cluster", F.col("_new_below") + F.col("_new"))
     kind = F.when(F.col("low") <= original_upto, "original").otherwise("restated/comparative")
     return numbered.groupBy(*by, "cluster").agg(
         F.min(value).alias("low"), F.max(value).alias("high"), F.sum("_n").alias("n")) \
-        .withColumn("kind", kind).drop("_all")
+        .withColumn("kind", kind)
 
 
 def entity_audit(facts: DataFrame, *, entity: str = "ticker", period: str = "period_end",

@@ -6,10 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitpanel.contracts import GateError
+from pitpanel.contracts import ContractError, GateError
 from pitpanel.functions.names import normalise_name
 from pitpanel.operators.membership import membership_intervals, membership_metadata
+from pitpanel.operators.features import MODEL_FEATURES
 from pitpanel.plans import census, forward, panel
+from pitpanel.sources import runs
 
 D = dt.date
 FACTS = ("ticker string, cik string, period_end date, filed_date date, eps_diluted double, "
@@ -91,6 +93,73 @@ def test_forward_run_and_scoring(spark, facts, intervals):
     assert resolved.where("correct").count() == round(row.accuracy * 39)
 
 
+PROTOCOL = {"revision": 3, "model": {
+    "variant_name": "logistic_rank", "decision_threshold": 0.5,
+    "estimator": {"params": {"C": 1.0}}}}
+CODE = {"code_sha": "abc", "working_tree_clean": "yes"}
+
+
+def test_forward_output_is_committed_once_and_scored(spark, facts, intervals, tmp_path,
+                                                     monkeypatch):
+    stints, _ = intervals
+    cut, root = "2020-06-10", str(tmp_path / "runs")
+    known = facts.where(F.col("filed_date") < F.lit(cut).cast("date"))
+    history = panel.build_panel(known, "2013-01-01", "2019-12-31", intervals=stints).panel.cache()
+
+    def write():
+        return forward.write_forward(known, history, stints, cut, "2013-01-01", root,
+                                     PROTOCOL, CODE)
+
+    # An input that moves while the run goes on leaves nothing that counts.
+    digests = iter(["1-1", "2-2"])
+    with monkeypatch.context() as patch:
+        patch.setattr(runs, "digest_text", lambda df: next(digests))
+        with pytest.raises(ContractError, match="changed"):
+            write()
+    with pytest.raises(ContractError, match="no committed run"):
+        runs.load_run(spark, root, cut)
+    write()
+    with pytest.raises(runs.RunTaken):
+        write()
+    data, provenance = runs.load_run(spark, root, cut)
+    assert data.columns == [
+        "cut_date", "ticker", "cik", "expected_period_end", "last_known_period_end",
+        "last_known_prediction_date", "quarter_gap_days_used", "predicted_probability",
+        "predicted_label", *MODEL_FEATURES]
+    rows = data.collect()
+    assert len(rows) == 39 and all(r.cik == f"{int(r.ticker[1:]):010d}" for r in rows)
+    assert all(r.last_known_period_end == D(2020, 3, 31) and r.quarters_available >= 8
+               for r in rows)
+    assert provenance["decision_threshold"] == "0.5" and provenance["config"] == "revision 3"
+    assert 0 < float(provenance["training_positive_rate"]) < 1
+    again = {"scored_at": "2021-06-01", "recorded_at": "2020-06-11 09:00:00",
+             "study_start": "2013-01-01"}
+    scored = forward.score_committed(spark, root, cut, facts, history, PROTOCOL, **again)
+    row = scored.scores.first()
+    assert row.n_scored == 39 and scored.calibration.agg(F.sum("n")).first()[0] == 39
+    kept, _ = runs.load_run(spark, f"{root}/{cut}/scored-2021-06-01", "resolved", ["cut_date"])
+    assert kept.count() == 39
+    with pytest.raises(ContractError, match="config was"):
+        forward.score_committed(spark, root, cut, facts, history, {**PROTOCOL, "revision": 4},
+                                **again)
+    with pytest.raises(ContractError, match="panel_sha256 was"):
+        forward.score_committed(spark, root, cut, facts, history.limit(9), PROTOCOL, **again)
+
+
+def test_runs_refuse_what_cannot_be_scored(spark, tmp_path):
+    root = str(tmp_path)
+    df = spark.createDataFrame([("A", 1)], "ticker string, actual_label int")
+    with pytest.raises(GateError, match="provenance"):
+        runs.commit_run(df, {"cut_date": "x"}, root, "x")
+    header = {"cut_date": "2020-01-01"}
+    runs.commit_run(df, header, root, "x", required=["cut_date"])
+    with pytest.raises(GateError, match="provenance"):
+        runs.load_run(spark, root, "x")
+    data, _ = runs.load_run(spark, root, "x", ["cut_date"])
+    with pytest.raises(ContractError):
+        forward.forbid_outcomes(data)
+
+
 def test_census_recovery_and_spans(spark, facts):
     log = [(f"T{i:02d}", D(2013, 1, 1), "add") for i in range(6)]
     log += [("T03", D(2019, 1, 1), "remove"), ("T04", D(2019, 1, 1), "remove")]
