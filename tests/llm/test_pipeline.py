@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
     rules, apart = seen["quality_rules"], seen["simhash_dedup"]
     assert 0 < apart.count() < rules.count() < spark.read.parquet(
         f"{SF}/documents.parquet").count()
-    again = simhash.components(apart).select("component").distinct().count()
+    again = simhash.near_components(apart).select("component").distinct().count()
     assert again == apart.count()
     clean = seen["personal_data"]
     assert clean.count() == apart.count()

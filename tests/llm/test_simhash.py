@@ -1,5 +1,6 @@
 """Fingerprints and components against brute force."""
 
+import random
 import re
 
 import numpy as np
@@ -104,3 +105,92 @@ def test_chains_connect(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99)], "a long, b long")
     found = {r.node: r.root for r in simhash.connect(edges).collect()}
     assert found == {**{i: 0 for i in range(61)}, 99: 99, 100: 99}
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    both = len(a & b)
+    return both / max(1, len(a) + len(b) - both)
+
+
+def near_texts(seed=4):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(40, 400))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, len(base) // 90, len(base) // 60, len(base) // 40, len(base) // 12):
+            changed = list(base)
+            for at in rng.sample(range(len(base)), max(1, edits)):
+                changed[at] = word()
+            texts.append(" ".join(changed))
+    return texts
+
+
+def test_near_groups_against_all_pairs(spark):
+    texts = near_texts()
+    sets = [shingles(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.key: r.component for r in simhash.near_components(docs).collect()}
+    linked = apart = wrong = near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            s = similarity(sets[i], sets[j])
+            same = found[i] == found[j]
+            near += s >= 0.8
+            linked += s >= 0.8 and same
+            # Far texts can share a group through others, but not across bases.
+            if i // 7 != j // 7:
+                apart += 1
+                wrong += same
+    assert linked >= 0.95 * near and near > 300
+    assert wrong == 0 and apart > 1000
+    kept = {r.doc_id for r in simhash.drop_near(docs).collect()}
+    assert kept == set(found.values())
+
+
+def test_near_copies_of_the_tables(spark):
+    """Every pair at 0.8 or more in the given table, found through rare shingles."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet") \
+        .select("doc_id", "text").collect()
+    sets = {r.doc_id: shingles(r.text) for r in rows}
+    holders = {}
+    for key, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(key)
+    pairs = {(a, b) for keys in holders.values() if len(keys) <= 60
+             for a in keys for b in keys if a < b}
+    near = [(a, b) for a, b in pairs if similarity(sets[a], sets[b]) >= 0.8]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r.key: r.component for r in simhash.near_components(docs).collect()}
+    assert len(near) >= 10
+    assert sum(found[a] == found[b] for a, b in near) >= 0.95 * len(near)
+    # No group without a pair at nearly 0.8 inside.
+    groups = {}
+    for key, component in found.items():
+        groups.setdefault(component, []).append(key)
+    for keys in groups.values():
+        for key in keys if len(keys) > 1 else ():
+            assert max(similarity(sets[key], sets[k]) if sets[key] else 1
+                       for k in keys if k != key) > 0.74
+
+
+def test_near_groups_of_messy_and_no_rows(messy, nothing):
+    out = simhash.drop_near(messy)
+    assert out.columns == messy.columns
+    texts = [r.text for r in out.collect()]
+    assert len({b" ".join((t or "").encode().lower().split()) for t in texts}) == len(texts)
+    assert simhash.drop_near(nothing).count() == 0
+
+
+def test_a_large_bucket_gives_a_link_per_member():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2 ** 63, dtype=np.uint64)
+    looks = base ^ (np.uint64(1) << rng.integers(0, 60, 400).astype(np.uint64))
+    found = simhash._near_in_bucket(looks)
+    assert len(found) == len(looks) - 1 and len({b for _, b in found}) == len(looks) - 1
