@@ -407,15 +407,101 @@ def quantile_to_normal(spark, sf_dir):
     return rounded(ml.apply_quantile_grids(rows, grids, RANKED_FEATURES), *RANKED_FEATURES)
 
 
+def _walk(spark, sf_dir):
+    return walkforward.walk_forward(
+        part_features(spark, sf_dir), 1996, 1998, 2000, "2001-01-01",
+        variants=("constant", "logistic_raw", "logistic_rank"))
+
+
+_TRAINING_SQL = """training AS (
+  SELECT f.fold, CAST(x.features AS DOUBLE) AS x, x.feature FROM features,
+    (VALUES (1998), (1999), (2000), (2001)) f(fold),
+    LATERAL (VALUES """ + ", ".join(f"('{c}', {c})" for c in MODEL_FEATURES) + """) x(feature, features)
+  WHERE label_yoy IS NOT NULL AND year(prediction_date) BETWEEN 1996 AND f.fold - 1),
+medians AS (SELECT fold, feature, quantile_cont(x, 0.5) AS median FROM training GROUP BY ALL)"""
+
+
+@catalog.add(with_ctes(*FEATURE_CHAIN, _TRAINING_SQL, select="""
+  SELECT fold, feature, round(max(median), 6) AS median, round(avg(coalesce(x, median)), 6) AS mean,
+         round(CASE WHEN stddev_pop(coalesce(x, median)) = 0 THEN 1.0
+                    ELSE stddev_pop(coalesce(x, median)) END, 6) AS deviation
+  FROM training JOIN medians USING (fold, feature) GROUP BY fold, feature"""))
+def fold_scaling(spark, sf_dir):
+    """Medians, means and deviations that each fold learns from its training rows."""
+    rows = settle(ml.design(_expanding(spark, sf_dir), MODEL_FEATURES, keep=["fold", "role"]))
+    fitted = ml.fit_scaling(rows.where(F.col("role") == "train"), MODEL_FEATURES)
+    learned = [(fold, f, fitted.medians[fold][f], fitted.means[fold][f],
+                fitted.deviations[fold][f]) for fold in fitted.means for f in MODEL_FEATURES]
+    return rounded(spark.createDataFrame(
+        learned, "fold int, feature string, median double, mean double, deviation double"),
+        "median", "mean", "deviation")
+
+
+_GRID_POINTS = (0, 1, 250, 500, 900, 998, 999)
+
+
+@catalog.add(with_ctes(*FEATURE_CHAIN, _TRAINING_SQL, select=f"""
+  SELECT fold, feature, i AS point, round(q, 6) AS edge FROM (
+    SELECT fold, feature, unnest([{", ".join(map(str, _GRID_POINTS))}]) AS i,
+           unnest(quantile_cont(x, [{", ".join(f"{i} / 999.0" for i in _GRID_POINTS)}])) AS q
+    FROM training WHERE feature IN ({", ".join(f"'{c}'" for c in RANKED_FEATURES)})
+    GROUP BY fold, feature)"""))
+def quantile_grid_edges(spark, sf_dir):
+    """Points of the grids behind the normal scores, of folds with 1,000 rows and more."""
+    rows = settle(ml.design(_expanding(spark, sf_dir), RANKED_FEATURES, keep=["fold", "role"]))
+    grids = ml.fit_quantile_grids(rows.where(F.col("role") == "train"), RANKED_FEATURES)
+    edges = [(fold, feature, i, float(grid[i])) for (fold, feature), grid in grids.items()
+             for i in _GRID_POINTS if len(grid) == ml.N_QUANTILES]
+    return rounded(spark.createDataFrame(
+        edges, "fold int, feature string, point int, edge double"), "edge")
+
+
+_CONSTANT_SQL = """sides AS (
+  SELECT f.fold, label_yoy AS y, year(prediction_date) AS yr FROM features,
+    (VALUES (1998), (1999), (2000)) f(fold)
+  WHERE label_yoy IS NOT NULL AND year(prediction_date) BETWEEN 1996 AND f.fold),
+learned AS (SELECT fold, count(*) AS n_train, count(*) FILTER (yr < fold - 1) AS n_inner_train,
+                   avg(CAST(y AS DOUBLE)) AS rate FROM sides WHERE yr < fold GROUP BY fold)"""
+
+
+@catalog.add(with_ctes(*FEATURE_CHAIN, _CONSTANT_SQL, select="""
+  SELECT fold, model, count(*) AS n, max(n_train) AS n_train, max(n_inner_train) AS n_inner_train,
+         max(n_train) AS n_train_used, round(max(rate), 6) AS train_positive_rate,
+         round(avg(CAST(y AS DOUBLE)), 6) AS positive_rate,
+         model <> 'logistic_raw' AS corrected,
+         CASE WHEN model = 'constant' THEN
+           round(avg(-(CASE WHEN y = 1 THEN ln(rate) ELSE ln(1 - rate) END)), 6) END AS log_loss,
+         CASE WHEN model = 'constant' THEN round(avg(CAST(y AS DOUBLE)), 6) END AS accuracy
+  FROM sides JOIN learned USING (fold),
+    (VALUES ('constant'), ('logistic_raw'), ('logistic_rank')) m(model)
+  WHERE yr = fold GROUP BY fold, model"""))
+def walk_forward_counts(spark, sf_dir):
+    """All of the walk-forward results that doesn't depend on fitted weights."""
+    constant = F.col("model") == "constant"
+    results = _walk(spark, sf_dir).results.select(
+        "fold", "model", "n", "n_train", "n_inner_train", "n_train_used", "train_positive_rate",
+        "positive_rate", "corrected", F.when(constant, F.col("log_loss")).alias("log_loss"),
+        F.when(constant, F.col("accuracy")).alias("accuracy"))
+    return rounded(results, "train_positive_rate", "positive_rate", "log_loss", "accuracy")
+
+
+@catalog.add()
+def selection_means(spark, sf_dir):
+    """The frozen choice with the means it rests on."""
+    chosen = walkforward.select_variant(_walk(spark, sf_dir))
+    return rounded(chosen.means.join(F.broadcast(chosen.choice.select("best_model"))),
+                   "mean_log_loss", "sd_log_loss", "mean_accuracy", "mean_brier")
+
+
 @catalog.add()
 def walk_forward_results(spark, sf_dir):
-    run = walkforward.walk_forward(part_features(spark, sf_dir), 1996, 1998, 2000, "2001-01-01")
+    run = _walk(spark, sf_dir)
     return rounded(run.results, *METRIC_COLUMNS, "accuracy_minus_constant")
 
 
 @catalog.add()
 def coefficient_stability(spark, sf_dir):
-    run = walkforward.walk_forward(part_features(spark, sf_dir), 1996, 1998, 2000, "2001-01-01")
+    run = _walk(spark, sf_dir)
     return rounded(evaluate.coefficient_stability(run.coefficients, "logistic_raw",
                                                   "logistic_rank"), "before", "after", "ratio")
 
@@ -431,23 +517,57 @@ def boosted_trees_early_stop(spark, sf_dir):
 
 @catalog.add()
 def holdout_run(spark, sf_dir):
-    """The declared holdout protocol, with its counts taken from the features."""
+    """The declared holdout protocol, judged by fold."""
+    return rounded(_holdout(spark, sf_dir).results, *METRIC_COLUMNS, "log_loss_delta",
+                   "accuracy_delta")
+
+
+def _holdout(spark, sf_dir):
+    """Declared counts come from the calendar years of the table, not from the folds."""
     features = settle(part_features(spark, sf_dir))
-    sizes = evaluate.fold_sizes(evaluate.assign_boundary(
-        features, evaluate.boundary_folds(spark, BOUNDARIES)))
-    counts = {row["fold"]: row for row in sizes.where(F.col("role") == "predict").collect()}
+    years = features.where(F.col("prediction_date") >= F.lit(BOUNDARIES[0][0]).cast("date")) \
+        .groupBy(F.least(F.year("prediction_date") - 1998, F.lit(3)).alias("fold")) \
+        .agg(F.count(F.lit(1)).alias("n"), F.count("label_yoy").alias("n_labelled"))
     protocol = {
         "features": {"columns": list(MODEL_FEATURES), "excluded_target_identities": {
             "columns": ["eps_growth_yoy", "growth_acceleration"]}},
         "preprocessing": {"step_1_rank_transform": {"applies_to": list(RANKED_FEATURES)}},
         "model": {"decision_threshold": 0.5, "estimator": {"params": {"C": 1.0}}},
         "evaluation_protocol": {"folds": [
-            {"fold": fold, "n_predict_rows": row["n_rows"],
-             "n_predict_rows_labelled": row["n_labelled"]}
-            for fold, row in sorted(counts.items())]},
+            {"fold": r.fold, "n_predict_rows": r.n, "n_predict_rows_labelled": r.n_labelled}
+            for r in years.orderBy("fold").collect()]},
     }
-    run = walkforward.run_holdout(features, protocol, BOUNDARIES)
-    return rounded(run.results, *METRIC_COLUMNS, "log_loss_delta", "accuracy_delta")
+    return walkforward.run_holdout(features, protocol, BOUNDARIES)
+
+
+_HOLDOUT_SQL = """folds(fold, opens, closes) AS (VALUES
+  (1, DATE '1999-01-01', DATE '2000-01-01'), (2, DATE '2000-01-01', DATE '2001-01-01'),
+  (3, DATE '2001-01-01', NULL)),
+learned AS (
+  SELECT fold, avg(CAST(label_yoy AS DOUBLE)) AS rate FROM features, folds
+  WHERE prediction_date < opens AND label_yoy IS NOT NULL GROUP BY fold),
+judged AS (
+  SELECT label_yoy AS y, rate FROM features, folds JOIN learned USING (fold)
+  WHERE prediction_date >= opens AND (closes IS NULL OR prediction_date < closes)
+    AND label_yoy IS NOT NULL)"""
+
+
+# The pooled verdict, but for what the fitted weights say.
+@catalog.add(with_ctes(*FEATURE_CHAIN, _HOLDOUT_SQL, select="""
+  SELECT count(*) AS n_labelled, round(avg(CAST(y AS DOUBLE)), 6) AS actual_positive_rate,
+         round(avg(-(CASE WHEN y = 1 THEN ln(rate) ELSE ln(1 - rate) END)), 6)
+           AS constant_log_loss, round(avg(CAST(y AS DOUBLE)), 6) AS constant_accuracy,
+         TRUE AS consistent, 4 AS n_verdicts, count(*) AS n_calibrated FROM judged"""))
+def holdout_verdict(spark, sf_dir):
+    verdict = walkforward.judge_holdout(_holdout(spark, sf_dir))
+    consistent = (F.col("log_loss_delta") < 0).eqNullSafe(F.col("passes_log_loss")) \
+        & F.col("log_loss").between(0, 2) & F.col("brier").between(0, 1)
+    counts = verdict.passed.agg(F.count(F.lit(1)).cast("int").alias("n_verdicts"))
+    calibrated = verdict.calibration.agg(F.sum("n").alias("n_calibrated"))
+    pooled = verdict.pooled.select(
+        "n_labelled", "actual_positive_rate", "constant_log_loss", "constant_accuracy",
+        consistent.alias("consistent")).join(F.broadcast(counts)).join(F.broadcast(calibrated))
+    return rounded(pooled, "actual_positive_rate", "constant_log_loss", "constant_accuracy")
 
 
 @catalog.add(with_ctes(*FEATURE_CHAIN, select=f"""

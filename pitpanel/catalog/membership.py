@@ -232,6 +232,24 @@ def lag_clusters(spark, sf_dir):
     return profile.cluster_values(line, "lag", 97, ["ticker"])
 
 
+# Prices of all line items on one axis: no key deals them out.
+@catalog.add("""
+  WITH prices AS (SELECT CAST(round(l_extendedprice) AS INTEGER) AS price, count(*) AS n
+                  FROM lineitem GROUP BY 1),
+  steps AS (SELECT *, CASE WHEN price - lag(price) OVER (ORDER BY price) > 3
+                      THEN 1 ELSE 0 END AS jump FROM prices),
+  numbered AS (SELECT *, sum(jump) OVER (ORDER BY price
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM steps)
+  SELECT CAST(cluster AS BIGINT) AS cluster, min(price) AS low, max(price) AS high,
+         CAST(sum(n) AS BIGINT) AS n,
+         CASE WHEN min(price) <= 90 THEN 'original' ELSE 'restated/comparative' END AS kind
+  FROM numbered GROUP BY cluster""")
+def price_clusters(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select(
+        F.round("l_extendedprice").cast("int").alias("price"))
+    return profile.cluster_values(line, "price", 3)
+
+
 @catalog.add("""
   WITH days AS (SELECT DISTINCT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS gap_end
                 FROM orders),

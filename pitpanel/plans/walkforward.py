@@ -19,6 +19,7 @@ CONSTANT = "constant"
 LOGISTIC_BIASED, LOGISTIC = "logistic_raw", "logistic_rank"
 TREES_BIASED, TREES = "boosted_outer_es", "boosted_inner_es"
 CORRECTED = (CONSTANT, LOGISTIC, TREES)
+VARIANTS = (CONSTANT, LOGISTIC_BIASED, TREES_BIASED, LOGISTIC, TREES)
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ def fold_table(assigned: DataFrame, scored_role: str, label: str = "label_yoy",
 
 
 def walk_forward(features: DataFrame, first_train: int, first_validate: int, last_validate: int,
-                 boundary: str, *, variants: Sequence[str] = (CONSTANT, LOGISTIC_BIASED, LOGISTIC),
+                 boundary: str, *, variants: Sequence[str] = VARIANTS,
                  tree_options: dict | None = None, entity: str = "ticker") -> Evaluation:
     """Refit every variant on every expanding fold and score the validation years."""
     frame = modelling_frame(features, boundary)
@@ -135,6 +136,83 @@ def run_holdout(features: DataFrame, protocol: dict,
                       weights)
 
 
+@dataclass(frozen=True)
+class Selection:
+    """What a choice among variants rests on."""
+
+    means: DataFrame
+    matrix: DataFrame
+    wins: DataFrame
+    corrections: DataFrame
+    choice: DataFrame
+    calibration: DataFrame
+    calibration_summary: DataFrame
+    lifts: DataFrame
+    lift_summary: DataFrame
+    stability: DataFrame | None
+
+
+def select_variant(run: Evaluation, calibrated: str = LOGISTIC,
+                   entity: str = "ticker") -> Selection:
+    """Compare the variants of a walk-forward run and freeze the best corrected one.
+
+    Biased variants are compared with their corrections and never chosen.
+    """
+    metrics = settle(run.results)
+    models = [m for m in VARIANTS if m in {r.model for r in
+                                           metrics.select("model").distinct().collect()}]
+    eligible = [m for m in models if m in CORRECTED and m != CONSTANT]
+    matrix = evaluate.fold_model_matrix(metrics, models)
+    pairs = [(biased, corrected) for biased, corrected in
+             ((LOGISTIC_BIASED, LOGISTIC), (TREES_BIASED, TREES))
+             if biased in models and corrected in models]
+    corrections = [evaluate.paired_t(evaluate.compare_models(metrics, a, b)).select(
+        F.lit(a).alias("before"), F.lit(b).alias("after"), "*") for a, b in pairs]
+    shown = run.scored.where(F.col("model") == calibrated)
+    table = settle(evaluate.calibration_table(shown))
+    lifts = settle(evaluate.entity_lift(shown, entity=entity))
+    stability = None
+    if run.coefficients is not None and (LOGISTIC_BIASED, LOGISTIC) in pairs:
+        stability = evaluate.coefficient_stability(run.coefficients, LOGISTIC_BIASED, LOGISTIC)
+    return Selection(
+        evaluate.mean_of_folds(metrics), matrix, evaluate.fold_wins(matrix, models),
+        _union(corrections) if corrections else None,
+        evaluate.freeze_choice(metrics, eligible), table, evaluate.calibration_summary(table),
+        lifts, evaluate.lift_summary(lifts), stability)
+
+
+@dataclass(frozen=True)
+class Verdict:
+    """The holdout's answer: by fold, pooled, and where it comes from."""
+
+    folds: DataFrame
+    pooled: DataFrame
+    passed: DataFrame
+    calibration: DataFrame
+    calibration_summary: DataFrame
+    lifts: DataFrame
+    lift_summary: DataFrame
+    drift: DataFrame
+
+
+def judge_holdout(run: Evaluation, entity: str = "ticker") -> Verdict:
+    """Pass or fail per fold and pooled, calibration, and lift by entity.
+
+    Every pooled row carries its own fold's constant rate; log-loss decides where
+    the two conditions disagree.
+    """
+    folds, scored = settle(run.results), settle(run.scored)
+    pooled = settle(evaluate.pooled_against_constant(
+        scored, folds.select("fold", "train_positive_rate")))
+    flags = ["passes_log_loss", "passes_accuracy", "passes_both"]
+    passed = folds.select(F.col("fold").cast("string").alias("fold"), *flags).unionByName(
+        pooled.select(F.lit("pooled").alias("fold"), *flags))
+    table = settle(evaluate.calibration_table(scored))
+    lifts = settle(evaluate.entity_lift(scored, entity=entity))
+    return Verdict(folds, pooled, passed, table, evaluate.calibration_summary(table), lifts,
+                   evaluate.lift_summary(lifts), evaluate.rate_drift(folds))
+
+
 def forbid_outcomes(predictions: DataFrame) -> DataFrame:
     """A prediction table must not carry what it is scored against."""
     return forbid_columns(predictions, ("actual_label", "label_yoy", "outcome", "correct"),

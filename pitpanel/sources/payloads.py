@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitpanel.contracts import BULK_PAYLOAD, NESTED_PAYLOAD, nan_to_null
 from pitpanel.functions.names import normalise_name
 from pitpanel.operators.knowledge import quarterly_facts, with_lag_days
+from pitpanel.session import settle
 
 PREFERRED_UNIT = "USD/shares"
 
@@ -41,16 +42,15 @@ def ingest_facts(primary: DataFrame, fallback: DataFrame | None = None, *,
     bulk = fallback.select(identifier, F.try_element_at(
         F.try_element_at("facts", F.lit(taxonomy)), F.lit(concept)).getField("units")
         .alias("units"))
-    both = _chosen(primary, identifier, "units", PREFERRED_UNIT) \
-        .withColumn("source", F.lit("companyconcept")).unionByName(
-            _chosen(bulk, identifier, "units", PREFERRED_UNIT)
-            .withColumn("source", F.lit("companyfacts")))
-    # Each payload is read once and dealt by its identifier once.
-    from_primary = F.col("source") == "companyconcept"
-    answered = F.max(from_primary & (F.coalesce(F.size("records"), F.lit(0)) > 0)).over(
-        Window.partitionBy(identifier))
-    kept = both.withColumn("_answered", answered).where(
-        from_primary | ~F.coalesce("_answered", F.lit(False)))
+    # The primary payload is parsed once; only its identifiers meet the fallback, and
+    # its records are never dealt.
+    own = settle(_chosen(primary, identifier, "units", PREFERRED_UNIT)
+                 .where(F.coalesce(F.size("records"), F.lit(0)) > 0))
+    rest = _chosen(bulk, identifier, "units", PREFERRED_UNIT).join(
+        own.select(F.col(identifier).alias("_answered")).distinct(),
+        F.col(identifier).eqNullSafe(F.col("_answered")), "left_anti")
+    kept = own.withColumn("source", F.lit("companyconcept")).unionByName(
+        rest.withColumn("source", F.lit("companyfacts")))
     return kept.select(identifier, "unit", "source", F.explode("records").alias("fact")) \
         .select(identifier, "unit", "fact.*", "source")
 

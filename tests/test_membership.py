@@ -99,6 +99,20 @@ def test_clusters_and_sessions(spark):
     got = sorted(tuple(r) for r in profile.cluster_values(lags, "lag", 20)
                  .select("low", "high", "n", "kind").collect())
     assert got == [(30, 41, 4, "original"), (390, 400, 2, "restated/comparative")]
+    # Runs that cross slices of the value range, and slices of single values.
+    rng = random.Random(12)
+    values = [rng.choice([rng.randint(-400, 400), rng.randint(0, 9) * 5000 + rng.randint(0, 60),
+                          0]) for _ in range(500)]
+    wide = spark.createDataFrame([(v,) for v in values], "lag int")
+    clusters, before = [], None
+    for v in sorted(values):
+        if before is None or v - before > 20:
+            clusters.append([v, v, 0])
+        clusters[-1][1], clusters[-1][2], before = v, clusters[-1][2] + 1, v
+    got = profile.cluster_values(wide, "lag", 20).orderBy("cluster").collect()
+    assert [[r.low, r.high, r.n] for r in got] == clusters
+    assert [r.cluster for r in got] == list(range(len(clusters)))
+    assert profile.cluster_values(wide.limit(0), "lag", 20).count() == 0
     friday = D(2024, 1, 5)
     days = spark.createDataFrame([(friday,), (D(2024, 1, 8),), (D(2024, 1, 18),), (friday,)],
                                  "day date")
