@@ -23,6 +23,7 @@ LATE = "excluded_late_filing"
 NO_FILING = "excluded_no_filing"
 OUTSTANDING = "outstanding"
 
+# The reasons a resolved table gives.
 EXCLUSION_REASONS = {
     NO_LABEL: "filed in time; label null under the panel's rules",
     LATE: f"filed after expected_period_end + {MAX_LAG_DAYS}d",

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pitpanel.contracts import require_columns
 from pitpanel.operators.gates import enforce
 
+# What the header of a prediction file must carry.
 PROVENANCE_KEYS = (
     "cut_date", "code_sha", "working_tree_clean", "config", "model", "decision_threshold",
     "panel_sha256", "training_rows_labelled", "training_positive_rate",
