@@ -35,8 +35,10 @@ SPLIT = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{
          rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Characters of texts worked on together, and words remembered, in each worker.
 CHUNK_CHARS = 1 << 19
-REMEMBERED = 120_000
-_NEVER = np.iinfo(np.int64).max
+REMEMBERED = 300_000
+#: Bytes up to which a word's merges are found by scanning.
+SHORT = 48
+_NEVER = int(np.iinfo(np.int64).max)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -69,7 +71,10 @@ class Codec:
         self.split = regex.compile(SPLIT)
         plain = {b: i for i, b in enumerate(self.bytes_of) if b and i not in special.values()}
         self.id_of = plain
-        self.longest = max(map(len, plain))
+        self.reach: dict[bytes, int] = {}
+        for token in plain:
+            start = token[:2]
+            self.reach[start] = max(self.reach.get(start, 1), len(token))
         #: Rank by a * size + b; the token that a rank makes.
         self.merges: dict[int, int] = {}
         self.made: list[int] = []
@@ -88,7 +93,9 @@ class Codec:
         self.pair_ranks = np.fromiter(self.merges.values(), np.int64, len(self.merges))[order]
         # Tokens that the merges never produce from their own bytes can't be proposed.
         self.reachable = self._reachable(plain)
+        #: Words met since the last turn, and those met before it.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _reachable(self, plain: dict[bytes, int]) -> np.ndarray:
         ok = np.zeros(self.size, bool)
@@ -99,6 +106,27 @@ class Codec:
     def merge(self, data: bytes) -> list[int]:
         """The exact merges, by lowest rank, then leftmost."""
         ids = [self.id_of[data[i:i + 1]] for i in range(len(data))]
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """Scans a short word's ranks anew for every merge."""
+        find, size, made = self.merges.get, self.size, self.made
+        ranks = [find(a * size + b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == _NEVER:
+                break
+            i = ranks.index(rank)
+            ids[i] = made[rank]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = find(ids[i] * size + ids[i + 1], _NEVER)
+            if i:
+                ranks[i - 1] = find(ids[i - 1] * size + ids[i], _NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """Keeps the pairs of a long word in a heap."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[int, int, int, int, int]] = []
@@ -124,12 +152,14 @@ class Codec:
 
     def propose(self, data: bytes) -> list[int]:
         """Greedy longest matches."""
-        ids, at, n, longest, id_of = [], 0, len(data), self.longest, self.id_of
+        ids, at, n, id_of, reach = [], 0, len(data), self.id_of, self.reach
         while at < n:
-            for end in range(min(n, at + longest), at, -1):
+            # No token that begins with these two bytes is longer.
+            end = min(n, at + reach.get(data[at:at + 2], 1))
+            token = id_of.get(data[at:end])
+            while token is None:
+                end -= 1
                 token = id_of.get(data[at:end])
-                if token is not None:
-                    break
             ids.append(token)
             at = end
         return ids
@@ -198,15 +228,22 @@ class Codec:
         new: set = set()
         for words in split:
             new.update(words)
-        fresh = [w for w in new if isinstance(w, str) and w not in self.known]
+        known, older = self.known, self.older
+        fresh = []
+        for w in new:
+            if w not in known and isinstance(w, str):
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    fresh.append(w)
         if fresh:
             self.learn(fresh)
-        known = self.known
         out = [b"".join([w if isinstance(w, bytes) else known[w] for w in words])
                if any(s in text for s in self.special)
                else b"".join(map(known.__getitem__, words)) for text, words in zip(texts, split)]
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(known) > REMEMBERED // 2:
+            # Words that come again are carried over; the rest is forgotten a turn later.
+            self.older, self.known = known, {}
         return out
 
     def decode(self, ids: bytes) -> str:

@@ -73,3 +73,25 @@ def test_table(spark, messy, nothing, library):
     back = bpe.decode(done.drop("again"), shared)
     assert sorted(r.text for r in back.collect()) == texts
     assert bpe.encode(nothing, shared).count() == 0
+
+
+def test_short_and_long_words_merge_alike(codec):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoin shrdlué-0") for _ in range(n)).encode()
+             for n in range(1, 80) for _ in range(4)]
+    for data in words:
+        ids = [codec.id_of[data[i:i + 1]] for i in range(len(data))]
+        assert codec._merge_short(list(ids)) == codec._merge_long(list(ids))
+        assert b"".join(codec.bytes_of[i] for i in codec.propose(data)) == data
+
+
+def test_memory_turns_over(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["always", "here"]) if rng.random() < 0.3 else
+                      f"w{rng.randrange(10 ** 6)}" for _ in range(30)) for _ in range(60)]
+    with open(vocabulary_path(), encoding="utf-8") as file:
+        fresh = bpe.Codec(file.read())
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids_of(fresh.encode([t])[0]) for t in texts] == want
+    assert len(fresh.known) + len(fresh.older) < 300
