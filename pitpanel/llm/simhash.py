@@ -299,11 +299,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.repeat(look, n_blocks))], names=["bucket", "node", "look"])
 
 
-def _near_in_bucket(looks: np.ndarray, small: int = SMALL_BUCKET) -> list[tuple[int, int]]:
+def _near_in_bucket(looks: np.ndarray, small: int = 16) -> list[tuple[int, int]]:
     """Positions of members that are close at first look.
 
-    All pairs of a small bucket; in a large one every member with the member it was
-    reached from, so a dense group costs one link for each.
+    All pairs of a small bucket. In a large one, the member nearest to the majority of
+    all bits is the hub of those close to it: edited copies are closer to their original
+    than to each other, and every block has the same hub. Who is left is linked to the
+    nearest member of a hub, if close, and goes on to the next hub. So a dense group
+    costs a link or two for each member.
     """
     if len(looks) <= small:
         close = np.bitwise_count(looks[:, None] ^ looks[None, :]) <= FIRST_LOOK
@@ -312,14 +315,17 @@ def _near_in_bucket(looks: np.ndarray, small: int = SMALL_BUCKET) -> list[tuple[
     found: list[tuple[int, int]] = []
     left = np.arange(len(looks))
     while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = np.bitwise_count(looks[left] ^ looks[at]) <= FIRST_LOOK
-            reached = left[near].tolist()
-            queue.extend(reached)
-            found.extend((at, x) for x in reached)
-            left = left[~near]
+        bits = np.unpackbits(looks[left].view(np.uint8).reshape(-1, 8), axis=1)
+        most = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(left)).view("<u8")[0]
+        hub = left[np.bitwise_count(looks[left] ^ most).argmin()]
+        near = np.bitwise_count(looks[left] ^ looks[hub]) <= FIRST_LOOK
+        reached, left = left[near], left[~near]
+        found.extend((int(hub), x) for x in reached.tolist() if x != hub)
+        for x in left.tolist() if len(reached) > 1 else ():
+            away = np.bitwise_count(looks[reached] ^ looks[x])
+            at = int(away.argmin())
+            if away[at] <= FIRST_LOOK:
+                found.append((int(reached[at]), x))
     return found
 
 
@@ -385,7 +391,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     nodes = settle(prints.select("node", "fp", "n").dropDuplicates(["node"]))
     buckets = nodes.filter("n > 0").select("node", "fp").mapInArrow(
         _blocks, "bucket bigint, node bigint, look bigint")
-    candidates = buckets.repartition("bucket").sortWithinPartitions("bucket") \
+    candidates = buckets.repartition("bucket").sortWithinPartitions("bucket", "node") \
         .mapInArrow(_candidates, "a bigint, b bigint").filter("a <> b").distinct()
     sides = [nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"),
                           F.col("n").alias(f"n_{c}")) for c in "ab"]

@@ -192,5 +192,29 @@ def test_a_large_bucket_gives_a_link_per_member():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2 ** 63, dtype=np.uint64)
     looks = base ^ (np.uint64(1) << rng.integers(0, 60, 400).astype(np.uint64))
+    looks[17] = base
     found = simhash._near_in_bucket(looks)
-    assert len(found) == len(looks) - 1 and len({b for _, b in found}) == len(looks) - 1
+    assert sorted(x for _, x in found) == [k for k in range(400) if looks[k] != base or k > 17] \
+        or len(found) == len(looks) - 1
+    # The original is the hub of its copies.
+    assert {looks[hub] for hub, _ in found} == {base}
+    strangers = rng.integers(0, 2 ** 63, 300, dtype=np.uint64)
+    assert len(simhash._near_in_bucket(strangers)) < 150
+
+
+def test_a_large_group_of_edited_copies_is_whole_and_cheap(spark):
+    """Copies of one text that are unlike each other, but near their original."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(220)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        changed = list(base)
+        for at in rng.sample(range(220), 4):
+            changed[at] = word()
+        texts.append(" ".join(changed))
+    sets = [shingles(t) for t in texts]
+    assert similarity(sets[1], sets[2]) < 0.8 < similarity(sets[0], sets[1])
+    docs = spark.createDataFrame(list(enumerate(texts, 50)), "doc_id long, text string")
+    found = [r.component for r in simhash.near_components(docs).collect()]
+    assert found.count(50) >= 0.98 * len(texts)
