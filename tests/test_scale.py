@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators import asof, knowledge, profile, restatements
 from pitpanel.operators.entities import fuzzy_pairs
-from pitpanel.operators.ordered import exact_quantiles
+from pitpanel.operators.ordered import exact_quantiles, value_counts
 
 BASE = dt.date(2020, 1, 1)
 
@@ -76,7 +76,10 @@ def test_gate_on_a_hot_entity_makes_no_pairs(spark, skewed):
 def test_quantiles_of_a_hot_value_use_no_global_buffer(skewed):
     df = skewed.withColumn("x", F.when(F.col("ticker") == "hot", 7.0).otherwise(F.rand(3)))
     plan = plan_of(exact_quantiles(df, "x", [0.0, 0.5, 1.0]))
-    assert "percentile" not in plan and "collect_list" not in plan and "partial_count" in plan
+    assert "percentile" not in plan and "collect_list" not in plan
+    # What it reads are counts per distinct value, combined before they are dealt.
+    assert "ReadSchema: struct<n:bigint" in plan
+    assert "partial_count" in plan_of(value_counts(df, "x"))
 
 
 def test_anomalies_are_one_aggregation(skewed):
