@@ -1,23 +1,26 @@
 """Main text of web pages by removal of site templates.
 
 Pages are parsed to trees and every element subtree is hashed. Spark counts, per host,
-on how many different pages a subtree occurs, and subtrees that recur on many pages
-of their host are deleted before the text is read. Elements that HTML or their class,
-id or role names as page furniture (navigation, forms, adverts, notices, comments..)
-are deleted on any page. If a page has an article (else a main element), its text is
-what the page's text is; in there, plain prose without attributes stays even when it
-recurs, because authors do repeat paragraphs.
-
-Different pages are told apart by the hash of their whole tree, so copies of a page
-don't turn its article into a template.
+on how many different pages each block-level or named subtree occurs, wherever it stands
+in the page, and subtrees that recur on ``least_pages`` pages of their host are deleted
+before the text is read. The limit is a count, so a section's block goes however large its
+host is. What no count can tell (adverts, notices and comments differ from page to page)
+is left to tags and to words of class, id and role that name page furniture; ``by_words``
+turns those words off. If a page has an article (else a main element), its text is what
+the page's text is; in there, plain prose without attributes stays even when it recurs,
+because authors do repeat paragraphs.
+
+Pages of one host with the same text after removal of named furniture are one page, so
+copies of an article don't turn it into a template, whatever stands around them.
 
 Text is cut into blocks at block elements; white space in a block becomes one blank,
 blocks are trimmed, and non-empty ones are joined by a blank line.
 
 Defined cases: null and empty html give an empty text; a page without markup is one
 block; unclosed, stray and cut tags are tolerated; a null url is a host of its own;
-repeated rows get the same text; an empty table gives an empty table; other columns
-are kept. A page is parsed in memory on its own; nothing is dropped or capped.
+repeated rows get the same text; a subtree on exactly ``least_pages`` pages goes; an empty
+table gives an empty table; other columns are kept. A page, however long, is parsed in
+memory on its own; nothing is dropped or capped.
 """
 
 from __future__ import annotations
@@ -110,7 +113,7 @@ def parse(source: str) -> Page:
 
     def close_element(at: int) -> None:
         digest = xxhash.xxh64_intdigest("\x00".join(parts[at]).encode("utf-8", "surrogatepass"))
-        page.hashes[at] = digest - (1 << 64) if digest >> 63 else digest
+        page.hashes[at] = _signed(digest)
         up = page.parents[at]
         if up >= 0:
             parts[up].append(format(digest, "x"))
@@ -196,10 +199,10 @@ def _holders(page: Page, own: list[bool]) -> list[bool]:
     return out
 
 
-def _judged(page: Page) -> tuple[list[bool], list[bool], list[bool], bool]:
+def _judged(page: Page, by_words: bool = True) -> tuple[list[bool], list[bool], list[bool], bool]:
     """For every element: is furniture, is inside of the main part, may be a template.
 
-    Last, whether the page has a main part; else all of it is.
+    Subtrees around the main part can't be template, nor can plain prose in it. Last, whether the page has a main part; else all of it is.
     """
     tags = page.tags
     mains = [t == "article" for t in tags]
@@ -207,7 +210,8 @@ def _judged(page: Page) -> tuple[list[bool], list[bool], list[bool], bool]:
         mains = [t == "main" or "main" in n and t != "body" for t, n in zip(tags, page.names)]
     around = _holders(page, mains)
     furniture = [
-        (tag in FURNITURE or page.hidden[at] or bool(page.names[at] & FURNITURE_WORDS))
+        (tag in FURNITURE or page.hidden[at] or by_words
+         and bool(page.names[at] & FURNITURE_WORDS))
         and not around[at] and tag not in ("html", "body")
         and not (mains[at] and not page.names[at] & {"comment", "comments", "related", "ad"})
         for at, tag in enumerate(tags)]
@@ -217,33 +221,49 @@ def _judged(page: Page) -> tuple[list[bool], list[bool], list[bool], bool]:
     scoped = any(live)
     template = [
         not (around[at] or mains[at] or tag in ("html", "body", "head") or tag in VOID)
+        and (tag in BLOCK or tag in FURNITURE or bool(page.names[at]))
         and not (scoped and inside[at] and tag in PROSE and not page.names[at])
         for at, tag in enumerate(tags)]
     return gone, inside, template, scoped
 
 
-def subtree_hashes(source: str | None) -> tuple[int, list[int]]:
-    """(hash of the whole page, hashes of the subtrees that can be template)."""
+def subtree_hashes(source: str | None, by_words: bool = True) -> tuple[int, list[int]]:
+    """(what tells the page from others, hashes of the subtrees that can be template)."""
     page = parse(source or "")
-    gone, inside, template, _ = _judged(page)
-    return hash_of_page(page), list({page.hashes[at] for at in range(len(page.tags))
-                        if template[at] and inside[at] and not gone[at]})
+    gone, inside, template, scoped = _judged(page, by_words)
+    text = _text_of(page, gone, inside, scoped)
+    which = _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))) \
+        if text else hash_of_page(page)
+    return which, list({page.hashes[at] for at in range(len(page.tags)) if template[at]})
+
+
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
 
 
 def hash_of_page(page: Page) -> int:
     text = "\x00".join(format(page.hashes[at], "x") for at in range(len(page.tags))
                        if page.parents[at] < 0 or page.tags[page.parents[at]] == "body")
-    digest = xxhash.xxh64_intdigest(text)
-    return digest - (1 << 64) if digest >> 63 else digest
+    return _signed(xxhash.xxh64_intdigest(text))
 
 
-def main_text(source: str | None, templates: set[int] = frozenset()) -> str:
+def main_text(source: str | None, templates: set[int] = frozenset(),
+              by_words: bool = True) -> str:
+    return without_templates(source, templates, by_words)[0]
+
+
+def without_templates(source: str | None, templates: set[int],
+                      by_words: bool = True) -> tuple[str, int]:
+    """(main text, how many outermost subtrees went as templates)."""
     page = parse(source or "")
-    gone, inside, template, scoped = _judged(page)
-    if templates:
-        cut = _down(page, [template[at] and page.hashes[at] in templates
-                           for at in range(len(page.tags))])
-        gone = [a or b for a, b in zip(gone, cut)]
+    gone, inside, template, scoped = _judged(page, by_words)
+    own = [template[at] and page.hashes[at] in templates for at in range(len(page.tags))]
+    cut = _down(page, own)
+    outermost = sum(o and not (up >= 0 and cut[up]) for o, up in zip(own, page.parents))
+    return _text_of(page, [a or b for a, b in zip(gone, cut)], inside, scoped), outermost
+
+
+def _text_of(page: Page, gone: list[bool], inside: list[bool], scoped: bool) -> str:
     blocks, held = [], []
     for at, text in [*page.pieces, (-1, None)]:
         if text is None:
@@ -263,40 +283,45 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(found, F.lit("")))
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [subtree_hashes(x.as_py()) for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([w for w, _ in found], pa.int64()),
-             pa.array([h for _, h in found], pa.list_(pa.int64()))],
-            names=["host", "key", "page", "hashes"])
-
+def subtrees(pages: DataFrame, url: str = "url", source: str = "html",
+             by_words: bool = True) -> DataFrame:
+    """(host, key, page, hashes): key is the html's hash, page tells pages apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [subtree_hashes(x.as_py(), by_words) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([w for w, _ in found], pa.int64()),
+                 pa.array([h for _, h in found], pa.list_(pa.int64()))],
+                names=["host", "key", "page", "hashes"])
 
-def subtrees(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, key, page, hashes): key is the html's hash, page the parsed tree's."""
     body = whole(F.col(source))
     return pages.select(host(F.col(url)).alias("host"), F.xxhash64(body).alias("key"),
                         body.alias("html")) \
-        .mapInArrow(_emit, "host string, key bigint, page bigint, hashes array<bigint>")
+        .mapInArrow(run, "host string, key bigint, page bigint, hashes array<bigint>")
 
 
-def templates(found: DataFrame, least_pages: int = 5, least_share: float = 0.05) -> DataFrame:
-    """(host, hash): subtrees on at least so many, and such a share, of a host's pages."""
-    by_page = found.groupBy("host", "page").agg(F.lit(1).alias("one"))
-    hosts = by_page.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = found.select("host", "page", F.explode("hashes").alias("hash")) \
+def templates(found: DataFrame, least_pages: int = 5) -> DataFrame:
+    """(host, hash, pages): subtrees on at least so many different pages of a host.
+
+    Pages that are one are collapsed before anything is counted, and what is dealt by
+    subtree are counts: a subtree on every page of a hot host is one row a task.
+    """
+    return found.select("host", "page", F.explode("hashes").alias("hash")) \
         .groupBy("host", "hash", "page").agg(F.lit(1).alias("one")) \
-        .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") >= least_pages).join(hosts, "host") \
-        .filter(F.col("n") >= F.col("pages") * least_share).select("host", "hash")
+        .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")) \
+        .filter(F.col("pages") >= least_pages)
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", text: str = "text",
-            **limits) -> DataFrame:
-    """The pages with their main text in ``text``, in the place of their html."""
-    found = settle(subtrees(pages, url, source))
+            removed: str | None = None, by_words: bool = True, least_pages: int = 5) -> DataFrame:
+    """The pages with their main text in ``text``, in the place of their html.
+
+    ``removed`` names a column for the number of subtrees that went as templates.
+    """
+    found = settle(subtrees(pages, url, source, by_words))
+    known = settle(templates(found, least_pages))
     cut = found.select("host", "key", F.explode("hashes").alias("hash")) \
-        .join(templates(found, **limits), ["host", "hash"]) \
+        .join(known, ["host", "hash"]) \
         .groupBy("host", "key").agg(F.collect_set("hash").alias("hashes"))
     rest = [c for c in pages.columns if c != source]
     at_host, at_key, hashes = free_name(pages, "_page_host", "_page_key", "_page_hashes")
@@ -308,12 +333,16 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py(), set(t.as_py() or ())) for t, h in
-                     zip(batch.column(len(rest)), batch.column(len(rest) + 1))]
+            out = [without_templates(h.as_py(), set(t.as_py() or ()), by_words) for t, h in
+                   zip(batch.column(len(rest)), batch.column(len(rest) + 1))]
+            columns = [pa.array([t for t, _ in out], pa.string()),
+                       pa.array([n for _, n in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(rest)], pa.array(texts, pa.string())], names=names)
+                [*batch.columns[:len(rest)], *columns[:len(fields) - len(rest)]], names=names)
 
     fields = [pages.schema[c] for c in rest] + [T.StructField(text, T.StringType())]
+    if removed:
+        fields.append(T.StructField(removed, T.LongType()))
     names = [f"c{i}" for i in range(len(fields))]
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields)])
     return joined.mapInArrow(run, schema).toDF(*[f.name for f in fields])

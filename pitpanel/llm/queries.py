@@ -61,9 +61,9 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.add()
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_text.extract(_table(spark, sf_dir, "pages"))
+    found = html_text.extract(_table(spark, sf_dir, "pages"), removed="n_templates")
     return found.select("page_id", "url", "text",
-                        F.length("text").cast("long").alias("n_chars"))
+                        F.length("text").cast("long").alias("n_chars"), "n_templates")
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

@@ -1,9 +1,14 @@
 """Main text on pages of known content; site templates on planted hosts."""
 
+import os
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from pitpanel.llm import html_text
 
+SF = "/root/testdata/sf0.01"
 PAGE = "page_id long, url string, html string, host string, hashes string"
 
 
@@ -61,3 +66,42 @@ def test_prose_of_an_article_stays(spark):
              "</div></article>", "", "") for k in range(9)]
     got = html_text.extract(spark.createDataFrame(rows, PAGE)).collect()
     assert sorted(r.text for r in got) == [f"{k}\n\nagain" for k in range(9)]
+
+
+def test_small_section_templates_of_a_large_host(spark):
+    """Counts equal brute force; a block of 12 pages goes on a host of 2,000."""
+    def page(k):
+        section = f"<div>All about section {k % 160}</div>"
+        return (f"<html><body><div><b>Site</b> top</div>{section}"
+                f"<div><p>story number {k}</p></div></body></html>")
+
+    rows = [(k, f"http://big.example/{k}", page(k), "", "") for k in range(2000)]
+    pages = spark.createDataFrame(rows, PAGE)
+    got = {r.page_id: (r.text, r.n) for r in html_text.extract(pages, removed="n").collect()}
+    assert got == {k: (f"story number {k}", 2) for k in range(2000)}
+    held = Counter()
+    for row in rows:
+        held.update(set(html_text.subtree_hashes(row[2])[1]))
+    want = {(h, n) for h, n in held.items() if n >= 5}
+    found = html_text.templates(html_text.subtrees(pages)).collect()
+    assert {(r["hash"], r.pages) for r in found} == want
+
+
+def test_copies_of_an_article_in_unlike_frames_are_one_page(spark):
+    rows = [(k, "http://a.example/", f"<nav>menu {k}</nav><article><div class=body>told once"
+             f"</div></article><div class=ad>{k}</div>", "", "") for k in range(20)]
+    got = html_text.extract(spark.createDataFrame(rows, PAGE)).collect()
+    assert {r.text for r in got} == {"told once"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_counts_do_the_work_of_word_lists(spark):
+    """Without words of class, id and role nearly all given pages have the same text."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    with_words = html_text.extract(pages, removed="n").select("page_id", "text", "n")
+    without = html_text.extract(pages, by_words=False).select(
+        "page_id", F.col("text").alias("plain"))
+    both = with_words.join(without, "page_id")
+    changed = both.filter("text != plain").count()
+    assert both.filter("n > 0").count() > 0
+    assert changed <= 0.05 * both.count()
