@@ -86,22 +86,19 @@ def _telling_words(line: Column) -> Column:
     return words(F.regexp_replace(F.lower(line), r"(?<!\S)[0-9\p{Punct}]+(?!\S)", ""))
 
 
-def _line_hashes(line_words: Column, host: Column) -> Column:
-    """The smallest shingle hashes (32 bits, the host in them) of every line.
+def _line_hashes(t: Column, host: Column) -> Column:
+    """The smallest shingle hashes (32 bits, the host in them) of a line's words.
 
     Shingles are three words, in short lines two: one edited word leaves most of
-    them. ``line_words`` has to be a column of its own.
+    them. ``t`` has to be a lambda's variable, or it is computed for every shingle.
     """
-    def smallest(t: Column) -> Column:
-        def shingles(size: int) -> Column:
-            starts = F.sequence(F.lit(0), F.greatest(F.size(t) - size, F.lit(0)))
-            return F.transform(starts, lambda i: F.hash(
-                host, *[F.get(t, i + F.lit(k)) for k in range(size)]))
+    def shingles(size: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(t) - size, F.lit(0)))
+        return F.transform(starts, lambda i: F.hash(
+            host, *[F.get(t, i + F.lit(k)) for k in range(size)]))
 
-        both = F.when(F.size(t) < 12, shingles(2)).otherwise(shingles(3))
-        return F.slice(F.array_sort(F.array_distinct(both)), 1, LINE_HASHES)
-
-    return F.transform(line_words, smallest)
+    both = F.when(F.size(t) < 12, shingles(2)).otherwise(shingles(3))
+    return F.slice(F.sort_array(F.array_distinct(both)), 1, LINE_HASHES)
 
 
 def measure(docs: DataFrame, text: str = "text", host: str = "source",
@@ -119,13 +116,13 @@ def measure(docs: DataFrame, text: str = "text", host: str = "source",
         *keep, "host_key", "text_key", "body", "tokens", F.size("tokens").alias("n"),
         F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("worded"))
     hashed = counted.withColumn("hashes", _window_hashes(F.col("tokens"), F.col("n"), window))
-    hashed = hashed.withColumn("line_words", F.transform("worded", _telling_words))
-    hashed = hashed.withColumn("line_hashes", _line_hashes(
-        F.col("line_words"), F.col("host_key")))
-    lines = F.transform("worded", lambda x, i: F.struct(
-        F.xxhash64(normal_line(x)).alias("h"), F.length(x).alias("n"),
-        F.xxhash64("host_key", normal_line(x), F.get("line_words", i)).alias("c"),
-        F.size(F.get("line_words", i)).alias("w"), F.get("line_hashes", i).alias("g")))
+    # One chain of transforms: nothing it needs is computed again for another line.
+    read = F.transform("worded", lambda x: F.struct(
+        F.length(x).alias("n"), normal_line(x).alias("normal"), _telling_words(x).alias("t")))
+    lines = F.transform(read, lambda e: F.struct(
+        F.xxhash64(e["normal"]).alias("h"), e["n"].alias("n"),
+        F.xxhash64(F.col("host_key"), e["normal"], e["t"]).alias("c"),
+        F.size(e["t"]).alias("w"), _line_hashes(e["t"], F.col("host_key")).alias("g")))
     placed = hashed.withColumn("placed", _placed(F.col("hashes")))
     return placed.select(
         *keep, "host_key", "text_key", F.col("n").cast("long").alias("n_words"),
@@ -202,15 +199,18 @@ def frequent_lines(measured: DataFrame, least_documents: int = 10,
     text = ["host_key", "text_key"]
     lines = measured.select(*text, F.explode("lines").alias("line")) \
         .select(*text, "line.h", "line.c", "line.w", "line.g")
-    candidates = lines.groupBy("host_key", "h", "text_key").agg(F.lit(1).alias("one")) \
-        .groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("texts")) \
+    # A written table has a size the planner knows: it moves the lines only if it must.
+    candidates = settle(
+        lines.groupBy("host_key", "h", "text_key").agg(F.lit(1).alias("one"))
+        .groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("texts"))
         .filter(F.col("texts") > least_documents)
-    marked = settle(lines.join(candidates.select("host_key", "h", F.lit(True).alias("frequent")),
-                               ["host_key", "h"], "left"))
+        .select("host_key", "h", F.lit(True).alias("frequent")))
+    marked = settle(lines.join(candidates, ["host_key", "h"], "left")
+                    .filter(F.col("frequent") | (F.col("w") >= OWN_WORDS)))
     own = settle(_classes(_own_lines(marked, least_documents)))
     held = marked.filter("frequent").select(*text, "h").distinct()
     first = held.groupBy(*text).agg(
-        F.slice(F.array_sort(F.collect_set("h")), 1, 2).alias("first"))
+        F.slice(F.sort_array(F.collect_set("h")), 1, 2).alias("first"))
     texts = settle(measured.select(*text).distinct()
                    .join(own.filter("without IS NULL").drop("without"), text, "left")
                    .join(first, text, "left"))
@@ -246,12 +246,12 @@ def depleted(measured: DataFrame, frequent: DataFrame, least_left: float = 0.3)
     Depleted are texts of whose lines less than ``least_left`` is left, by length.
     """
     total = F.aggregate("lines.n", F.lit(0).cast("long"), lambda a, n: a + n)
-    texts = measured.select("host_key", "text_key", "lines", total.alias("total")) \
-        .select("host_key", "text_key", "total", F.explode("lines").alias("line")) \
-        .groupBy("host_key", "text_key", "total", F.col("line.h").alias("h")) \
-        .agg(F.sum("line.n").alias("n"))
-    hit = texts.join(frequent, ["host_key", "h"]).groupBy("host_key", "text_key", "total").agg(
-        F.sum("n").alias("removed"), F.collect_set("h").alias("bad_lines"))
+    hit = measured.select("host_key", "text_key", total.alias("total"),
+                          F.explode("lines").alias("line")) \
+        .select("host_key", "text_key", "total", "line.h", "line.n") \
+        .join(settle(frequent), ["host_key", "h"]) \
+        .groupBy("host_key", "text_key", "total").agg(
+            F.sum("n").alias("removed"), F.collect_set("h").alias("bad_lines"))
     rows = measured.groupBy("host_key", "text_key").agg(F.count(F.lit(1)).alias("rows"))
     left = F.col("total") - F.col("removed") / F.col("rows")
     return hit.join(rows, ["host_key", "text_key"]).select(
