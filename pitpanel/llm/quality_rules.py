@@ -205,8 +205,10 @@ def frequent_lines(measured: DataFrame, least_documents: int = 10,
         .groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("texts"))
         .filter(F.col("texts") > least_documents)
         .select("host_key", "h", F.lit(True).alias("frequent")))
+    # Equal lines side by side take little room.
     marked = settle(lines.join(candidates, ["host_key", "h"], "left")
-                    .filter(F.col("frequent") | (F.col("w") >= OWN_WORDS)))
+                    .filter(F.col("frequent") | (F.col("w") >= OWN_WORDS))
+                    .sortWithinPartitions("host_key", "h"))
     own = settle(_classes(_own_lines(marked, least_documents)))
     held = marked.filter("frequent").select(*text, "h").distinct()
     first = held.groupBy(*text).agg(
