@@ -199,16 +199,13 @@ def frequent_lines(measured: DataFrame, least_documents: int = 10,
     text = ["host_key", "text_key"]
     lines = measured.select(*text, F.explode("lines").alias("line")) \
         .select(*text, "line.h", "line.c", "line.w", "line.g")
-    # A written table has a size the planner knows: it moves the lines only if it must.
-    candidates = settle(
-        lines.groupBy("host_key", "h", "text_key").agg(F.lit(1).alias("one"))
-        .groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("texts"))
+    candidates = lines.groupBy("host_key", "h", "text_key").agg(F.lit(1).alias("one")) \
+        .groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("texts")) \
         .filter(F.col("texts") > least_documents)
-        .select("host_key", "h", F.lit(True).alias("frequent")))
-    # Equal lines side by side take little room.
-    marked = settle(lines.join(candidates, ["host_key", "h"], "left")
-                    .filter(F.col("frequent") | (F.col("w") >= OWN_WORDS))
-                    .sortWithinPartitions("host_key", "h"))
+    # The join brings equal lines together, so the written table takes little room.
+    marked = settle(lines.join(candidates.select("host_key", "h", F.lit(True).alias("frequent")),
+                               ["host_key", "h"], "left")
+                    .filter(F.col("frequent") | (F.col("w") >= OWN_WORDS)))
     own = settle(_classes(_own_lines(marked, least_documents)))
     held = marked.filter("frequent").select(*text, "h").distinct()
     first = held.groupBy(*text).agg(
