@@ -117,3 +117,20 @@ def test_protocol_gate(spark):
            .collect()}
     assert got == {"predicted rows differ from declaration",
                    "labelled rows differ from declaration", "holdout row in no fold"}
+
+
+def test_the_constant_never_beats_itself(spark):
+    """Sums of doubles can differ from one computation of the metrics to the next."""
+    import random
+
+    noise = F.udf(lambda fold: 0.6 + random.random() * 1e-9, "double").asNondeterministic()
+    metrics = spark.range(0, 60).select(
+        (F.col("id") % 30).cast("int").alias("fold"),
+        F.when(F.col("id") < 30, "constant").otherwise("other").alias("model"),
+        noise("id").alias("log_loss"), noise("id").alias("accuracy"))
+    ranked = {r.model: r for r in evaluate.rank_models(metrics, ["constant", "other"]).collect()}
+    assert ranked["constant"].folds_beating_constant == 0 and len(ranked) == 2
+    judged = evaluate.against_constant(metrics).where("model = 'constant'").collect()
+    assert len(judged) == 30
+    assert all(r.log_loss_delta == 0 and not r.passes_log_loss and not r.passes_accuracy
+               for r in judged)
