@@ -228,8 +228,8 @@ def restatement_anomalies(spark, sf_dir):
 def lag_clusters(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("ticker"),
-        (F.col("l_quantity") * 100 + F.col("l_linenumber")).cast("int").alias("lag"))
-    return profile.cluster_values(line, "lag", 97, ["ticker"])
+        F.rint(F.col("l_quantity") * 100 + F.col("l_linenumber")).cast("int").alias("lag"))
+    return profile.cluster_values(line, "lag", 97, ["ticker"], count_nulls=True)
 
 
 # Prices of all line items on one axis: no key deals them out.

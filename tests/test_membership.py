@@ -151,3 +151,20 @@ def test_log_years_report_missing(spark):
     rows = membership.log_years(log, "2011-01-01", "2013-12-31").orderBy("year").collect()
     assert [(r.year, r.n_changes, r.missing) for r in rows] == [
         (2011, 1, False), (2012, 0, True), (2013, 1, False)]
+
+
+def test_lag_clusters_equal_their_sql_on_odd_quantities(spark, tmp_path):
+    """Half and inexact lags are rounded, rows without one belong to the last cluster."""
+    duckdb = pytest.importorskip("duckdb")
+    from pitpanel.catalog.membership import catalog
+
+    rows = [(1, 1, 17.29), (1, 1, 18.26), (1, 2, None), (1, 1, 0.575), (2, None, 3.0),
+            (2, 2, None), (3, 1, 0.005), (3, 1, 0.015), (3, 1, 0.985), (3, 1, 0.995),
+            (None, 1, 5.0), (None, 1, None)]
+    lines = spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_quantity double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(catalog.oracles["lag_clusters"]).fetchall()
+    got = catalog.queries["lag_clusters"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
