@@ -299,68 +299,121 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.repeat(look, n_blocks))], names=["bucket", "node", "look"])
 
 
-def _near_in_bucket(looks: np.ndarray, small: int = 16) -> list[tuple[int, int]]:
-    """Positions of members that are close at first look.
-
-    All pairs of a small bucket. In a large one, the member nearest to the majority of
-    all bits is the hub of those close to it: edited copies are closer to their original
-    than to each other, and every block has the same hub. Who is left is linked to the
-    nearest member of a hub, if close, and goes on to the next hub. So a dense group
-    costs a link or two for each member.
+def _near_in_bucket(looks: np.ndarray) -> list[tuple[int, int]]:
+    """Links (from, to) of positions that connect all that first looks connect.
+
+    Searched from the member nearest to the majority of all bits: edited copies are
+    closer to their original than to each other, and every block has the same original.
+    A dense group costs one link for each member, and no close pair is left apart.
     """
-    if len(looks) <= small:
-        close = np.bitwise_count(looks[:, None] ^ looks[None, :]) <= FIRST_LOOK
-        a, b = np.nonzero(np.triu(close, 1))
-        return list(zip(a.tolist(), b.tolist()))
     found: list[tuple[int, int]] = []
     left = np.arange(len(looks))
     while len(left) > 1:
         bits = np.unpackbits(looks[left].view(np.uint8).reshape(-1, 8), axis=1)
         most = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(left)).view("<u8")[0]
-        hub = left[np.bitwise_count(looks[left] ^ most).argmin()]
-        near = np.bitwise_count(looks[left] ^ looks[hub]) <= FIRST_LOOK
-        reached, left = left[near], left[~near]
-        found.extend((int(hub), x) for x in reached.tolist() if x != hub)
-        for x in left.tolist() if len(reached) > 1 else ():
-            away = np.bitwise_count(looks[reached] ^ looks[x])
-            at = int(away.argmin())
-            if away[at] <= FIRST_LOOK:
-                found.append((int(reached[at]), x))
+        hub = int(np.bitwise_count(looks[left] ^ most).argmin())
+        queue, left = [left[hub]], np.delete(left, hub)
+        while queue and len(left):
+            at = queue.pop(0)
+            near = np.bitwise_count(looks[left] ^ looks[at]) <= FIRST_LOOK
+            if near.any():
+                reached, left = left[near], left[~near]
+                queue.extend(reached)
+                found.extend((int(at), x) for x in reached.tolist())
     return found
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) from rows sorted by bucket; a task holds a batch and one bucket."""
-    held: list[pa.RecordBatch] = []
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        bucket = table.column("bucket").to_numpy()
-        nodes = table.column("node").to_numpy()
-        looks = np.ascontiguousarray(table.column("look").to_numpy()).view("<u8")
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        a, b = [], []
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if hi - lo > 1:
-                for x, y in _near_in_bucket(looks[lo:hi]):
-                    a.append(nodes[lo + x])
-                    b.append(nodes[lo + y])
-        a, b = np.array(a, "<i8"), np.array(b, "<i8")
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)),
-                                           pa.array(np.maximum(a, b))], names=["a", "b"])
+def _by_bucket(each: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
+    """Runs on rows sorted by bucket, whole buckets at a time: a batch and one bucket."""
 
-    for batch in batches:
-        bucket = batch.column(0).to_numpy()
-        # The last bucket of a batch may go on in the next one.
-        cut = int(np.searchsorted(bucket, bucket[-1]))
-        if cut:
-            yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = []
-        elif held and held[-1].column(0)[0].as_py() != bucket[0]:
-            yield pairs(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pairs(pa.Table.from_batches(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            if not len(bucket):
+                continue
+            # The last bucket of a batch may go on in the next one.
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            if cut:
+                yield from each(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif held and held[-1].column(0)[0].as_py() != bucket[0]:
+                yield from each(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from each(pa.Table.from_batches(held))
+
+    return run
+
+
+def _spans(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of the buckets of two rows and more."""
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if hi - lo > 1:
+            yield lo, hi
+
+
+def _close(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(bucket, node, partner, size) of members that are close at first look to another.
+
+    Partners connect the bucket; the start of a search is its own.
+    """
+    bucket, nodes = (table.column(c).to_numpy() for c in ("bucket", "node"))
+    looks = np.ascontiguousarray(table.column("look").to_numpy()).view("<u8")
+    rows: list[tuple[int, int, int]] = []
+    for lo, hi in _spans(bucket):
+        found = _near_in_bucket(looks[lo:hi])
+        starts = {a for a, _ in found} - {b for _, b in found}
+        rows.extend((lo + b, lo + a, hi - lo) for a, b in found)
+        rows.extend((lo + a, lo + a, hi - lo) for a in starts)
+    x, y, size = np.array(rows, np.int64).reshape(-1, 3).T
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(bucket[x]), pa.array(nodes[x]), pa.array(nodes[y]), pa.array(size)],
+        names=["bucket", "node", "partner", "size"])
+
+
+def _alike(fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray,
+           least: float) -> np.ndarray:
+    """Whether fingerprints tell a similarity of ``least`` or more."""
+    away = np.bitwise_count(fa ^ fb).sum(axis=1, dtype=np.int64) / WIDE_BITS
+    shared = np.cos(np.pi * away) * np.sqrt(na * nb)
+    return shared >= least * (na + nb - shared)
+
+
+def _joined(fp: np.ndarray, n: np.ndarray, roots: np.ndarray,
+            least: float) -> list[tuple[int, int]]:
+    """Positions of two roots that a similar pair connects: a link for each root reached."""
+    found: list[tuple[int, int]] = []
+    left = np.arange(len(fp))
+    while len(left):
+        start = roots[left[0]]
+        queue, left = left[roots[left] == start].tolist(), left[roots[left] != start]
+        while queue and len(left):
+            at = queue.pop()
+            near = left[_alike(fp[left], fp[at][None, :], n[left], n[at], least)]
+            if len(near):
+                named, first = np.unique(roots[near], return_index=True)
+                found.extend((int(at), int(near[k])) for k in first)
+                reached = np.isin(roots[left], named)
+                queue.extend(left[reached].tolist())
+                left = left[~reached]
+    return found
+
+
+def _searched(least: float):
+    def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, nodes, roots = (table.column(c).to_numpy() for c in ("bucket", "node", "root"))
+        n = table.column("n").to_numpy()
+        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), "<u8") \
+            .reshape(len(nodes), -1)
+        pairs = [(nodes[lo + a], nodes[lo + b]) for lo, hi in _spans(bucket)
+                 for a, b in _joined(fp[lo:hi], n[lo:hi], roots[lo:hi], least)]
+        a, b = np.array(pairs, "<i8").reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return each
 
 
 def _similar(least: float):
@@ -369,14 +422,40 @@ def _similar(least: float):
             fa, fb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8")
                       .reshape(batch.num_rows, -1) for k in (2, 3))
             na, nb = (batch.column(k).to_numpy() for k in (4, 5))
-            away = np.bitwise_count(fa ^ fb).sum(axis=1, dtype=np.int64) / WIDE_BITS
-            shared = np.cos(np.pi * away) * np.sqrt(na * nb)
-            keep = pa.array(shared >= least * (na + nb - shared))
-            yield batch.select(["a", "b"]).filter(keep)
+            yield batch.select(["a", "b"]).filter(pa.array(_alike(fa, fb, na, nb, least)))
 
     return run
 
 
+def near_links(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that connect all similar nodes (node, fp, n) that agree in a block.
+
+    First, every node that is close to another at first look tries one partner, that of
+    its largest bucket; what is similar becomes one group, so a dense group falls
+    together at a row for each member, whatever its pairs. Then the close members of
+    every bucket are searched by whole fingerprints, but for members of one group.
+    """
+    rows = nodes.select("node", "fp").mapInArrow(_blocks, "bucket bigint, node bigint, look bigint")
+    close = settle(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(
+        _by_bucket(_close), "bucket bigint, node bigint, partner bigint, size bigint"))
+    # A row for each node, its buckets in an array: at most one for each block.
+    active = settle(nodes.join(close.groupBy("node").agg(
+        F.collect_list("bucket").alias("buckets")), "node"))
+    chosen = close.filter("node <> partner").groupBy(F.col("node").alias("a")).agg(
+        F.min_by("partner", F.struct(-F.col("size"), "partner")).alias("b"))
+    sides = [active.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"),
+                           F.col("n").alias(f"n_{c}")) for c in "ab"]
+    first = settle(chosen.join(sides[0], "a").join(sides[1], "b")
+                   .select("a", "b", "fp_a", "fp_b", "n_a", "n_b")
+                   .mapInArrow(_similar(least), "a bigint, b bigint"))
+    rest = active.join(connect(first), "node", "left").select(
+        F.explode("buckets").alias("bucket"), "node",
+        F.coalesce("root", "node").alias("root"), "fp", "n")
+    last = rest.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(
+        _by_bucket(_searched(least)), "a bigint, b bigint")
+    return first.unionByName(settle(last))
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     least: float = LEAST_SIMILARITY) -> DataFrame:
     """(key, node, component): groups of texts whose word shingles are similar.
@@ -389,16 +468,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kind = rows.schema["key"].dataType.simpleString()
     prints = settle(rows.mapInArrow(_wide, f"key {kind}, node bigint, fp binary, n bigint"))
     nodes = settle(prints.select("node", "fp", "n").dropDuplicates(["node"]))
-    buckets = nodes.filter("n > 0").select("node", "fp").mapInArrow(
-        _blocks, "bucket bigint, node bigint, look bigint")
-    candidates = buckets.repartition("bucket").sortWithinPartitions("bucket", "node") \
-        .mapInArrow(_candidates, "a bigint, b bigint").filter("a <> b").distinct()
-    sides = [nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"),
-                          F.col("n").alias(f"n_{c}")) for c in "ab"]
-    links = candidates.join(sides[0], "a").join(sides[1], "b") \
-        .select("a", "b", "fp_a", "fp_b", "n_a", "n_b") \
-        .mapInArrow(_similar(least - ALLOWANCE), "a bigint, b bigint")
-    roots = connect(links)
+    roots = connect(near_links(nodes.filter("n > 0"), least - ALLOWANCE))
     firsts = prints.groupBy("node").agg(F.min("key").alias("first"))
     rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))

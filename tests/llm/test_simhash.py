@@ -218,3 +218,35 @@ def test_a_large_group_of_edited_copies_is_whole_and_cheap(spark):
     docs = spark.createDataFrame(list(enumerate(texts, 50)), "doc_id long, text string")
     found = [r.component for r in simhash.near_components(docs).collect()]
     assert found.count(50) >= 0.98 * len(texts)
+
+
+def test_no_similar_pair_of_a_large_bucket_is_left_apart(spark):
+    """Two texts edited alike stay together where the hub of their bucket is another's."""
+    rng = np.random.default_rng(21)
+    bits = simhash.WIDE_BITS
+
+    def edited(fp, n):
+        out = fp.copy()
+        out[rng.choice(np.arange(simhash.WIDE_BLOCK, bits), n, replace=False)] ^= 1
+        return out
+
+    base = rng.integers(0, 2, bits, dtype=np.uint8)
+    group = [base] + [edited(base, 150) for _ in range(40)]
+    # Close to the base at first look, too far from it as a whole, and pairs of their own.
+    far = [edited(base, 420) for _ in range(12)]
+    group += [x for f in far for x in (f, edited(f, 60))]
+    fps = np.array([np.packbits(f, bitorder="little").view("<u8") for f in group])
+    n = np.full(len(fps), 200)
+    least = simhash.LEAST_SIMILARITY - simhash.ALLOWANCE
+    nodes = spark.createDataFrame(
+        [(i + 1, bytearray(f.tobytes()), 200) for i, f in enumerate(fps)],
+        "node long, fp binary, n long")
+    want = {i: i for i in range(len(fps))}
+    for _ in fps:
+        for i in range(len(fps)):
+            near = simhash._alike(fps, fps[i][None, :], n, n[i], least)
+            want[i] = min(want[j] for j in np.flatnonzero(near))
+    assert 12 <= len(set(want.values())) < 20
+    linked = simhash.near_links(nodes, least)
+    found = {r.node - 1: r.root - 1 for r in simhash.connect(linked).collect()}
+    assert {i: found.get(i, i) for i in want} == want
