@@ -7,6 +7,11 @@ the splits. Trees are only ever added: a row's margin under the trees so far is
 column, and the few trees since then are applied on the fly. Nothing is fitted twice, and
 a fold whose patience has run out takes no further part.
 
+The table is held in blocks of many rows of one fold and side, a feature's bins side by
+side, so a pass works on whole arrays and a tree is a few comparisons of bytes. Below the
+root only the smaller child of a node is summed: its sibling is what the node has besides.
+Features that a tree doesn't draw are not summed.
+
 Rows have no missing value imputed: missing is a bin of its own, and every split learns
 the side it goes to. The loss on the stopping rows is summed in the pass that begins the
 next tree.
@@ -29,6 +34,8 @@ from pitpanel.session import settle
 MAX_BINS = 128
 #: Trees after which margins are written again.
 SETTLE_EVERY = 50
+#: Rows from which a block of the table is closed.
+BLOCK_ROWS = 1 << 14
 _TRAIN, _STOP = 1, 2
 
 
@@ -58,15 +65,23 @@ class Tree:
     missing_left: np.ndarray
     values: np.ndarray
 
+    def _right(self, node: int, bins: np.ndarray) -> np.ndarray:
+        if self.feature[node] < 0:
+            return np.zeros(bins.shape[1], bool)
+        own, upto = bins[self.feature[node]], np.uint8(self.upto[node])
+        # Bin 0 is missing; one less makes it the largest byte, on the right of any cut.
+        return own > upto if self.missing_left[node] else own - np.uint8(1) >= upto
+
     def leaf(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        for _ in range(levels):
-            feature = self.feature[node]
-            bin_ = bins[rows, np.maximum(feature, 0)]
-            left = np.where(bin_ == 0, self.missing_left[node], bin_ <= self.upto[node])
-            node = node * 2 + 1 + ~(left | (feature < 0))
-        return node - (2 ** levels - 1)
+        """Each row's node ``levels`` below the root; ``bins`` has a line per feature."""
+        node = np.zeros(bins.shape[1], np.uint16)
+        for level in range(levels):
+            first = 2 ** level - 1
+            right = self._right(first, bins)
+            for at in range(1, 2 ** level):
+                right ^= (right ^ self._right(first + at, bins)) & (node == at)
+            node = node * np.uint16(2) + right
+        return node
 
 
 @dataclass
@@ -82,18 +97,13 @@ class Ensemble:
     stopped: bool = False
 
     def bin(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape, np.uint8)
+        """Bins of rows of values, a line per feature."""
+        out = np.zeros(x.shape[::-1], np.uint8)
         for k, edges in enumerate(self.edges):
             known = ~np.isnan(x[:, k])
-            out[known, k] = np.searchsorted(edges, x[known, k], "left") + 1
+            out[k, known] = np.searchsorted(edges, x[known, k], "left") + 1
         return out
 
-    def margin(self, bins: np.ndarray, first: int = 0, upto: int | None = None) -> np.ndarray:
-        total = np.zeros(len(bins))
-        for tree in self.trees[first:upto]:
-            total += tree.values[tree.leaf(bins, self.options.depth)]
-        return total
-
     def note_loss(self, loss: float) -> None:
         """Loss after the latest tree; stops when the best is ``patience`` trees old."""
         self.losses.append(loss)
@@ -103,6 +113,13 @@ class Ensemble:
             self.stopped = True
 
 
+def _margin(trees: Sequence[Tree], bins: np.ndarray, depth: int) -> np.ndarray:
+    total = np.zeros(bins.shape[1])
+    for tree in trees:
+        total += tree.values.take(tree.leaf(bins, depth))
+    return total
+
+
 # -- sums of one pass -------------------------------------------------------------------
 
 def _mixed(place: np.ndarray, salt: int) -> np.ndarray:
@@ -114,57 +131,90 @@ def _mixed(place: np.ndarray, salt: int) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))) / 2.0 ** 64
 
 
-def _offsets(ensemble: Ensemble) -> np.ndarray:
-    return np.r_[0, np.cumsum([len(e) + 2 for e in ensemble.edges])]
+@dataclass
+class _Growing:
+    """What a pass needs of a fold: the trees not settled and the one that grows.
+
+    ``slots`` gives each node of the level its place in the sums, -1 where the node is
+    known from its parent and its sibling.
+    """
+
+    recent: list[Tree]
+    options: TreeOptions
+    tree: Tree
+    columns: list[int]
+    widths: list[int]
+    slots: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+
+    @property
+    def n_slots(self) -> int:
+        return int(self.slots.max()) + 1
+
+    @property
+    def starts(self) -> np.ndarray:
+        """Where each drawn feature's sums begin; the last is their number."""
+        return np.r_[0, np.cumsum([self.widths[k] for k in self.columns])] * self.n_slots
 
 
-def _add_rows(ensemble: Ensemble, rows: dict[str, np.ndarray], level: int, settled: int,
-              partial: Tree | None, number: int, sums: np.ndarray) -> None:
-    """Adds (gradient, hessian, count) per node and bin; the last slot is the stop loss."""
-    bins, y = rows["bins"], rows["y"]
-    margin = rows["margin"] + ensemble.margin(bins, settled)
+@dataclass
+class _Block:
+    bins: np.ndarray
+    y: np.ndarray
+    place: np.ndarray
+    margin: np.ndarray
+
+    def take(self, chosen: np.ndarray) -> _Block:
+        at = np.flatnonzero(chosen)
+        return _Block(self.bins[:, at], self.y[at], self.place[at], self.margin[at])
+
+
+def _add_loss(growing: _Growing, block: _Block, sums: np.ndarray) -> None:
+    """The stop loss goes to the last slot."""
+    margin = block.margin + _margin(growing.recent, block.bins, growing.options.depth)
+    # log(1 + exp(-m)) for label 1 and log(1 + exp(m)) for label 0.
+    sums[-1, 0] += np.logaddexp(0, np.where(block.y == 1, -margin, margin)).sum()
+    sums[-1, 2] += len(margin)
+
+
+def _add_block(growing: _Growing, block: _Block, level: int, number: int,
+               sums: np.ndarray) -> None:
+    """Adds (gradient, hessian, count) per drawn feature, slot and bin."""
+    options = growing.options
+    block = block.take(
+        _mixed(block.place, options.seed * 1_000_003 + number) < options.row_share)
+    slot = None
+    if level:
+        slot = growing.slots.take(growing.tree.leaf(block.bins, level))
+        block, slot = block.take(slot >= 0), slot[slot >= 0]
+    margin = block.margin + _margin(growing.recent, block.bins, options.depth)
     p = 1.0 / (1.0 + np.exp(-margin))
-    if level == 0:
-        stop = rows["side"] == _STOP
-        # log(1 + exp(-m)) for label 1 and log(1 + exp(m)) for label 0.
-        sums[-1, 0] += np.logaddexp(0, np.where(y[stop] == 1, -margin[stop], margin[stop])).sum()
-        sums[-1, 2] += stop.sum()
-    options = ensemble.options
-    used = (rows["side"] == _TRAIN) & (
-        _mixed(rows["place"], options.seed * 1_000_003 + number) < options.row_share)
-    bins, g, h = bins[used], (y - p)[used], (p * (1 - p))[used]
-    node = partial.leaf(bins, level) if partial is not None else np.zeros(len(bins), np.int64)
-    starts = _offsets(ensemble)
-    width, slots = starts[-1], (len(sums) - 1)
-    for k in range(bins.shape[1]):
-        at = node * width + starts[k] + bins[:, k]
-        for c, weights in enumerate((g, h, None)):
-            sums[:-1, c] += np.bincount(at, weights, minlength=slots)
-
-
-def _pass(binned: DataFrame, ensembles: dict[int, Ensemble], level: int, settled: int,
-          partial: dict[int, Tree], number: int) -> dict[int, np.ndarray]:
-    """One pass over all rows: fold -> sums."""
-    active = {f: e for f, e in ensembles.items() if not e.stopped}
-    shared = binned.sparkSession.sparkContext.broadcast((active, partial))
-    sizes = {f: (2 ** level) * int(_offsets(e)[-1]) + 1 for f, e in active.items()}
+    weights = (block.y - p, p * (1 - p), None)
+    starts = growing.starts
+    for k, first, end in zip(growing.columns, starts, starts[1:]):
+        at = block.bins[k].astype(np.int64)
+        if slot is not None:
+            at += slot * growing.widths[k]
+        for c, w in enumerate(weights):
+            sums[first:end, c] += np.bincount(at, w, minlength=end - first)
+
+
+def _pass(blocks: DataFrame, growing: dict[int, _Growing], level: int,
+          number: int) -> dict[int, np.ndarray]:
+    """One pass over the blocks of the growing folds: fold -> sums."""
+    shared = blocks.sparkSession.sparkContext.broadcast(growing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, trees = shared.value
+        models = shared.value
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            columns = {n: batch.column(k).to_numpy(zero_copy_only=False)
-                       for k, n in enumerate(("fold", "side", "y", "margin", "place"))}
-            data = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8) \
-                .reshape(batch.num_rows, -1)
-            for fold in np.unique(columns["fold"]).tolist():
-                here = columns["fold"] == fold
-                rows = {n: c[here] for n, c in columns.items()} | {"bins": data[here]}
-                _add_rows(models[fold], rows, level, settled, trees.get(fold), number,
-                          sums.setdefault(fold, np.zeros((sizes[fold], 3))))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(sums.keys(), pa.int32()),
-             pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["fold", "sums"])
+            for fold, side, block in _read_blocks(batch):
+                mine = models[fold]
+                own = sums.setdefault(fold, np.zeros((int(mine.starts[-1]) + 1, 3)))
+                if side == _STOP:
+                    _add_loss(mine, block, own)
+                else:
+                    _add_block(mine, block, level, number, own)
+        yield _as_batch(sums)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -172,17 +222,24 @@ def _pass(binned: DataFrame, ensembles: dict[int, Ensemble], level: int, settled
             for fold, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = np.frombuffer(data.as_buffer(), np.float64).reshape(-1, 3)
                 sums[fold] = sums[fold] + part if fold in sums else part
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(sums.keys(), pa.int32()),
-             pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["fold", "sums"])
+        yield _as_batch(sums)
 
     kind = "fold int, sums binary"
-    found = binned.where(F.col("fold").isin(*active)).mapInArrow(run, kind) \
-        .repartition("fold").mapInArrow(total, kind).collect()
+    read = blocks.where(F.col("fold").isin(*growing))
+    if level:
+        read = read.where(F.col("side") == _TRAIN)
+    found = read.mapInArrow(run, kind).repartition(len(growing), "fold") \
+        .mapInArrow(total, kind).collect()
     shared.unpersist()
     return {r.fold: np.frombuffer(r.sums, np.float64).reshape(-1, 3) for r in found}
 
 
+def _as_batch(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(sums.keys(), pa.int32()),
+         pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["fold", "sums"])
+
+
 # -- growing ----------------------------------------------------------------------------
 
 def _soft(g: np.ndarray, l1: float) -> np.ndarray:
@@ -197,7 +254,7 @@ def _value(s: np.ndarray, o: TreeOptions) -> float:
     return float(o.step * _soft(s[0], o.l1) / (s[1] + o.l2))
 
 
-def _best_split(cells: list[np.ndarray], columns: Sequence[int], o: TreeOptions):
+def _best_split(cells: dict[int, np.ndarray], columns: Sequence[int], o: TreeOptions):
     """(feature, upto, missing left, left sums, right sums) of one node, or None."""
     best, found = 1e-12, None
     for k in columns:
@@ -217,23 +274,46 @@ def _best_split(cells: list[np.ndarray], columns: Sequence[int], o: TreeOptions)
     return found
 
 
-def _grow(tree: Tree, ensemble: Ensemble, sums: np.ndarray, level: int,
-          columns: Sequence[int]) -> None:
-    """Splits the nodes of one level; the last one gives the leaves their values."""
-    o, starts = ensemble.options, _offsets(ensemble)
-    width, first = int(starts[-1]), 2 ** level - 1
-    for node in range(2 ** level):
-        own = sums[node * width:(node + 1) * width]
-        cells = [own[a:b] for a, b in zip(starts, starts[1:])]
-        split = _best_split(cells, columns, o)
-        whole = cells[0].sum(axis=0)
-        parts = (whole, np.zeros(3))
+def _cells(growing: _Growing, sums: np.ndarray, level: int,
+           parents: list[dict[int, np.ndarray]]) -> list[dict[int, np.ndarray]]:
+    """Per node of a level: drawn feature -> sums per bin.
+
+    A node without a slot is its parent without its sibling; bins without rows there are
+    exactly zero, as if they had been summed.
+    """
+    starts = growing.starts
+    summed = [{k: sums[a:b].reshape(growing.n_slots, -1, 3)[slot]
+               for k, a, b in zip(growing.columns, starts, starts[1:])}
+              for slot in range(growing.n_slots)]
+    nodes: list[dict[int, np.ndarray]] = []
+    for node, slot in enumerate(growing.slots):
+        if slot >= 0:
+            nodes.append(summed[slot])
+            continue
+        sibling = summed[growing.slots[node ^ 1]]
+        rest = {k: whole - sibling[k] for k, whole in parents[node // 2].items()}
+        nodes.append({k: np.where(r[:, 2:] > 0, r, 0.0) for k, r in rest.items()})
+    return nodes
+
+
+def _grow(growing: _Growing, nodes: list[dict[int, np.ndarray]], level: int) -> None:
+    """Splits the nodes of one level; the last one gives the leaves their values.
+
+    Of each pair of children the smaller one gets a slot in the next level's sums.
+    """
+    o, tree, first = growing.options, growing.tree, 2 ** level - 1
+    slots = np.full(2 * len(nodes), -1)
+    for node, cells in enumerate(nodes):
+        split = _best_split(cells, growing.columns, o)
+        parts = (cells[growing.columns[0]].sum(axis=0), np.zeros(3))
         if split is not None:
             tree.feature[first + node], tree.upto[first + node] = split[0], split[1]
             tree.missing_left[first + node] = split[2]
             parts = split[3:]
+        slots[node * 2 + int(parts[1][2] <= parts[0][2])] = node
         if level == o.depth - 1:
             tree.values[node * 2:node * 2 + 2] = [_value(s, o) for s in parts]
+    growing.slots = slots
 
 
 def fit(rows: DataFrame, features: Sequence[str], *, fold: str = "fold",
@@ -256,87 +336,121 @@ def fit(rows: DataFrame, features: Sequence[str], *, fold: str = "fold",
         ensembles[one] = Ensemble(
             float(np.log(p / (1 - p))),
             [np.unique(e) for e in edges.get(one, [[] for _ in features])], options)
-    binned = settle(_binned(rows, features, fold, label, side, ensembles))
+    blocks = settle(_blocks(rows, features, fold, label, side, ensembles))
+    widths = {one: [len(e) + 2 for e in ensemble.edges] for one, ensemble in ensembles.items()}
     settled = 0
+
+    def begin(one: int, number: int) -> _Growing:
+        rng = np.random.default_rng([options.seed, int(one), number])
+        wanted = max(1, round(options.column_share * len(features)))
+        inner = 2 ** options.depth - 1
+        return _Growing(ensembles[one].trees[settled:], options,
+                        Tree(np.full(inner, -1), np.zeros(inner, int), np.ones(inner, bool),
+                             np.zeros(inner + 1)),
+                        rng.choice(len(features), wanted, replace=False).tolist(), widths[one])
+
+    def note(found: dict[int, np.ndarray]) -> None:
+        for one, sums in found.items():
+            ensembles[one].note_loss(sums[-1, 0] / max(sums[-1, 2], 1))
+
     for number in range(options.max_trees):
-        columns, partial = {}, {}
+        growing = {f: begin(f, number) for f, e in ensembles.items() if not e.stopped}
+        nodes: dict[int, list] = {one: [] for one in growing}
         for level in range(options.depth):
-            sums = _pass(binned, ensembles, level, settled, partial, number)
-            for one in [f for f, e in ensembles.items() if not e.stopped]:
-                ensemble, found = ensembles[one], sums[one]
-                if level == 0:
-                    if number:
-                        ensemble.note_loss(found[-1, 0] / max(found[-1, 2], 1))
-                        if ensemble.stopped:
-                            continue
-                    rng = np.random.default_rng([options.seed, int(one), number])
-                    wanted = max(1, round(options.column_share * len(features)))
-                    columns[one] = rng.choice(len(features), wanted, replace=False)
-                    inner = 2 ** options.depth - 1
-                    partial[one] = Tree(np.full(inner, -1), np.zeros(inner, int),
-                                        np.ones(inner, bool), np.zeros(inner + 1))
-                _grow(partial[one], ensemble, found[:-1], level, columns[one])
-            if all(e.stopped for e in ensembles.values()):
-                return ensembles
-        for one, tree in partial.items():
-            if not ensembles[one].stopped:
-                ensembles[one].trees.append(tree)
+            found = _pass(blocks, growing, level, number)
+            if level == 0 and number:
+                note(found)
+                growing = {f: g for f, g in growing.items() if not ensembles[f].stopped}
+                if not growing:
+                    return ensembles
+            for one, mine in growing.items():
+                nodes[one] = _cells(mine, found[one], level, nodes[one])
+                _grow(mine, nodes[one], level)
+        for one, mine in growing.items():
+            ensembles[one].trees.append(mine.tree)
         if (number + 1) % SETTLE_EVERY == 0:
-            binned = settle(_with_margins(binned, ensembles, settled))
+            blocks = settle(_with_margins(blocks, ensembles, settled))
             settled = number + 1
-    sums = _pass(binned, ensembles, 0, settled, {}, options.max_trees)
-    for one, found in sums.items():
-        ensembles[one].note_loss(found[-1, 0] / max(found[-1, 2], 1))
+    note(_pass(blocks, {f: begin(f, options.max_trees) for f, e in ensembles.items()
+                        if not e.stopped}, 0, options.max_trees))
     return ensembles
 
 
-def _binned(rows: DataFrame, features: Sequence[str], fold: str, label: str, side: str,
+# -- blocks -----------------------------------------------------------------------------
+
+_BLOCK_SCHEMA = "fold int, side int, bins binary, y binary, place binary, margin binary"
+_BLOCK_COLUMNS = ["fold", "side", "bins", "y", "place", "margin"]
+
+
+def _read_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, _Block]]:
+    for fold, side, bins, y, place, margin in zip(*batch.columns):
+        labels = np.frombuffer(y.as_buffer(), np.uint8)
+        yield fold.as_py(), side.as_py(), _Block(
+            np.frombuffer(bins.as_buffer(), np.uint8).reshape(-1, len(labels)), labels,
+            np.frombuffer(place.as_buffer(), np.int64),
+            np.frombuffer(margin.as_buffer(), np.float64))
+
+
+def _write_block(fold: int, side: int, block: _Block) -> pa.RecordBatch:
+    parts = [block.bins, block.y, block.place, block.margin]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([fold], pa.int32()), pa.array([side], pa.int32()),
+         *[pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts]],
+        names=_BLOCK_COLUMNS)
+
+
+def _blocks(rows: DataFrame, features: Sequence[str], fold: str, label: str, side: str,
             ensembles: dict[int, Ensemble]) -> DataFrame:
-    """(fold, side, y, margin, place, bins): what passes read of a row."""
+    """What passes read of the rows, many rows of one fold and side in a block."""
     shared = rows.sparkSession.sparkContext.broadcast(ensembles)
-    n = len(features)
+    n, limit = len(features), BLOCK_ROWS
+
+    def joined(one: int, parts: list[_Block]) -> _Block:
+        place = np.concatenate([p.place for p in parts])
+        return _Block(np.concatenate([p.bins for p in parts], axis=1),
+                      np.concatenate([p.y for p in parts]), place,
+                      np.full(len(place), shared.value[one].start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple[int, int], list[_Block]] = {}
         for batch in batches:
-            folds = batch.column(0).to_numpy()
+            folds, sides, y, place = (batch.column(k).to_numpy() for k in range(4))
             x = np.column_stack([batch.column(4 + k).to_numpy(zero_copy_only=False)
                                  for k in range(n)]).astype(float)
-            bins, margin = np.zeros(x.shape, np.uint8), np.zeros(len(x))
             for one in np.unique(folds).tolist():
-                here = folds == one
-                bins[here] = shared.value[one].bin(x[here])
-                margin[here] = shared.value[one].start
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(margin), batch.column(3),
-                 pa.array([b.tobytes() for b in bins], pa.binary())],
-                names=["fold", "side", "y", "margin", "place", "bins"])
+                for which in (_TRAIN, _STOP):
+                    here = np.flatnonzero((folds == one) & (sides == which))
+                    if not len(here):
+                        continue
+                    parts = waiting.setdefault((one, which), [])
+                    parts.append(_Block(shared.value[one].bin(x[here]),
+                                        y[here].astype(np.uint8), place[here], np.array([])))
+                    if sum(len(p.y) for p in parts) >= limit:
+                        yield _write_block(one, which, joined(one, waiting.pop((one, which))))
+        for (one, which), parts in waiting.items():
+            yield _write_block(one, which, joined(one, parts))
 
     chosen = rows.where(F.col(side).isin("train", "stop") & F.col(fold).isin(*ensembles))
     return chosen.select(
         F.col(fold).cast("int").alias("fold"),
         F.when(F.col(side) == "train", _TRAIN).otherwise(_STOP).alias("side"),
         F.col(label).cast("int").alias("y"), F.monotonically_increasing_id().alias("place"),
-        *[F.col(f).cast("double") for f in features]).mapInArrow(
-        run, "fold int, side int, y int, margin double, place long, bins binary")
+        *[F.col(f).cast("double") for f in features]).mapInArrow(run, _BLOCK_SCHEMA)
 
 
-def _with_margins(binned: DataFrame, ensembles: dict[int, Ensemble], settled: int) -> DataFrame:
-    shared = binned.sparkSession.sparkContext.broadcast(ensembles)
+def _with_margins(blocks: DataFrame, ensembles: dict[int, Ensemble], settled: int) -> DataFrame:
+    running = {f: (e.trees[settled:], e.options.depth) for f, e in ensembles.items()
+               if not e.stopped}
+    shared = blocks.sparkSession.sparkContext.broadcast(running)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folds, margin = batch.column(0).to_numpy(), batch.column(3).to_numpy().copy()
-            bins = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8) \
-                .reshape(batch.num_rows, -1)
-            for one in np.unique(folds).tolist():
-                here = folds == one
-                margin[here] += shared.value[one].margin(bins[here], settled)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(margin), *batch.columns[4:]],
-                names=batch.schema.names)
+            for fold, side, block in _read_blocks(batch):
+                trees, depth = shared.value[fold]
+                block.margin = block.margin + _margin(trees, block.bins, depth)
+                yield _write_block(fold, side, block)
 
-    running = [f for f, e in ensembles.items() if not e.stopped]
-    return binned.where(F.col("fold").isin(*running)).mapInArrow(run, binned.schema)
+    return blocks.where(F.col("fold").isin(*running)).mapInArrow(run, blocks.schema)
 
 
 def with_probability(rows: DataFrame, ensembles: dict[int, Ensemble], features: Sequence[str],
@@ -352,8 +466,8 @@ def with_probability(rows: DataFrame, ensembles: dict[int, Ensemble], features:
         margin = np.zeros(len(x))
         for one in np.unique(which).tolist():
             ensemble, here = shared.value[one], which == one
-            margin[here] = ensemble.start + ensemble.margin(
-                ensemble.bin(x[here]), 0, ensemble.best)
+            margin[here] = ensemble.start + _margin(
+                ensemble.trees[:ensemble.best], ensemble.bin(x[here]), ensemble.options.depth)
         return pd.Series(1.0 / (1.0 + np.exp(-margin)))
 
     known = rows.where(F.col(fold).isin(*ensembles))

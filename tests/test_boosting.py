@@ -117,3 +117,30 @@ def test_scores_are_those_of_the_best_trees(spark):
     p, y = stop["probability"], stop["label_yoy"]
     assert -np.mean(np.log(np.where(y == 1, p, 1 - p))) == pytest.approx(min(one.losses), abs=1e-9)
     assert min(one.losses) < one.losses[0]
+
+
+def test_rows_are_held_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 150)
+    data = pd.concat([frame(400, 1, 1), frame(260, 2, 2)])
+    ensembles = {one: boosting.Ensemble(0.25, [np.array([0.0])] * 3, TreeOptions())
+                 for one in (1, 2)}
+    blocks = boosting._blocks(table(spark, data).coalesce(1), FEATURES, "fold", "label_yoy",
+                              "side", ensembles).collect()
+    assert len(blocks) <= 8
+    assert sum(len(b.y) for b in blocks) == len(data)
+    assert sum(sum(b.y) for b in blocks) == data["label_yoy"].sum()
+    assert all(len(b.bins) == 3 * len(b.y) and len(b.margin) == 8 * len(b.y) for b in blocks)
+
+
+def test_leaves_equal_a_walk_row_by_row():
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 9, (3, 500)).astype(np.uint8)
+    tree = boosting.Tree(np.array([0, 2, -1, 1, 0, 2, 1]), np.array([4, 3, 0, 1, 8, 2, 5]),
+                         np.array([True, False, True, False, True, True, False]), np.zeros(8))
+    for row, leaf in zip(bins.T, tree.leaf(bins, 3)):
+        node = 0
+        for _ in range(3):
+            f = tree.feature[node]
+            left = f < 0 or (tree.missing_left[node] if row[f] == 0 else row[f] <= tree.upto[node])
+            node = 2 * node + (1 if left else 2)
+        assert leaf == node - 7
