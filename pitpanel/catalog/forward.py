@@ -13,7 +13,7 @@ from pitpanel.catalog.proxies import (
 from pitpanel.catalog.registry import Catalog
 from pitpanel.operators import forward, gates, profile
 from pitpanel.plans import forward as plan
-from pitpanel.plans.panel import build_panel
+from pitpanel.plans.panel import Known, build_panel, known_facts
 from pitpanel.session import settle, shared_folder
 from pitpanel.sources import runs
 from pitpanel.sources.tables import parse_provenance
@@ -42,14 +42,22 @@ HISTORY_CHAIN = (*[part.replace("filing_lag_days <= 60", "filing_lag_days <= 120
                    for part in BASE_CHAIN], HISTORY_SQL)
 
 
-def _panel(spark, sf_dir):
-    return build_panel(part_facts(spark, sf_dir), STUDY_START, PANEL_END, ties=TIES).panel \
-        .drop(*TIES)
+def _panel(spark, sf_dir, known=None):
+    return build_panel(part_facts(spark, sf_dir), STUDY_START, PANEL_END, ties=TIES,
+                       known=known).panel.drop(*TIES)
+
+
+def _known(spark, sf_dir):
+    """First filings and unit changes, which the panel and what follows it start from."""
+    known = known_facts(part_facts(spark, sf_dir), TIES)
+    return Known(settle(known.first.drop(*TIES)), settle(known.events))
 
 
 def _history(spark, sf_dir):
-    return plan.extend_history(part_facts(spark, sf_dir), _panel(spark, sf_dir), CUT,
-                               STUDY_START, ties=TIES)
+    known = _known(spark, sf_dir)
+    panel = settle(_panel(spark, sf_dir, known))
+    return plan.extend_history(part_facts(spark, sf_dir), panel, CUT, STUDY_START, ties=TIES,
+                               known=known)
 
 
 @catalog.add(with_ctes(*HISTORY_CHAIN, select="""
@@ -215,8 +223,9 @@ def _resolved(spark, sf_dir, scored_at=SCORED_AT):
         F.col("p_partkey").alias("ticker"), expected.cast("date").alias("expected_period_end"),
         probability.alias("predicted_probability"),
         (probability >= 0.5).cast("int").alias("predicted_label"))
-    quarters = plan.rebuild_quarters(part_facts(spark, sf_dir), _panel(spark, sf_dir),
-                                     STUDY_START, ties=TIES)
+    known = _known(spark, sf_dir)
+    quarters = plan.rebuild_quarters(part_facts(spark, sf_dir), _panel(spark, sf_dir, known),
+                                     STUDY_START, ties=TIES, known=known)
     # What had been filed when the predictions are scored is known.
     known = quarters.where(F.col("filed_date") <= F.lit(scored_at).cast("date"))
     return forward.resolve_outcomes(predictions, known, CUT, scored_at)

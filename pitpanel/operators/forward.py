@@ -33,7 +33,7 @@ EXCLUSION_REASONS = {
 
 def prefer_first(preferred: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Union in which the preferred table's row wins for a key both hold."""
-    extra = other.join(preferred.select(*keys).distinct(), list(keys), "left_anti")
+    extra = other.join(preferred.select(*keys), list(keys), "left_anti")
     return preferred.unionByName(extra, allowMissingColumns=True)
 
 

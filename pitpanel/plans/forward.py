@@ -12,10 +12,9 @@ from pitpanel.contracts import require_columns
 from pitpanel.operators import evaluate, forward, gates, ml
 from pitpanel.operators.asof import gate_on_intervals, year_ago_match
 from pitpanel.operators.features import MODEL_FEATURES, RANKED_FEATURES, build_features
-from pitpanel.operators.knowledge import first_known, split_by_lag, with_decision_date
+from pitpanel.operators.knowledge import split_by_lag, with_decision_date
 from pitpanel.operators.membership import members_at
-from pitpanel.operators.restatements import detect_unit_changes
-from pitpanel.plans.panel import label_quarters
+from pitpanel.plans.panel import Known, known_facts, label_quarters
 from pitpanel.plans.walkforward import forbid_outcomes
 from pitpanel.session import settle
 from pitpanel.sources import runs
@@ -37,21 +36,25 @@ class History:
 
 def extend_history(facts: DataFrame, panel: DataFrame, cut: str, study_start: str, *,
                    intervals: DataFrame | None = None,
-                   ties: Sequence[str] = ("accn",)) -> History:
+                   ties: Sequence[str] = ("accn",), known: Known | None = None) -> History:
     """Panel plus rows that became knowable by the cut, under the panel's rules.
 
     Panel rows are only looked up, never rebuilt. Filings after the cut are
     withheld, but kept so that the outcome gate can see them.
     """
-    kept, _ = split_by_lag(first_known(facts, ties=ties))
+    known = known or known_facts(facts, ties)
+    kept, _ = split_by_lag(known.first)
     unseen = with_decision_date(kept).join(panel.select(*KEYS), list(KEYS), "left_anti")
     fresh, withheld = forward.split_at_cut(unseen, cut)
     carried = [c for c in (*FACT_COLUMNS, *IDENTITY)
                if c in panel.columns and c in fresh.columns]
-    candidates = panel.select(*carried).unionByName(fresh.select(*carried))
-    matched = year_ago_match(fresh, history=candidates) \
-        .where(F.col("period_end") >= F.lit(study_start).cast("date"))
-    labelled = label_quarters(matched, detect_unit_changes(facts, ties=ties))
+    # Panel and fresh rows share no key, so one table holds both and is matched with itself.
+    both = fresh.withColumn("_is_fresh", F.lit(True)).unionByName(
+        panel.select(*carried), allowMissingColumns=True)
+    matched = year_ago_match(both).where(
+        F.col("_is_fresh") & (F.col("period_end") >= F.lit(study_start).cast("date"))) \
+        .drop("_is_fresh")
+    labelled = label_quarters(matched, known.events)
     if intervals is not None:
         labelled, _ = gate_on_intervals(labelled, intervals)
     added = labelled.select(*[c for c in panel.columns if c in labelled.columns])
@@ -219,15 +222,16 @@ def score_committed(spark: SparkSession, root: str, cut: str, facts: DataFrame,
 
 
 def rebuild_quarters(facts: DataFrame, panel: DataFrame, study_start: str,
-                     ties: Sequence[str] = ("accn",)) -> DataFrame:
+                     ties: Sequence[str] = ("accn",), known: Known | None = None) -> DataFrame:
     """Labelled quarters for scoring; a quarter the panel holds stays the panel's."""
-    kept, _ = split_by_lag(first_known(facts, ties=ties))
+    known = known or known_facts(facts, ties)
+    kept, _ = split_by_lag(known.first)
     carried = [c for c in FACT_COLUMNS if c in panel.columns]
     combined = forward.prefer_first(
         panel.select(*carried), with_decision_date(kept).select(*carried), KEYS)
     matched = year_ago_match(combined).where(
         F.col("period_end") >= F.lit(study_start).cast("date"))
-    return label_quarters(matched, detect_unit_changes(facts, ties=ties))
+    return label_quarters(matched, known.events)
 
 
 def score_forward(predictions: DataFrame, facts: DataFrame, panel: DataFrame, cut: str,

@@ -98,3 +98,39 @@ def test_fuzzy_candidates_avoid_frequent_grams(spark):
                         spark.createDataFrame([(n,) for n in names], "norm string"))
     found = {(r.target, r.name) for r in pairs.collect()}
     assert set(zip(near, names)) <= found and len(found) < 400
+
+
+def test_year_ago_match_takes_one_window_over_the_rows_as_they_are(spark):
+    rng = random.Random(5)
+    days = {(f"t{i % 9}", rng.randrange(900)) for i in range(700)}
+    rows = [(t, BASE + dt.timedelta(days=d), BASE + dt.timedelta(days=d + 7), float(i))
+            for i, (t, d) in enumerate(sorted(days))] + [("t1", None, None, -1.0)]
+    panel = spark.createDataFrame(
+        rows, "ticker string, period_end date, filed_date date, eps_diluted double")
+    matched = asof.year_ago_match(panel)
+    assert "Generate" not in plan_of(matched) and "Union" not in plan_of(matched)
+    assert matched.count() == len(rows)
+    for r in matched.collect():
+        near = [(abs((r.period_end - dt.timedelta(days=365) - p).days), p, f, v)
+                for t, p, f, v in rows if t == r.ticker and p and r.period_end]
+        near = [n for n in near if n[0] <= 45]
+        assert (r.period_end_year_ago, r.filed_date_year_ago, r.eps_year_ago) \
+            == (min(near)[1:] if near else (None, None, None))
+
+
+def test_adjustment_does_not_fold_the_panel(spark):
+    d = [BASE + dt.timedelta(days=k) for k in range(400)]
+    panel = spark.createDataFrame(
+        [("a", d[390], d[395], d[20], d[30], 12.0), ("a", d[391], d[51], d[20], d[30], 12.0),
+         ("a", d[392], d[395], None, None, None), ("b", d[390], d[395], d[20], d[30], 8.0)],
+        "ticker string, period_end date, filed_date date, period_end_year_ago date, "
+        "filed_date_year_ago date, eps_year_ago double")
+    events = spark.createDataFrame(
+        [("a", 2, d[40], d[60], True), ("a", 3, d[45], d[55], True)],
+        "ticker string, factor long, window_start date, window_end date, established boolean")
+    adjusted = restatements.adjust_year_ago(panel, events)
+    assert "first(" not in plan_of(adjusted)
+    got = {(r.ticker, r.period_end): (r.split_factor_applied, r.split_ambiguous,
+                                      r.eps_year_ago_adjusted) for r in adjusted.collect()}
+    assert got == {("a", d[390]): (6, False, 2.0), ("a", d[391]): (1, True, 12.0),
+                   ("a", d[392]): (1, False, None), ("b", d[390]): (1, False, 8.0)}
