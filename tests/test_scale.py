@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitpanel.operators import asof, knowledge, profile, restatements
+from pitpanel.operators import asof, evaluate, knowledge, profile, restatements
 from pitpanel.operators.entities import fuzzy_pairs
 from pitpanel.operators.ordered import exact_quantiles, value_counts
 
@@ -134,3 +134,34 @@ def test_adjustment_does_not_fold_the_panel(spark):
                                       r.eps_year_ago_adjusted) for r in adjusted.collect()}
     assert got == {("a", d[390]): (6, False, 2.0), ("a", d[391]): (1, True, 12.0),
                    ("a", d[392]): (1, False, None), ("b", d[390]): (1, False, 8.0)}
+
+
+def test_binning_by_group_does_not_deal_rows_by_group(spark):
+    rows = spark.range(400).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("model"),
+        (F.col("id") / 400).alias("probability"), (F.col("id") % 3 == 0).cast("int").alias("y_true"))
+    table = evaluate.calibration_table(rows, by=["model"])
+    assert "BroadcastHashJoin" in plan_of(evaluate.with_quantile_bin(rows, by=["model"]))
+    assert sorted((r.model, r.decile, r.n) for r in table.collect()) \
+        == [(m, d, 20) for m in "ab" for d in range(10)]
+
+
+def test_rank_correlation_computes_its_table_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        made.add(1)
+        return float(x % 17)
+
+    rows = spark.range(200).select(seen("id").alias("x"), (F.col("id") % 5).alias("y"))
+    assert profile.spearman(rows, "x", "y").collect()[0].n == 200
+    # The filter and the projection each call it.
+    assert made.value <= 400
+
+
+def test_fingerprint_query_has_no_fixed_number_of_tasks(spark):
+    import __spark_entry__ as entry
+
+    plan = plan_of(entry.queries()["table_fingerprint"](spark, entry.SMOKE_DIR))
+    assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
