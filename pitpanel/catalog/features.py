@@ -207,7 +207,7 @@ def row_count_parity(spark, sf_dir):
 def table_fingerprint(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     before = gates.fingerprint(line)
-    moved = gates.fingerprint(line.repartition(5, "l_partkey"))
+    moved = gates.fingerprint(line.repartition("l_partkey"))
     edited = gates.fingerprint(line.withColumn("l_tax", F.col("l_tax") + F.lit(0.01)))
     changed = F.count(F.lit(1)).cast("int")
     return before.select("n_rows").join(F.broadcast(
