@@ -43,10 +43,11 @@ def ingest_facts(primary: DataFrame, fallback: DataFrame | None = None, *,
         F.try_element_at("facts", F.lit(taxonomy)), F.lit(concept)).getField("units")
         .alias("units"))
     # The primary payload is parsed once; only its identifiers meet the fallback, and
-    # its records are never dealt.
-    own = settle(_chosen(primary, identifier, "units", PREFERRED_UNIT)
-                 .where(F.coalesce(F.size("records"), F.lit(0)) > 0))
-    rest = _chosen(bulk, identifier, "units", PREFERRED_UNIT).join(
+    # its records are never dealt. Filters follow the writing: pushed below it they
+    # would parse every payload once more.
+    own = settle(_chosen(primary, identifier, "units", PREFERRED_UNIT)) \
+        .where(F.coalesce(F.size("records"), F.lit(0)) > 0)
+    rest = settle(_chosen(bulk, identifier, "units", PREFERRED_UNIT)).join(
         own.select(F.col(identifier).alias("_answered")).distinct(),
         F.col(identifier).eqNullSafe(F.col("_answered")), "left_anti")
     kept = own.withColumn("source", F.lit("companyconcept")).unionByName(

@@ -123,3 +123,19 @@ def test_provenance_ends_with_the_header(spark, tmp_path):
     path.write_text("# commit : abc\n# commit : def\na,b\n")
     with pytest.raises(ValueError, match="more than once"):
         tables.read_provenance(spark, str(path))
+
+
+def test_payloads_are_parsed_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("map<string,array<struct<val:double>>>")
+    def parse(i):
+        parsed.add(1)
+        return {"USD/shares": [(float(i),)]} if i % 2 else None
+
+    primary = spark.range(60).select(F.col("id").cast("string").alias("cik"),
+                                     parse("id").alias("units"))
+    assert payloads.ingest_facts(primary, spark.createDataFrame(
+        [], "cik string, facts map<string,map<string,struct<units:map<string,"
+            "array<struct<val:double>>>>>>")).count() == 30
+    assert parsed.value == 60
