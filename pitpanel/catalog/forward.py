@@ -335,7 +335,7 @@ def membership_at_filing(spark, sf_dir):
 def forward_predictions(spark, sf_dir):
     """Refit at the cut and predict every pending row."""
     history = settle(_history(spark, sf_dir).history)
-    pending, _ = _pending(spark, sf_dir, history)
+    pending = settle(_pending(spark, sf_dir, history)[0])
     built, past = plan.forward_features(history, pending)
     return rounded(plan.predict_pending(built, past, CUT), "predicted_probability")
 
@@ -343,14 +343,14 @@ def forward_predictions(spark, sf_dir):
 def _committed(spark, sf_dir):
     """A run of the cut, committed to the shared folder and read back."""
     history = settle(_history(spark, sf_dir).history)
-    pending, _ = _pending(spark, sf_dir, history)
+    pending = settle(_pending(spark, sf_dir, history)[0])
     built, past = plan.forward_features(history, pending)
     predictions = settle(plan.predict_pending(built, past, CUT))
     provenance = {
         "cut_date": CUT, "code_sha": "none", "working_tree_clean": "yes",
         "config": "revision 1", "model": "logistic_rank", "decision_threshold": "0.5",
         "panel_sha256": runs.digest_text(history),
-        **plan.training_summary(plan.training_rows(past, CUT))}
+        **plan.training_summary(plan.training_rows(history, CUT))}
     root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
     runs.commit_run(predictions, provenance, root, CUT,
                     inputs={"history": (history, provenance["panel_sha256"])})

@@ -74,3 +74,15 @@ def test_pending_rows_and_reasons(spark):
     coverage = forward.pending_coverage(pending, skipped)
     assert gates.below_floor(coverage, "n_pending", "n_eligible", 0.5).count() == 1
     assert gates.below_floor(coverage, "n_pending", "n_eligible", 0.3).count() == 0
+
+
+def test_training_summary_of_a_committed_run_needs_no_features(spark, monkeypatch):
+    from pitpanel.catalog import forward as queries
+
+    seen = []
+    rows = queries.plan.training_rows
+    monkeypatch.setattr(queries.plan, "training_rows",
+                        lambda df, cut: seen.append(df.columns) or rows(df, cut))
+    _, provenance = queries._committed(spark, "/root/testdata/sf0.001")
+    assert int(provenance["training_rows_labelled"]) > 0
+    assert any("growth_streak" not in columns for columns in seen)
