@@ -23,10 +23,17 @@ the same verdict and count once; an empty table gives an empty table; other
 columns, whatever their names, are kept by :func:`clean` and ignored here.
 Everything is DataFrame expressions; nothing is sampled or capped. Texts are
 read once: what later steps need of them is written to the shared folder.
+
+Few lines are candidates, few hold shingles of common ones, and few texts hold
+lines that need a class of their own. A bitmap of fixed size tells the rows that
+can't be among them, so those are never dealt; the others meet the exact keys in a
+join. A bitmap that fills up only lets more rows through to the join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +46,8 @@ LINE_HASHES = 6
 SKETCHES = 8
 #: Words of a line that can tell a document from a copy.
 OWN_WORDS = 5
+#: 64-bit words of a bitmap of keys (1 MB), and of the blocks it is put together from.
+BITMAP_WORDS, BITMAP_BLOCK = 1 << 17, 1 << 9
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
 
@@ -139,22 +148,60 @@ def base_failed(least_words: int = 10, most_repeat_percent: int = 20) -> Column:
         F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeat_percent)
 
 
-def _own_lines(marked: DataFrame, least_documents: int) -> DataFrame:
-    """The lines of ``OWN_WORDS`` and more that are neither common nor edits of such."""
+def _may_hold(keys: DataFrame, key: Column) -> Callable[[Column], Column]:
+    """Whether a hash may be among the given ones: 1 where it may, 0 where it is not.
+
+    One bit a hash, in a bitmap of fixed size; a null hash is not among them.
+    """
+    def place(k: Column) -> Column:
+        return F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+
+    def inside(k: Column) -> Column:
+        return k.bitwiseAND(F.lit(63)).cast("int")
+
+    k = key.cast("long")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), inside(k))
+    blank = keys.sparkSession.range(BITMAP_WORDS).select(
+        F.col("id").alias("at"), F.lit(0).cast("long").alias("word"))
+    filled = keys.select(place(k).alias("at"), one.alias("word")).unionByName(blank) \
+        .groupBy("at").agg(F.bit_or("word").alias("word"))
+    blocks = filled.groupBy(F.floor(F.col("at") / BITMAP_BLOCK).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "word")))["word"].alias("words"))
+    # Written, so that a plan that asks it several times stays small.
+    bitmap = settle(blocks.agg(F.flatten(F.array_sort(F.collect_list(
+        F.struct("block", "words")))["words"]).alias("bitmap"))).scalar()
+
+    def may(asked: Column) -> Column:
+        a = asked.cast("long")
+        return F.coalesce(F.getbit(F.get(bitmap, place(a).cast("int")), inside(a)), F.lit(0))
+
+    return may
+
+
+def _own_lines(others: DataFrame, frequent: DataFrame, least_documents: int) -> DataFrame:
+    """The lines of ``OWN_WORDS`` and more that are neither common nor edits of such.
+
+    ``others`` are the lines that are no candidates.
+    """
     asked = F.explode("g").alias("s")
-    frequent = marked.filter("frequent")
     common = settle(frequent.groupBy("c", "text_key").agg(F.lit(1).alias("one"))
                     .groupBy("c").agg(F.count(F.lit(1)).alias("texts"))
                     .filter(F.col("texts") > least_documents).select("c"))
-    shingles = frequent.join(common, "c", "left_semi").select(asked).distinct()
-    others = marked.filter(F.col("w") >= OWN_WORDS)
-    others = others.filter(F.col("frequent").isNull()).unionByName(
-        others.filter("frequent").join(common, "c", "left_anti").select(*others.columns))
-    shared = others.select("c", asked).join(shingles, "s") \
+    shingles = settle(frequent.join(common, "c", "left_semi").select(asked).distinct())
+    lines = others.unionByName(frequent.join(common, "c", "left_anti").select(*others.columns)) \
+        .filter(F.col("w") >= OWN_WORDS)
+    may = _may_hold(shingles, F.col("s"))
+    at_most = sum((may(F.get("g", F.lit(k))) for k in range(1, LINE_HASHES)),
+                  may(F.get("g", F.lit(0))))
+    lines = lines.withColumn("at_most", at_most)
+    close = F.col("at_most") * 3 >= F.size("g")
+    near = settle(lines.filter(close))
+    shared = near.select("c", asked).join(shingles, "s") \
         .groupBy("c", "s").agg(F.lit(1).alias("one")) \
         .groupBy("c").agg(F.count(F.lit(1)).alias("shared"))
-    return others.join(shared, "c", "left") \
+    told = near.join(shared, "c", "left") \
         .filter(F.coalesce("shared", F.lit(0)) * 3 < F.size("g"))
+    return lines.filter(~close).unionByName(told.select(*lines.columns)).drop("at_most")
 
 
 def _classes(own: DataFrame) -> DataFrame:
@@ -168,11 +215,14 @@ def _classes(own: DataFrame) -> DataFrame:
 
     each = [smallest(k).alias(f"s{k}") for k in range(SKETCHES)]
     text = ["host_key", "text_key"]
-    left_out = own.filter("frequent").select(*text, F.col("h").alias("without")).distinct()
+    left_out = settle(own.filter("frequent").select(*text, F.col("h").alias("without"))
+                      .distinct())
+    may = _may_hold(left_out, F.xxhash64(*text))
     g = F.when(F.col("h") != F.col("without"), F.col("g"))
     sketches = own.groupBy(*text).agg(*each) \
         .withColumn("without", F.lit(None).cast("long")).unionByName(
-            own.join(left_out, text).select(*text, "without", g.alias("g"))
+            own.filter(may(F.xxhash64(*text)) == 1).join(left_out, text)
+            .select(*text, "without", g.alias("g"))
             .groupBy(*text, "without").agg(*each))
     who = [*text, "without"]
     rows = sketches.select(*who, F.explode(F.array(
@@ -199,15 +249,18 @@ def frequent_lines(measured: DataFrame, least_documents: int = 10,
     text = ["host_key", "text_key"]
     lines = measured.select(*text, F.explode("lines").alias("line")) \
         .select(*text, "line.h", "line.c", "line.w", "line.g")
-    candidates = lines.groupBy("host_key", "h", "text_key").agg(F.lit(1).alias("one")) \
-        .groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("texts")) \
+    candidates = settle(
+        lines.groupBy("host_key", "h", "text_key").agg(F.lit(1).alias("one"))
+        .groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("texts"))
         .filter(F.col("texts") > least_documents)
-    # The join brings equal lines together, so the written table takes little room.
-    marked = settle(lines.join(candidates.select("host_key", "h", F.lit(True).alias("frequent")),
-                               ["host_key", "h"], "left")
-                    .filter(F.col("frequent") | (F.col("w") >= OWN_WORDS)))
-    own = settle(_classes(_own_lines(marked, least_documents)))
-    held = marked.filter("frequent").select(*text, "h").distinct()
+        .select("host_key", "h", F.lit(True).alias("frequent")))
+    may = _may_hold(candidates, F.xxhash64("host_key", "h"))(F.xxhash64("host_key", "h"))
+    marked = settle(lines.filter(may == 1).join(candidates, ["host_key", "h"], "left"))
+    frequent = marked.filter("frequent")
+    others = lines.filter(may == 0).withColumn("frequent", F.lit(None).cast("boolean")) \
+        .unionByName(marked.filter(F.col("frequent").isNull()))
+    own = settle(_classes(_own_lines(others, frequent, least_documents)))
+    held = frequent.select(*text, "h").distinct()
     first = held.groupBy(*text).agg(
         F.slice(F.sort_array(F.collect_set("h")), 1, 2).alias("first"))
     texts = settle(measured.select(*text).distinct()
