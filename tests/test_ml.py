@@ -104,3 +104,17 @@ def test_one_class_and_halved_steps(spark):
     want = newton(np.array([[k % 7] for k in range(70)], float),
                   np.array([int(k % 7 > 2) for k in range(70)]), 1e6)
     assert abs(w[1] * 1e3 - want[1]) < 0.05 * want[1]
+
+
+def test_what_folds_learn_comes_as_a_row_per_fold(spark):
+    rows = spark.createDataFrame(
+        [(1, 2.0), (1, None), (2, 8.0), (3, 1.0)], "fold int, a double")
+    fitted = ml.FoldScaling({1: {"a": 4.0}, 2: {}}, {1: {"a": 3.0}, 2: {"a": 2.0}},
+                            {1: {"a": 2.0}, 2: {"a": 3.0}})
+    scaled = ml.standardise(ml.impute(rows, fitted, ["a"]), fitted, ["a"])
+    assert scaled.columns == rows.columns
+    got = sorted(((r.fold, r.a) for r in scaled.collect()), key=str)
+    assert got == [(1, -0.5), (1, 0.5), (2, 2.0), (3, None)]
+    # Not as a map that every row builds again for each feature.
+    plan = scaled._jdf.queryExecution().optimizedPlan().toString()
+    assert "map(" not in plan and "element_at" not in plan
