@@ -333,10 +333,15 @@ def expanding_fold_sizes(spark, sf_dir):
     return rounded(evaluate.fold_sizes(_expanding(spark, sf_dir)), "positive_rate")
 
 
-def _expanding(spark, sf_dir):
-    frame = labelled_rows(part_features(spark, sf_dir))
+def _expanding(spark, sf_dir, inner=True):
+    """Features by fold and role. They are written first, as each role reads them again."""
+    frame = settle(labelled_rows(part_features(spark, sf_dir)).select(*_FRAME))
     folds = evaluate.expanding_folds(spark, 1996, 1998, 2001)
-    return evaluate.with_inner_roles(evaluate.assign_expanding(frame, folds))
+    assigned = evaluate.assign_expanding(frame, folds)
+    return evaluate.with_inner_roles(assigned) if inner else assigned
+
+
+_FRAME = ("ticker", "period_end", "prediction_date", "label_yoy", *MODEL_FEATURES)
 
 
 BOUNDARIES = (("1999-01-01", "2000-01-01"), ("2000-01-01", "2001-01-01"), ("2001-01-01", None))
@@ -400,9 +405,8 @@ def protocol_breaches(spark, sf_dir):
 @catalog.add()
 def quantile_to_normal(spark, sf_dir):
     """Normal scores of the growth lags under each fold's own training grid."""
-    assigned = _expanding(spark, sf_dir).where(F.col("role").isin("train", "validate"))
-    rows = settle(ml.design(assigned, RANKED_FEATURES,
-                            keep=["fold", "role", "ticker", "period_end"]))
+    rows = ml.design(_expanding(spark, sf_dir, inner=False), RANKED_FEATURES,
+                     keep=["fold", "role", "ticker", "period_end"])
     grids = ml.fit_quantile_grids(rows.where(F.col("role") == "train"), RANKED_FEATURES)
     return rounded(ml.apply_quantile_grids(rows, grids, RANKED_FEATURES), *RANKED_FEATURES)
 
@@ -428,7 +432,8 @@ medians AS (SELECT fold, feature, quantile_cont(x, 0.5) AS median FROM training
   FROM training JOIN medians USING (fold, feature) GROUP BY fold, feature"""))
 def fold_scaling(spark, sf_dir):
     """Medians, means and deviations that each fold learns from its training rows."""
-    rows = settle(ml.design(_expanding(spark, sf_dir), MODEL_FEATURES, keep=["fold", "role"]))
+    rows = ml.design(_expanding(spark, sf_dir, inner=False), MODEL_FEATURES,
+                     keep=["fold", "role"])
     fitted = ml.fit_scaling(rows.where(F.col("role") == "train"), MODEL_FEATURES)
     learned = [(fold, f, fitted.medians[fold][f], fitted.means[fold][f],
                 fitted.deviations[fold][f]) for fold in fitted.means for f in MODEL_FEATURES]
@@ -448,7 +453,8 @@ _GRID_POINTS = (0, 1, 250, 500, 900, 998, 999)
     GROUP BY fold, feature)"""))
 def quantile_grid_edges(spark, sf_dir):
     """Points of the grids behind the normal scores, of folds with 1,000 rows and more."""
-    rows = settle(ml.design(_expanding(spark, sf_dir), RANKED_FEATURES, keep=["fold", "role"]))
+    rows = ml.design(_expanding(spark, sf_dir, inner=False), RANKED_FEATURES,
+                     keep=["fold", "role"])
     grids = ml.fit_quantile_grids(rows.where(F.col("role") == "train"), RANKED_FEATURES)
     edges = [(fold, feature, i, float(grid[i])) for (fold, feature), grid in grids.items()
              for i in _GRID_POINTS if len(grid) == ml.N_QUANTILES]
@@ -524,7 +530,7 @@ def holdout_run(spark, sf_dir):
 
 def _holdout(spark, sf_dir):
     """Declared counts come from the calendar years of the table, not from the folds."""
-    features = settle(part_features(spark, sf_dir))
+    features = settle(part_features(spark, sf_dir).select(*_FRAME))
     years = features.where(F.col("prediction_date") >= F.lit(BOUNDARIES[0][0]).cast("date")) \
         .groupBy(F.least(F.year("prediction_date") - 1998, F.lit(3)).alias("fold")) \
         .agg(F.count(F.lit(1)).alias("n"), F.count("label_yoy").alias("n_labelled"))
@@ -537,7 +543,7 @@ def _holdout(spark, sf_dir):
             {"fold": r.fold, "n_predict_rows": r.n, "n_predict_rows_labelled": r.n_labelled}
             for r in years.orderBy("fold").collect()]},
     }
-    return walkforward.run_holdout(features, protocol, BOUNDARIES)
+    return walkforward.run_holdout(features, protocol, BOUNDARIES, settled=True)
 
 
 _HOLDOUT_SQL = """folds(fold, opens, closes) AS (VALUES

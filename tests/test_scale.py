@@ -165,3 +165,17 @@ def test_fingerprint_query_has_no_fixed_number_of_tasks(spark):
 
     plan = plan_of(entry.queries()["table_fingerprint"](spark, entry.SMOKE_DIR))
     assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
+
+
+def test_folds_read_written_features(spark, monkeypatch):
+    from pitpanel.catalog import evaluation
+    from pitpanel.catalog.proxies import part_features
+
+    def windows(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Window")
+
+    folder, written, real = "/root/testdata/sf0.001", [], evaluation.settle
+    monkeypatch.setattr(evaluation, "settle", lambda df: written.append(windows(df)) or real(df))
+    scores = evaluation.quantile_to_normal(spark, folder)
+    # The chain runs once for all folds and roles, and nothing after it runs it again.
+    assert written == [windows(part_features(spark, folder))] and windows(scores) == 0
