@@ -148,34 +148,54 @@ def base_failed(least_words: int = 10, most_repeat_percent: int = 20) -> Column:
         F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeat_percent)
 
 
-def _may_hold(keys: DataFrame, key: Column) -> Callable[[Column], Column]:
-    """Whether a hash may be among the given ones: 1 where it may, 0 where it is not.
+def _place(key: Column) -> Column:
+    """The word of a bitmap that a hash's bit is in."""
+    return F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
 
-    One bit a hash, in a bitmap of fixed size; a null hash is not among them.
-    """
-    def place(k: Column) -> Column:
-        return F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
 
-    def inside(k: Column) -> Column:
-        return k.bitwiseAND(F.lit(63)).cast("int")
+def _inside(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(63)).cast("int")
+
 
+def _bitmap(keys: DataFrame, key: Column) -> DataFrame:
+    """One row, ``bitmap``: a bit for each of the given hashes, at a fixed size."""
     k = key.cast("long")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), inside(k))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), _inside(k))
     blank = keys.sparkSession.range(BITMAP_WORDS).select(
         F.col("id").alias("at"), F.lit(0).cast("long").alias("word"))
-    filled = keys.select(place(k).alias("at"), one.alias("word")).unionByName(blank) \
+    filled = keys.select(_place(k).alias("at"), one.alias("word")).unionByName(blank) \
         .groupBy("at").agg(F.bit_or("word").alias("word"))
     blocks = filled.groupBy(F.floor(F.col("at") / BITMAP_BLOCK).alias("block")).agg(
         F.array_sort(F.collect_list(F.struct("at", "word")))["word"].alias("words"))
     # Written, so that a plan that asks it several times stays small.
-    bitmap = settle(blocks.agg(F.flatten(F.array_sort(F.collect_list(
-        F.struct("block", "words")))["words"]).alias("bitmap"))).scalar()
+    return settle(blocks.agg(F.flatten(F.array_sort(F.collect_list(
+        F.struct("block", "words")))["words"]).alias("bitmap")))
+
+
+def _bit(bitmap: Column, asked: Column) -> Column:
+    """Whether a hash may be among those of a bitmap: 1 where it may, 0 where it is not.
+
+    A null hash is not among them.
+    """
+    a = asked.cast("long")
+    return F.coalesce(F.getbit(F.get(bitmap, _place(a).cast("int")), _inside(a)), F.lit(0))
+
+
+def _with_bit(rows: DataFrame, bitmap: DataFrame, *asked: Column) -> DataFrame:
+    """The rows and, as ``at_most``, how many of the hashes asked may be among the bitmap's.
+
+    The bitmap comes to the tasks by one broadcast. As a scalar it would be a constant of
+    every expression that asks it, and the driver would write each copy into every task's code.
+    """
+    bits = [_bit(F.col("bitmap"), a) for a in asked]
+    return rows.crossJoin(F.broadcast(bitmap)) \
+        .select(*rows.columns, sum(bits[1:], bits[0]).alias("at_most"))
 
-    def may(asked: Column) -> Column:
-        a = asked.cast("long")
-        return F.coalesce(F.getbit(F.get(bitmap, place(a).cast("int")), inside(a)), F.lit(0))
 
-    return may
+def _may_hold(keys: DataFrame, key: Column) -> Callable[[Column], Column]:
+    """:func:`_bit` on the bitmap of the given hashes, for a table that asks it once."""
+    bitmap = _bitmap(keys, key).scalar()
+    return lambda asked: _bit(bitmap, asked)
 
 
 def _own_lines(others: DataFrame, frequent: DataFrame, least_documents: int) -> DataFrame:
@@ -190,10 +210,8 @@ def _own_lines(others: DataFrame, frequent: DataFrame, least_documents: int) ->
     shingles = settle(frequent.join(common, "c", "left_semi").select(asked).distinct())
     lines = others.unionByName(frequent.join(common, "c", "left_anti").select(*others.columns)) \
         .filter(F.col("w") >= OWN_WORDS)
-    may = _may_hold(shingles, F.col("s"))
-    at_most = sum((may(F.get("g", F.lit(k))) for k in range(1, LINE_HASHES)),
-                  may(F.get("g", F.lit(0))))
-    lines = lines.withColumn("at_most", at_most)
+    lines = _with_bit(lines, _bitmap(shingles, F.col("s")),
+                      *[F.get("g", F.lit(k)) for k in range(LINE_HASHES)])
     close = F.col("at_most") * 3 >= F.size("g")
     near = settle(lines.filter(close))
     shared = near.select("c", asked).join(shingles, "s") \
@@ -217,11 +235,11 @@ def _classes(own: DataFrame) -> DataFrame:
     text = ["host_key", "text_key"]
     left_out = settle(own.filter("frequent").select(*text, F.col("h").alias("without"))
                       .distinct())
-    may = _may_hold(left_out, F.xxhash64(*text))
+    asked = _with_bit(own, _bitmap(left_out, F.xxhash64(*text)), F.xxhash64(*text))
     g = F.when(F.col("h") != F.col("without"), F.col("g"))
     sketches = own.groupBy(*text).agg(*each) \
         .withColumn("without", F.lit(None).cast("long")).unionByName(
-            own.filter(may(F.xxhash64(*text)) == 1).join(left_out, text)
+            asked.filter("at_most = 1").join(left_out, text)
             .select(*text, "without", g.alias("g"))
             .groupBy(*text, "without").agg(*each))
     who = [*text, "without"]
@@ -254,10 +272,12 @@ def frequent_lines(measured: DataFrame, least_documents: int = 10,
         .groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("texts"))
         .filter(F.col("texts") > least_documents)
         .select("host_key", "h", F.lit(True).alias("frequent")))
-    may = _may_hold(candidates, F.xxhash64("host_key", "h"))(F.xxhash64("host_key", "h"))
-    marked = settle(lines.filter(may == 1).join(candidates, ["host_key", "h"], "left"))
+    line_key = F.xxhash64("host_key", "h")
+    asked = _with_bit(lines, _bitmap(candidates, line_key), line_key)
+    marked = settle(asked.filter("at_most = 1").drop("at_most")
+                    .join(candidates, ["host_key", "h"], "left"))
     frequent = marked.filter("frequent")
-    others = lines.filter(may == 0).withColumn("frequent", F.lit(None).cast("boolean")) \
+    others = asked.filter("at_most = 0").drop("at_most").withColumn("frequent", F.lit(None).cast("boolean")) \
         .unionByName(marked.filter(F.col("frequent").isNull()))
     own = settle(_classes(_own_lines(others, frequent, least_documents)))
     held = frequent.select(*text, "h").distinct()

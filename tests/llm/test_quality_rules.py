@@ -149,3 +149,20 @@ def test_only_lines_near_candidates_are_dealt(spark):
     finally:
         rules.settle = real
     assert written and sum(written) == 0
+
+
+def test_bitmaps_are_no_constants_of_the_plans(spark, monkeypatch):
+    # A scalar of 1 MB goes into the code of every task, once for each hash that asks it.
+    plans = []
+    real = rules.settle
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(rules, "settle", spy)
+    judged = rules.judge(boilerplate(spark), least_share=0.0)
+    assert {r.kept for r in judged.collect()} == {True, False}
+    plans.append(judged._jdf.queryExecution().optimizedPlan().toString())
+    assert any("bitmap" in p for p in plans)
+    assert not any("scalar-subquery" in p for p in plans)
