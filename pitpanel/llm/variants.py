@@ -15,7 +15,9 @@ in a gram and in at least half of the rest on each side meet, so a gram that a t
 all words have makes no large group. Every candidate is verified by its edit distance.
 
 The grams' frequencies are shared with all tasks: there are at most as many as pairs of
-letters (:data:`LETTERS`), whatever the corpus.
+letters (:data:`LETTERS`), whatever the corpus. Nothing else is: the planner sizes the
+index as the file of words it is made from, which is a fraction of it, so joins whose
+sides grow with the words ask for a shuffle (:data:`BY_SHUFFLE`).
 
 Defined cases: null text has no words; a null key is written as nothing in front of the
 colon; rows with equal keys count each on their own; of near words with equal counts the
@@ -49,6 +51,8 @@ PREFIX = 3
 #: Distinct words, and index rows, that a task holds before it hands them on.
 HELD_WORDS = 100_000
 HELD_ROWS = 50_000
+#: Hint of joins that must not become broadcasts.
+BY_SHUFFLE = "merge"
 
 
 # -- counting ---------------------------------------------------------------------------
@@ -215,7 +219,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     index = rows.mapInArrow(_indexer(shared, False), kind) \
         .toDF("key", "other", "other_last", "other_n")
     # Equal prefix ends are met from both sides; a pair is then kept from one of them.
-    found = probes.join(index, "key").filter(
+    found = probes.join(index.hint(BY_SHUFFLE), "key").filter(
         (F.col("last") <= F.col("other_last")) & (F.col("word") != F.col("other"))
         & (F.levenshtein("word", "other", 1) == 1))
     ways = F.array(
@@ -235,7 +239,7 @@ def roots(forms: DataFrame) -> DataFrame:
     state = settle(forms.select("word", F.col("form").alias("root")))
     while True:
         after = state.select(F.col("word").alias("root"), F.col("root").alias("after"))
-        state = settle(state.join(after, "root", "left").select(
+        state = settle(state.join(after.hint(BY_SHUFFLE), "root", "left").select(
             "word", F.coalesce("after", "root").alias("root"),
             F.col("after").isNotNull().alias("moved")))
         if not state.filter("moved").limit(1).count():
@@ -256,10 +260,10 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text",
             F.count(F.lit(1)).alias("n_near"),
             F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("first"))
     holds = -F.col("first.minus") >= F.col("n") * least_ratio
-    formed = settle(vocabulary.join(best, "word", "left").select(
+    formed = settle(vocabulary.join(best.hint(BY_SHUFFLE), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(holds, F.col("first.near")).alias("form"),
         F.when(holds, -F.col("first.minus")).alias("form_n")))
     ends = roots(formed.filter("form IS NOT NULL"))
-    return formed.join(ends, "word", "left").select(
+    return formed.join(ends.hint(BY_SHUFFLE), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -128,3 +128,18 @@ def test_roots_of_long_chains(spark):
     forms = spark.createDataFrame(chain + [("v", "w3")], "word string, form string")
     assert {tuple(r) for r in variants.roots(forms).collect()} == {
         (w, "w40") for w, _ in chain + [("v", "w3")]}
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch, capsys):
+    """The planner sizes the index as the words' file, so no threshold tells how large it is."""
+    docs = spark.createDataFrame(variant_rows(), "doc_id long, text string")
+    settle = variants.settle
+
+    def seen(df):
+        df.explain()
+        return settle(df)
+
+    monkeypatch.setattr(variants, "settle", seen)
+    variants.group(docs).explain()
+    plans = capsys.readouterr().out
+    assert plans.count("SortMergeJoin") >= 4 and "Broadcast" not in plans
