@@ -107,6 +107,34 @@ def test_parts_nobody_reads_are_not_computed(features, monkeypatch):
     assert chosen.calibration is chosen.calibration and len(written) == 3
 
 
+def test_the_registered_selection_compares_all_variants(spark, features, monkeypatch):
+    """Trees are part of it; few are grown here, on the made-up table moved to its years."""
+    from pitpanel.catalog import evaluation
+
+    moved = features.withColumns({c: F.add_months(c, -12 * 14)
+                                  for c in ("period_end", "prediction_date")})
+    real = walkforward.walk_forward
+    monkeypatch.setattr(evaluation, "part_features", lambda spark, sf_dir: moved)
+    monkeypatch.setattr(walkforward, "walk_forward", lambda *args, **options: real(
+        *args, **options, tree_options={"max_trees": 4, "min_leaf": 15, "step": 0.3}))
+    means = {r.model: r for r in evaluation.selection_means(spark, "").collect()}
+    assert set(means) == set(walkforward.VARIANTS)
+    assert {r.n_folds for r in means.values()} == {3}
+    best = min(walkforward.CORRECTED, key=lambda m: means[m].mean_log_loss)
+    assert {r.best_model for r in means.values()} == {best}
+
+
+def test_the_constant_is_chosen_where_no_model_is_better(spark):
+    losses = {"constant": 0.5, "logistic_rank": 0.7, "boosted_inner_es": 0.6,
+              "logistic_raw": 0.1, "boosted_outer_es": 0.2}
+    rows = [(fold, model, loss + 0.01 * fold * loss, 0.5, 0.2)
+            for fold in (1, 2, 3) for model, loss in losses.items()]
+    results = spark.createDataFrame(
+        rows, "fold int, model string, log_loss double, accuracy double, brier double")
+    choice = walkforward.select_variant(walkforward.Evaluation(results, results)).choice.first()
+    assert (choice.best_model, choice.runner_up) == ("constant", "boosted_inner_es")
+
+
 def test_a_written_feature_table_is_not_written_again(features, monkeypatch):
     written = []
     real = walkforward.settle
